@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import lines, mixing, simhash, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +18,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines removed, and SHA-256 of the text that is left."""
+    out = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS line,
@@ -52,6 +63,8 @@ FROM placed
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
