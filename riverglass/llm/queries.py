@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, simhash, toxicity
+from . import lines, mixing, sentencepiece, simhash, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document; their piece ids as a digest."""
+    return sentencepiece.sample_segmentations(read(spark, sf_dir, "documents"), k=2, digest=True)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -63,6 +72,8 @@ FROM placed
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_warc": op2_warc,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_line_dedup": op9_line_dedup,
