@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, pii, sentencepiece, simhash, toxicity, warc
+from . import ann, lines, mips, mixing, pii, sentencepiece, simhash, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
+def op8_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips.search(read(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -80,6 +88,8 @@ QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
+    "op6_hilbert_neighbours": op6_hilbert_neighbours,
+    "op8_inner_products": op8_inner_products,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
