@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lines, mips, mixing, pii, sentencepiece, simhash, toxicity, warc
+from . import ann, lines, mips, mixing, pii, repeats, sentencepiece, simhash, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.summary(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS line,
@@ -92,5 +96,6 @@ QUERIES: dict[str, Query] = {
     "op8_inner_products": op8_inner_products,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
