@@ -5,7 +5,8 @@ modulo ``mean``, so a passage that many documents share is cut alike wherever it
 that occurs more than once in the table is kept where it comes first (smallest doc_id, then position) and removed
 elsewhere, once its bytes were compared with those of the first occurrence.
 
-Only hashes and positions are shuffled to find repeats; the text of a chunk is shuffled only if its hash repeats.
+Only hashes and positions are shuffled to find repeats. Texts are shuffled twice, by document, to meet the places of
+repeats and then the spans to cut; both are asked for as sort-merge joins, so the plan is the same at every size.
 
 Defined cases: null texts stay null, empty texts stay empty; a null ``doc_id`` comes after all others; rows that agree
 in doc_id and text count as one occurrence and get the same result; a text of which all chunks go becomes empty;
@@ -98,7 +99,7 @@ def repeated_chunks(docs: DataFrame, **shape) -> DataFrame:
                     out[name].append(value)
         return out
 
-    rows = _identified(docs).alias("d").join(store(wanted, "wanted").alias("w"), _same("d", "w")).select("d.doc", "d.uid", "d.text", "w.places")
+    rows = _identified(docs).alias("d").join(store(wanted, "wanted").alias("w").hint("merge"), _same("d", "w")).select("d.doc", "d.uid", "d.text", "w.places")
     texts = store(arrow_map(rows, "doc long, uid long, start int, n_lines int, hash long, is_first boolean, chunk string", cut), "texts")
     origin = texts.where("is_first").groupBy("hash").agg(F.first("chunk").alias("first_chunk"))
     return texts.where("NOT is_first").join(origin, "hash").where("chunk = first_chunk").select("doc", "uid", "start", "n_lines").distinct()
@@ -123,7 +124,7 @@ def dedup_lines(docs: DataFrame, **shape) -> DataFrame:
     spans = repeated_chunks(docs, **shape).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines")).alias("gone"))
     spans = store(spans, "gone").toDF("gone_doc", "gone_uid", "gone_spans")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc")) & (F.xxhash64("doc_id", "text") == F.col("gone_uid"))
-    rows = docs.join(spans, same, "left")
+    rows = docs.join(spans.hint("merge"), same, "left")
     hit = F.col("gone_spans").isNotNull()
     text = F.when(hit, F.pandas_udf(_without, "string")(F.when(hit, F.col("text")), F.col("gone_spans"))).otherwise(F.col("text"))
     n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
