@@ -78,7 +78,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     share = plan.select("doc_id", key().alias("same_"), "size_", "taken").groupBy("doc_id", "same_").agg((F.sum("taken") / F.count(F.lit(1))).cast("long").alias("taken_"))
     share = store(share.withColumnRenamed("doc_id", "id_").withColumnRenamed("same_", "hash_"), "share")
     rows = docs.withColumn("size_", word_count(F.col("text"))).withColumn("same_", key())
-    rows = rows.join(share, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("same_") == F.col("hash_")))
+    rows = rows.join(share.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("same_") == F.col("hash_")))
     part = F.col("taken_") % F.col("size_")
     first = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), part.cast("int")))
     copies = F.concat(F.array_repeat(F.lit(True), F.floor(F.col("taken_") / F.col("size_")).cast("int")), F.when(part > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))

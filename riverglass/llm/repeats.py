@@ -150,7 +150,7 @@ def _repeated_suffixes(texts: DataFrame, open_: DataFrame, length: int) -> DataF
         return {n: v if n == "doc" else np.concatenate(v) if v else [] for n, v in out.items()}
 
     spans = store(open_.groupBy("doc", "uid").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans")
-    rows = texts.alias("t").join(spans.alias("s"), _match("t", "s")).select("t.doc", "t.uid", "t.text", "s.spans")
+    rows = texts.alias("t").join(spans.alias("s").hint("merge"), _match("t", "s")).select("t.doc", "t.uid", "t.text", "s.spans")
     suffixes = arrow_map(rows, "lead long, d0 long, d1 long, doc long, uid long, pos int", emit, rows=16)
     dealt = store(suffixes, "suffixes").repartitionByRange("lead", "d0", "d1", "doc", "pos")
 
@@ -193,7 +193,7 @@ def _spans(ranges, size: int, length: int) -> list[tuple[int, int]]:
 def cut(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, data, n_bytes, spans): every text's bytes that stay, and the removed runs."""
     ranges = repeated_starts(docs, length).groupBy("doc", "uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    rows = _text_id(docs).alias("t").join(store(ranges, "ranges").alias("r"), _match("t", "r"), "left").select("t.doc", "t.text", "r.ranges")
+    rows = _text_id(docs).alias("t").join(store(ranges, "ranges").alias("r").hint("merge"), _match("t", "r"), "left").select("t.doc", "t.text", "r.ranges")
 
     def run(batch):
         out = {"doc_id": batch["doc"], "data": [], "n_bytes": [], "spans": []}

@@ -127,5 +127,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
 def keep_one(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id. Rows without a doc_id stay."""
     drop = near_duplicates(docs, words, most).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    kept = docs.join(store(drop, "gone"), F.col("doc_id") == F.col("gone_"), "left_anti")
+    kept = docs.join(store(drop, "gone").hint("merge"), F.col("doc_id") == F.col("gone_"), "left_anti")
     return kept

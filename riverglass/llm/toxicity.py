@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,29 +137,36 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, shard_rows
     return {r.feature: r.weight for r in top.collect()}
 
 
-def score(docs: DataFrame, weights: dict[int, float], threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on) for every row of ``docs``."""
+def _scorer(spark: SparkSession, weights: dict[int, float]):
+    """A function from texts to scores; the weights go to the tasks as a broadcast of two short arrays."""
     names = np.array(sorted(k for k in weights if k != BIAS), np.uint32)
-    values = np.array([weights[int(k)] for k in names], np.float64)
-    bias = weights.get(BIAS)
-    model = docs.sparkSession.sparkContext.broadcast((names, values))
+    model = spark.sparkContext.broadcast((names, np.array([weights[int(k)] for k in names], np.float64), weights.get(BIAS)))
 
-    def run(batch):
-        names, values = model.value
+    def run(texts: list[str | None]) -> list[float]:
+        names, values, bias = model.value
+        if bias is None:
+            return [0.0] * len(texts)
+        low = np.uint32((1 << 20) - 1)
         some = np.zeros(1 << 20, bool)
-        some[names & np.uint32((1 << 20) - 1)] = True
+        some[names & low] = True
         out = []
-        for text in batch["text"]:
-            if bias is None:
-                out.append(0.0)
-                continue
+        for text in texts:
             f = features(text)
-            f = np.unique(f[some[f & np.uint32((1 << 20) - 1)]])
-            at = np.searchsorted(names, f).clip(max=max(len(names) - 1, 0))
-            total = values[at[names[at] == f]].sum() if len(f) and len(names) else 0.0
-            out.append(float(1 / (1 + np.exp(-np.clip(total + bias, -700, 700)))))
-        return {"doc_id": batch["doc_id"], "score": out}
+            f = np.unique(f[some[f & low]])
+            total = bias
+            if len(f):
+                at = np.searchsorted(names, f).clip(max=len(names) - 1)
+                total += values[at[names[at] == f]].sum()
+            out.append(float(1 / (1 + np.exp(-np.clip(total, -700, 700)))))
+        return out
+
+    return run
+
 
+def score(docs: DataFrame, weights: dict[int, float], threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on) for every row of ``docs``."""
+    scorer = _scorer(docs.sparkSession, weights)
+    run = lambda batch: {"doc_id": batch["doc_id"], "score": scorer(batch["text"])}
     scored = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, score double", run)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -168,6 +176,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; rows without a doc_id stay."""
-    bad = classify(docs, labels, threshold, **options).where("predicted = 1").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(store(bad, "toxic"), F.col("doc_id") == F.col("gone_"), "left_anti")
+    """``docs`` without the rows that score ``threshold`` or more, filtered as they are scored."""
+    scorer = _scorer(docs.sparkSession, train(docs, labels, **options))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array([s < threshold for s in scorer(part.column("text").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
