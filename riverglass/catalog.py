@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import capacity_queries, join_queries, profile_queries, rollup_queries, scalar_queries  # noqa: F401
+from .plans import capacity_queries, detection_queries, join_queries, profile_queries, rollup_queries, scalar_queries  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 
