@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import batching_queries, capacity_queries, detection_queries, join_queries, profile_queries, rollup_queries, scalar_queries, trajectory_queries  # noqa: F401
+from .plans import batching_queries, capacity_queries, detection_queries, experiment_queries, join_queries, multiobjective_queries, profile_queries, rollup_queries, scalar_queries, source_queries, streaming_queries, trajectory_queries  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 

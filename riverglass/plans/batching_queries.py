@@ -20,13 +20,13 @@ def g1(d):
 WAIT = 20_000_000_000
 
 
-@query(
-    "g2_timed_batches",
-    f"""WITH RECURSIVE o AS (SELECT event_id, user_id, t0, row_number() OVER (PARTITION BY user_id ORDER BY t0, event_id) AS rn FROM request),
+TIMED_SQL = f"""WITH RECURSIVE o AS (SELECT event_id, user_id, t0, row_number() OVER (PARTITION BY user_id ORDER BY t0, event_id) AS rn FROM request),
 b(event_id, user_id, rn, batch, start, fill) AS (SELECT event_id, user_id, rn, 0::BIGINT, t0, 1 FROM o WHERE rn = 1
 UNION ALL SELECT o.event_id, o.user_id, o.rn, CASE WHEN fill >= 8 OR t0 - start > {WAIT} THEN batch + 1 ELSE batch END, CASE WHEN fill >= 8 OR t0 - start > {WAIT} THEN t0 ELSE start END, CASE WHEN fill >= 8 OR t0 - start > {WAIT} THEN 1 ELSE fill + 1 END FROM b JOIN o ON o.user_id = b.user_id AND o.rn = b.rn + 1)
-SELECT event_id, batch FROM b""",
-)
+SELECT event_id, batch FROM b"""
+
+
+@query("g2_timed_batches", TIMED_SQL)
 def g2(d):
     return G.timed_batches(d.request.select("event_id", "user_id", "t0"), K, "t0", "event_id", 8, WAIT).select("event_id", "batch")
 

@@ -178,3 +178,12 @@ def f21(d):
 @query("f22_ap_by_difficulty", f"WITH {CURVE} SELECT setting, {AP} FROM ({ENV}) GROUP BY setting")
 def f22(d):
     return D.average_precision(_curve(d), ["setting"]).select("setting", F.round("ap", 6).alias("ap"))
+
+
+@query("d11_spatial_overlap", "WITH p AS (SELECT a.det_id AS a, a.sort_key AS sa, b.det_id AS b, b.sort_key AS sb, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS shared FROM detections a JOIN detections b ON a.image_id = b.image_id AND (a.det_id, a.sort_key) < (b.det_id, b.sort_key)) SELECT a, sa, b, sb, shared FROM p WHERE shared > 0")
+def d11(d):
+    names = ("x1", "y1", "x2", "y2")
+    a, b = (d.detections.select("image_id", F.col("det_id").alias(s), F.col("sort_key").alias(f"s{s}"), *[F.col(c).alias(f"{s}_{c}") for c in names]) for s in ("a", "b"))
+    shared = D.overlap(tuple(f"a_{c}" for c in names), tuple(f"b_{c}" for c in names))
+    pairs = a.join(b, "image_id").where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("sa") < F.col("sb"))))
+    return pairs.withColumn("shared", shared).where("shared > 0").select("a", "sa", "b", "sb", "shared")

@@ -29,6 +29,12 @@ def d3(d):
     return J.route(d.detections, edges).groupBy("dst", "class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("b26_class_of_interest", "WITH e(dst, coi) AS (VALUES ('arcface', 0), ('carbrand', 2), ('sink', -1)) SELECT dst, count(*) AS n FROM detections, e WHERE coi = -1 OR class_id = coi GROUP BY dst")
+def b26(d):
+    edges = d.spark.createDataFrame([("arcface", 0), ("carbrand", 2), ("sink", -1)], "dst string, coi long")
+    return J.route(d.detections, edges).groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 STEPS = "steps AS (SELECT user_id % 5 AS trace, t0 AS tm, max(v) AS mbps FROM request WHERE event_id % 7 = 0 GROUP BY ALL), pts AS (SELECT event_id, user_id % 5 AS trace, t0 AS tm FROM request)"
 
 
