@@ -7,37 +7,35 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .registry import query
 
-P = F.col("path")
-
 
 @query("b1_frame_id", "SELECT event_id, CAST(split_part(split_part(path, ']', 1), '|', 3) AS BIGINT) AS frame_id FROM paths")
 def b1(d):
-    return d.paths.select("event_id", S.frame_id(P).alias("frame_id"))
+    return d.paths.select("event_id", S.frame_id(F.col("path")).alias("frame_id"))
 
 
 @query("b2_origin_stream", "SELECT event_id, split_part(split_part(path, ']', 1), '|', 2) AS origin FROM paths")
 def b2(d):
-    return d.paths.select("event_id", S.origin_stream(P).alias("origin"))
+    return d.paths.select("event_id", S.origin_stream(F.col("path")).alias("origin"))
 
 
 @query("b3_sender_host", "SELECT event_id, CASE WHEN len(string_split(path, '[')) = 2 THEN '' ELSE split_part(split_part(path, '[', 2), '|', 1) END AS host FROM paths")
 def b3(d):
-    return d.paths.select("event_id", S.sender_host(P).alias("host"))
+    return d.paths.select("event_id", S.sender_host(F.col("path")).alias("host"))
 
 
 @query("b4_arrival_pkg_size", r"SELECT event_id, CAST(regexp_extract(path, '\|([0-9]+)\][^\[]*$', 1) AS BIGINT) AS size_b FROM paths")
 def b4(d):
-    return d.paths.select("event_id", S.arrival_package_size(P).alias("size_b"))
+    return d.paths.select("event_id", S.arrival_package_size(F.col("path")).alias("size_b"))
 
 
 @query("b5_path_builder", "SELECT event_id, path || '[serv|sink|3|' || CAST(event_id % 7 AS VARCHAR) || ']' AS longer FROM paths")
 def b5(d):
-    return d.paths.select("event_id", S.append_hop(P, F.lit("serv"), F.lit("sink"), F.lit("3"), (F.col("event_id") % 7).cast("string")).alias("longer"))
+    return d.paths.select("event_id", S.append_hop(F.col("path"), F.lit("serv"), F.lit("sink"), F.lit("3"), (F.col("event_id") % 7).cast("string")).alias("longer"))
 
 
 @query("b6_split_any", r"SELECT event_id, len(regexp_split_to_array(path, '[\[\]|]')) AS parts, regexp_split_to_array(path, '[\[\]|]')[3] AS third FROM paths")
 def b6(d):
-    parts = S.split_any(P, "[]|")
+    parts = S.split_any(F.col("path"), "[]|")
     return d.paths.select("event_id", F.size(parts).cast("long").alias("parts"), F.get(parts, F.lit(2)).alias("third"))
 
 
