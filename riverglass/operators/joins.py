@@ -21,7 +21,7 @@ def fill_missing(recent: DataFrame, profiled: DataFrame, key: str, least: int =
 def route(detections: DataFrame, edges: DataFrame) -> DataFrame:
     """Detections to every downstream edge of their class, and to edges of class -1: two equi-joins, no nested loop."""
     on_class = detections.join(edges.where("coi >= 0"), F.col("class_id") == F.col("coi"))
-    catch_all = detections.withColumn("any_", F.lit(-1).cast("long")).join(edges.where("coi = -1"), F.col("any_") == F.col("coi")).drop("any_")
+    catch_all = detections.withColumn("any_", F.col("class_id") * 0 - 1).join(edges.where("coi = -1"), F.col("any_") == F.col("coi")).drop("any_")
     return on_class.unionByName(catch_all)
 
 
