@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,27 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
     return out.where(F.col("rn_") >= n).drop("rn_")
 
 
+def average_tail(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, blend: int = 10) -> DataFrame:
+    """``n`` - 1 further averages per series (i from 1): each blends the mean of the last, ever shorter, window with the ``blend`` averages before it.
+
+    Only the last ``n`` + ``blend`` - 1 rows of a series count, so that is all a group holds. Series shorter than ``n`` have no tail.
+    """
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    last = df.select(*keys, *order, value).withColumn("rn_", F.row_number().over(newest)).where(F.col("rn_") < n + blend)
+
+    def tail(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf.sort_values("rn_", ascending=False)[value].to_numpy(np.float64)
+        averages = [float(a[i : i + n].mean()) for i in range(len(a) - n + 1)]
+        for i in range(n - 1 if averages else 0):
+            known = averages[-blend:]
+            averages.append((float(a[-(n - i) :].mean()) + sum(known)) / (len(known) + 1))
+        added = averages[len(averages) - (n - 1) :] if averages else []
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(added) for k in keys}, "i": range(1, len(added) + 1), "average": added})
+
+    head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return last.groupBy(*keys).applyInPandas(tail, f"{head}, i long, average double")
+
+
 def success_rate(df: DataFrame) -> DataFrame:
     return df.withColumns({"throughput_pct": F.col("throughput") / F.col("most") * 100, "goodput_pct": F.col("goodput") / F.col("most") * 100})
 

@@ -173,6 +173,11 @@ def h22(d):
     return X.moving_average(d.request, ["user_id"], ["t0", "event_id"], "v", 10).select("event_id", F.round("average", 6).alias("average"))
 
 
+@query("h22_average_tail")
+def h22_tail(d):
+    return X.average_tail(d.request, ["user_id"], ["t0", "event_id"], "v", 5)
+
+
 @query("h23_bandwidth_mean", "WITH s AS (SELECT trace, mbps, row_number() OVER (PARTITION BY trace ORDER BY tm) AS i FROM bandwidth) SELECT CAST(i AS BIGINT) AS i, round(avg(mbps), 2) AS mean FROM s GROUP BY i")
 def h23(d):
     return J.mean_by_position(d.bandwidth, "trace", ["tm"], "mbps", of_all=False).select(F.col("i").cast("long").alias("i"), "mean")

@@ -126,6 +126,16 @@ def test_bucket_of_constant_time_is_the_middle(spark):
     assert (r.bucket, r.v) == (49, 2.0)
 
 
+def test_average_tail_blends_shrinking_windows(spark):
+    a, n = [float(x * x % 17) for x in range(40)], 4
+    averages = [sum(a[i : i + n]) / n for i in range(len(a) - n + 1)]
+    for i in range(n - 1):
+        averages.append((sum(a[-(n - i) :]) / (n - i) + sum(averages[-10:])) / 11)
+    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(a)] + [("short", 0, 1.0)], "k string, i long, v double")
+    got = [(r.k, r.average) for r in X.average_tail(df, ["k"], ["i"], "v", n).orderBy("i").collect()]
+    assert got == [("k", pytest.approx(x)) for x in averages[-(n - 1) :]]
+
+
 def test_smoothing_equals_the_full_fold(spark):
     rng = np.random.default_rng(2)
     xs = rng.random(2000) * 1000
