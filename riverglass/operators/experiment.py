@@ -138,7 +138,8 @@ def average_tail(df: DataFrame, keys: list[str], order: list[str], value: str, n
             known = averages[-blend:]
             averages.append((float(a[-(n - i) :].mean()) + sum(known)) / (len(known) + 1))
         added = averages[len(averages) - (n - 1) :] if averages else []
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(added) for k in keys}, "i": range(1, len(added) + 1), "average": added})
+        first = pdf[keys].iloc[[0] * len(added)].reset_index(drop=True)
+        return first.assign(i=np.arange(1, len(added) + 1, dtype=np.int64), average=np.array(added, np.float64))
 
     head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     return last.groupBy(*keys).applyInPandas(tail, f"{head}, i long, average double")
