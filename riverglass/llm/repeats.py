@@ -7,7 +7,10 @@ places. Neighbouring windows with one anchor form a run, and
 
 * a run whose whole context (all bytes of its windows) occurs more than once repeats as a whole;
 * a run whose anchor occurs in no other context has no window that starts elsewhere;
-* the windows of all other runs, one run for each distinct context, go on as suffixes.
+* of all other runs, one for each distinct context goes on, cut into parts of windows whose distances to the anchor
+  share a multiple of ``PART``. The same two tests hold for a part: it repeats if all its bytes do, and none of it
+  does if the bytes common to all windows of the part are unique. The windows of the parts that are left, one part for each
+  distinct content, are the suffixes to sort.
 
 These suffixes are range-partitioned by their leading bytes with Spark's sampled splitters, each bucket is sorted by
 multikey quicksort on 64-bit words (the first eight bytes, then a 128-bit digest that stands for the compared ``length``
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, store
 
 CORE = 40
+PART = 16
 _SEGMENT = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -58,8 +62,8 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(data: bytes, length: int = 400) -> list[tuple[int, int, int, int]]:
-    """(first window, windows, anchor hash, context hash) of each run of windows that name the same anchor."""
+def runs(data: bytes, length: int = 400) -> list[tuple[int, int, int, int, int]]:
+    """(first window, windows, distance to the anchor, anchor hash, context hash) of each run of windows that name one anchor."""
     out = []
     for start in range(0, max(len(data) - length + 1, 0), _SEGMENT):
         part = data[start : start + _SEGMENT + length - 1]
@@ -72,7 +76,7 @@ def runs(data: bytes, length: int = 400) -> list[tuple[int, int, int, int]]:
         cores = h[anchors].view(np.int64)
         for lo, n, anchor, core in zip(first.tolist(), sizes.tolist(), anchors.tolist(), cores.tolist(), strict=True):
             context = xxhash.xxh3_64_intdigest(part[lo : lo + n + length - 1], anchor - lo) - 2**63
-            out.append((start + lo, n, core, context))
+            out.append((start + lo, n, anchor - lo, core, context))
     return out
 
 
@@ -116,31 +120,88 @@ def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
     def emit(batch):
         out = {"doc": batch["doc"], "uid": batch["uid"], "runs": []}
         for text in batch["text"]:
-            out["runs"].append([{"lo": a, "n": n, "core": c, "context": x} for a, n, c, x in runs(text.encode("utf-8", "replace"), length)])
+            out["runs"].append([{"lo": a, "n": n, "back": k, "core": c, "context": x} for a, n, k, c, x in runs(text.encode("utf-8", "replace"), length)])
         return out
 
     long_ = texts.where(F.octet_length("text") >= length)
-    found = arrow_map(long_, "doc long, uid long, runs array<struct<lo:int,n:int,core:long,context:long>>", emit, rows=64)
+    found = arrow_map(long_, "doc long, uid long, runs array<struct<lo:int,n:int,back:int,core:long,context:long>>", emit, rows=64)
     found = store(found.select("doc", "uid", F.inline("runs")), "runs")
-    place = F.struct("doc", "uid", "lo", "n")
+    place = F.struct("doc", "uid", "lo", "n", "back")
     contexts = store(found.groupBy("core", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contexts")
     shared = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
-    open_ = store(contexts.join(shared, "core").select("at.*"), "open")
+    open_ = contexts.join(shared, "core").select("at.*", "core")
     whole = contexts.where("copies > 1").select("core", "context")
     sure = found.join(whole, ["core", "context"]).select("doc", "uid", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last"))
-    sorted_ = _repeated_suffixes(texts, open_, length)
-    return sure.unionByName(sorted_)
+    parts, some = _repeated_parts(_with_bytes(texts, open_, length), length)
+    return sure.unionByName(parts).unionByName(_repeated_suffixes(some, length))
 
 
-def _repeated_suffixes(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+def _with_bytes(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """The open runs with the bytes of their contexts: doc, uid, lo, n, back, core, data."""
+
     def emit(batch):
-        out = {n: [] for n in ("lead", "d0", "d1", "doc", "uid", "pos")}
-        digest = xxhash.xxh3_128_digest
+        out = {n: [] for n in ("doc", "uid", "lo", "n", "back", "core", "data")}
         for doc, uid, text, spans in zip(batch["doc"], batch["uid"], batch["text"], batch["spans"], strict=True):
             data = text.encode("utf-8", "replace")
-            at = np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in spans])
-            made = np.frombuffer(b"".join([digest(data[i : i + length]) for i in at.tolist()]), "<i8").reshape(-1, 2)
-            lead = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[at].astype(np.uint64)
+            for s in spans:
+                row = {"doc": doc, "uid": uid, **s, "data": data[s["lo"] : s["lo"] + s["n"] + length - 1]}
+                for name, value in row.items():
+                    out[name].append(value)
+        return out
+
+    spans = store(open_.groupBy("doc", "uid").agg(F.collect_list(F.struct("lo", "n", "back", "core")).alias("spans")), "spans")
+    rows = texts.alias("t").join(spans.alias("s").hint("merge"), _match("t", "s")).select("t.doc", "t.uid", "t.text", "s.spans")
+    return store(arrow_map(rows, "doc long, uid long, lo int, n int, back int, core long, data binary", emit, rows=16), "open")
+
+
+def parts_of(lo: int, n: int, back: int, data: bytes, length: int) -> list[tuple[int, int, int, int, int]]:
+    """(distance block, first window, last window, hash of all bytes, hash of the common bytes) of a run's parts.
+
+    ``back`` is the distance of the run's first window to the anchor; later windows are nearer.
+    """
+    out = []
+    for block in range((back - n + 1) // PART, back // PART + 1):
+        far, near = min(back, PART * block + PART - 1), max(back - n + 1, PART * block)
+        first, last = back - far, back - near
+        common = back - PART * block
+        every = xxhash.xxh3_64_intdigest(data[first : last + length], far) - 2**63
+        shared = xxhash.xxh3_64_intdigest(data[common : common - PART + 1 + length]) - 2**63
+        out.append((block, lo + first, lo + last, every, shared))
+    return out
+
+
+def _repeated_parts(runs_: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges of the parts that repeat as a whole, and the parts to look into (doc, uid, first, last, data)."""
+
+    def emit(batch):
+        out = {"doc": batch["doc"], "uid": batch["uid"], "lo": batch["lo"], "core": batch["core"], "parts": []}
+        for lo, n, back, data in zip(batch["lo"], batch["n"], batch["back"], batch["data"], strict=True):
+            out["parts"].append([{"block": b, "first": f, "last": l, "every": e, "shared": c} for b, f, l, e, c in parts_of(lo, n, back, data, length)])
+        return out
+
+    schema = "doc long, uid long, lo int, core long, parts array<struct<block:int,first:int,last:int,every:long,shared:long>>"
+    found = store(arrow_map(runs_, schema, emit, rows=1024).select("doc", "uid", "lo", "core", F.inline("parts")), "parts")
+    place = F.struct("doc", "uid", "lo", "first", "last")
+    kinds = store(found.groupBy("core", "block", "shared", "every").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "kinds")
+    again = kinds.where("copies > 1").select("core", "block", "shared", "every")
+    sure = found.join(again, ["core", "block", "shared", "every"]).select("doc", "uid", "first", "last")
+    mixed = kinds.groupBy("core", "block", "shared").agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
+    some = kinds.join(mixed, ["core", "block", "shared"]).select("at.*")
+    some = some.groupBy("doc", "uid", "lo").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    both = runs_.select("doc", "uid", "lo", "data").alias("r").join(some.alias("s"), _match("r", "s") & (F.col("r.lo") == F.col("s.lo")))
+    return sure, both.select("r.doc", "r.uid", "r.lo", "r.data", "s.spans")
+
+
+def _repeated_suffixes(some: DataFrame, length: int) -> DataFrame:
+    """Sorts the windows of ``some`` (doc, uid, lo, data, spans) as suffixes; those equal to a neighbour, as ranges."""
+
+    def emit(batch):
+        out = {n: [] for n in ("lead", "d0", "d1", "doc", "uid", "pos")}
+        digest = xxhash.xxh3_128_digest
+        for doc, uid, lo, data, spans in zip(batch["doc"], batch["uid"], batch["lo"], batch["data"], batch["spans"], strict=True):
+            at = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
+            made = np.frombuffer(b"".join([digest(data[i : i + length]) for i in (at - lo).tolist()]), "<i8").reshape(-1, 2)
+            lead = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[at - lo].astype(np.uint64)
             out["lead"].append((lead ^ np.uint64(1 << 63)).view(np.int64))
             out["d0"].append(made[:, 0])
             out["d1"].append(made[:, 1])
@@ -149,9 +210,7 @@ def _repeated_suffixes(texts: DataFrame, open_: DataFrame, length: int) -> DataF
             out["pos"].append(at.astype(np.int32))
         return {n: v if n == "doc" else np.concatenate(v) if v else [] for n, v in out.items()}
 
-    spans = store(open_.groupBy("doc", "uid").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans")
-    rows = texts.alias("t").join(spans.alias("s").hint("merge"), _match("t", "s")).select("t.doc", "t.uid", "t.text", "s.spans")
-    suffixes = arrow_map(rows, "lead long, d0 long, d1 long, doc long, uid long, pos int", emit, rows=16)
+    suffixes = arrow_map(some, "lead long, d0 long, d1 long, doc long, uid long, pos int", emit, rows=1024)
     dealt = store(suffixes, "suffixes").repartitionByRange("lead", "d0", "d1", "doc", "pos")
 
     def bucket(batches):
