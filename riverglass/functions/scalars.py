@@ -5,24 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abbreviations of words in experiment, pipeline, task, device and metric names.
+# Abbreviations of the words in experiment, pipeline, task, device and metric names.
 ABBREVIATIONS = {
-    "full": "full",
-    "fcpo": "fcpo",
-    "octopinf": "octopinf",
-    "traffic": "trfc",
-    "people": "ppl",
+    "batch": "batch",
     "server": "serv",
     "onprem": "onp",
-    "agx": "agx",
-    "nx": "nx",
-    "orn": "orn",
-    "view": "view",
-    "click": "clck",
-    "purchase": "prch",
-    "signup": "sgnp",
-    "edge": "edge",
-    "stream": "strm",
+    "agxavier": "agx",
+    "orinagx": "oagx",
+    "orinnx": "onx",
+    "orinano": "orn",
+    "nxavier": "nx",
+    "datasource": "dsrc",
+    "traffic": "trfc",
+    "building": "bldg",
+    "people": "ppl",
+    "indoor": "ind",
+    "merged": "mrgd",
+    "mergedtraffic": "mrgdtrfc",
+    "mergedpeople": "mrgdppl",
+    "yolov5": "y5",
+    "yolov5n": "y5n",
+    "yolov5s": "y5s",
+    "yolov5m": "y5m",
+    "yolov5l": "y5l",
+    "yolov5x": "y5x",
+    "yolov5ndsrc": "y5nd",
+    "retina": "rt",
+    "multiface": "mf",
+    "retina1face": "rt1f",
+    "retinamtface": "rt_mf",
+    "retinamtfacedsrc": "rtmfd",
+    "age": "age",
+    "arcface": "arcf",
+    "carbrand": "cbrd",
+    "carcolor": "ccol",
+    "cardamage": "cdmg",
+    "firedetect": "fire",
+    "fashioncolor": "fcol",
+    "gender": "gndr",
+    "emotion": "emtn",
+    "emotionnet": "emtn",
+    "platedet": "pldt",
+    "dynamic": "dyn",
+    "movenet": "move",
+    "3090": "39",
+    "1080": "18",
+    "fp32": "32",
+    "fp16": "16",
+    "int8": "8",
 }
 
 
@@ -64,14 +94,19 @@ def split_any(text: Column, delimiters: str) -> Column:
 
 
 def abbreviate(phrase: Column, delimiter: str = "_", words: dict[str, str] | None = None) -> Column:
-    """Every word by the dictionary, else its stem by the dictionary with the trailing digits kept, else its first four letters."""
+    """Every word by the dictionary, else its stem by the dictionary with the trailing digits kept, else its first four letters.
+
+    No delimiter follows a word that equals the last one.
+    """
     known = F.create_map(*[F.lit(x) for pair in (words or ABBREVIATIONS).items() for x in pair])
 
     def short(word: Column) -> Column:
         stem = F.regexp_replace(word, "[0-9]+$", "")
         return F.coalesce(known[word], F.concat(known[stem], F.regexp_extract(word, "([0-9]*)$", 1)), F.substring(word, 1, 4))
 
-    return F.array_join(F.transform(F.split(phrase, f"\\{delimiter}"), short), delimiter)
+    parts = F.split(phrase, f"\\{delimiter}")
+    ends = lambda word: F.when(word == F.element_at(parts, -1), "").otherwise(delimiter)
+    return F.array_join(F.transform(parts, lambda word: F.concat(short(word), ends(word))), "")
 
 
 def object_class(head: Column) -> Column:

@@ -41,12 +41,11 @@ def b6(d):
 
 @query(
     "b7_abbreviate",
-    """SELECT DISTINCT event_type || '_' || stream || '_server2_fullness' AS phrase,
-       CASE event_type WHEN 'click' THEN 'clck' WHEN 'purchase' THEN 'prch' WHEN 'signup' THEN 'sgnp' ELSE substr(event_type, 1, 4) END
-       || '_strm' || right(stream, 1) || '_serv2_full' AS short FROM request""",
+    """SELECT DISTINCT event_type || '_' || stream || '_server2_yolov5n_traffic_fullness' AS phrase,
+       substr(event_type, 1, 4) || '_stre_serv2_y5n_trfc_full' AS short FROM request""",
 )
 def b7(d):
-    phrase = F.concat_ws("_", "event_type", "stream", F.lit("server2"), F.lit("fullness"))
+    phrase = F.concat_ws("_", "event_type", "stream", F.lit("server2"), F.lit("yolov5n"), F.lit("traffic"), F.lit("fullness"))
     return d.request.select(phrase.alias("phrase")).distinct().select("phrase", S.abbreviate(F.col("phrase")).alias("short"))
 
 
