@@ -83,7 +83,7 @@ def b13(d):
     return d.request.crossJoin(F.broadcast(first)).select("event_id", S.minutes_since(F.col("t0"), F.col("first_")).alias("minutes"))  # one row
 
 
-@query("b14_host_type", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'serv' ELSE sender_host END AS host FROM request")
+@query("b14_host_type", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'serv' ELSE substr(sender_host, 1, 4) END AS host FROM request")
 def b14(d):
     host = F.when(F.col("event_id") % 5 == 0, "virtual").otherwise(F.col("sender_host"))
     return d.request.select("event_id", S.host_type(host).alias("host"))
