@@ -48,7 +48,7 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, head
     queries = _blocks(whole, some, query_block, "q")
     topmost = blocks.where("c = 0").select("c", "c_ids", "c_x")
     spec = {"k": k, "width": width, "head": min(head, width), "turn": turn}
-    first = _pairs(queries.withColumn("c", F.lit(0).cast("long")).join(topmost, "c"), spec, bounded=False)
+    first = _pairs(queries.withColumn("c", F.col("q") * 0).join(topmost, "c"), spec, bounded=False)
     first = store(first, "first")
     kth = first.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rn") == k)
     bounds = store(kth.select("query_id", F.col("score").alias("kth")), "bounds")
