@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 from riverglass.llm import lines, mixing, pii, repeats, sentencepiece, simhash, toxicity
-from riverglass.llm.common import connected_components, read, running_totals
+from riverglass.llm.common import clear, connected_components, hash_sample, read, running_totals, shared_dir, store
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -41,6 +41,20 @@ def test_running_totals(spark):
     assert running_totals(df.limit(0), ["g"], ["o"], "v", "before").count() == 0
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    df = store(spark.range(3), "gone")
+    assert df.count() == 3
+    clear(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/riverglass"))
+
+
+def test_samples_are_bounded(spark):
+    df = spark.range(20_000)
+    n = hash_sample(df, "id", 1000, "a").count()
+    assert 700 < n <= 1000 and hash_sample(df, "id", 20_000, "a").count() == 20_000
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)] + [(-5, 3), (7, 7)]
