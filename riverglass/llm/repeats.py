@@ -126,10 +126,12 @@ def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
     long_ = texts.where(F.octet_length("text") >= length)
     found = arrow_map(long_, "doc long, uid long, runs array<struct<lo:int,n:int,back:int,core:long,context:long>>", emit, rows=64)
     found = store(found.select("doc", "uid", F.inline("runs")), "runs")
+    cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("n_"), F.min("context").alias("a_"), F.max("context").alias("b_")).where("n_ > 1")
+    cores = store(cores.select("core", (F.col("a_") != F.col("b_")).alias("mixed")), "cores")
+    found = store(found.join(cores, "core"), "candidates")  # an anchor that occurs once has no window that repeats
     place = F.struct("doc", "uid", "lo", "n", "back")
-    contexts = store(found.groupBy("core", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contexts")
-    shared = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
-    open_ = contexts.join(shared, "core").select("at.*", "core")
+    contexts = store(found.groupBy("core", "context", "mixed").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contexts")
+    open_ = contexts.where("mixed").select("at.*", "core")
     whole = contexts.where("copies > 1").select("core", "context")
     sure = found.join(whole, ["core", "context"]).select("doc", "uid", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last"))
     parts, some = _repeated_parts(_with_bytes(texts, open_, length), length)
