@@ -39,6 +39,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this package from the shared folder; call it once results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/riverglass")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -48,6 +54,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
+    """At most ``rows`` rows of ``df``, picked by a hash of ``key``: all if there are no more, else nine tenths of ``rows`` on average.
+
+    A filter, not a sort: no task gathers candidates of the others.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    steps = 1 << 40
+    return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(steps)) < int(0.9 * rows / n * steps)).limit(rows)
+
+
 def arrow_map(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = 256) -> DataFrame:
     """Run ``fn`` over small slices of ``df`` in Arrow batches: columns as lists in, columns as lists out."""
     out = T._parse_datatype_string(schema)

@@ -9,7 +9,7 @@ which the calibrated precision reaches ``precision``. Proposals that pass and ov
 
 Training needs labels, which a corpus lacks: the trees learn from proposals whose label is certain by construction (``examples``): rendered
 from formats (positive) and near misses of the same shapes (negative), each set in words of the corpus's own sampled
-rows. The sample is the ``sample_rows`` rows with the smallest hash of their id, a fixed bound.
+rows: up to 100 words of each of at most ``sample_rows`` rows, picked by a hash of their id.
 
 Defined cases: null and empty texts have no spans; a null doc_id stays null; repeated rows give the same row each; offsets are code points,
 ends exclusive; only ``doc_id`` and ``text`` are read.
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import WORD, arrow_map, hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -249,9 +249,8 @@ def examples(words: list[str], n: int = 6000, seed: int = 11) -> tuple[np.ndarra
 
 def fit(docs: DataFrame, sample_rows: int = 500, precision: float = 0.98) -> tuple[Boosted, dict[str, float]]:
     """The trees and, per kind, the raw score from which calibrated precision is at least ``precision``."""
-    order = F.xxhash64(F.lit("pii"), F.col("doc_id"))
-    taken = docs.select(F.substring("text", 1, 400).alias("t"), order.alias("o_")).where("t IS NOT NULL").orderBy("o_", "t").limit(sample_rows)
-    words = sorted({w for r in taken.collect() for w in r.t.split()})
+    taken = hash_sample(docs.select("doc_id", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.lit(100)).alias("words")), "doc_id", sample_rows, "pii")
+    words = sorted({w for r in taken.collect() for w in r.words or ()})
     x, y = examples(words)
     cut = len(y) * 2 // 3
     model = Boosted().fit(x[:cut], y[:cut])
