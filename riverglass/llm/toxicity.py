@@ -2,7 +2,7 @@
 
 Features are the set of a text's lower-cased words and their stems of four to six letters, word pairs and pairs with
 one word between, hashed to 32 bits.
-Training takes a bounded sample of labelled rows (``train_rows``, those with the smallest hash of their id), split
+Training takes a bounded sample of labelled rows (at most ``train_rows``, picked by a hash of their id), split
 into shards of at most ``shard_rows``; each shard runs FTRL-proximal with per-coordinate learning rates and L1, and
 the shards' sparse weights are averaged. Only coordinates that L1 leaves above zero remain, so the weights that go to the scoring
 tasks are small: at most ``most_weights`` of them are kept, by size, which bounds the broadcast.
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, store
+from .common import arrow_map, hash_sample, store
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _ROOM, _STEMS = 1 << 17, (4, 5, 6)
@@ -112,8 +112,8 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, shard_rows: int = 4000, most_weights: int = 20_000, **options) -> dict[int, float]:
     """Sparse weights by feature. ``train_rows`` bounds the labelled rows that are fitted."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"))).withColumn("order_", F.xxhash64(F.lit("fit"), "doc_id"))
-    chosen = store(known.orderBy("order_", "doc_id").limit(train_rows).select("doc_id", "toxic"), "labels")
+    known = store(known.where(~held_out(F.col("doc_id"))), "known")
+    chosen = store(hash_sample(known, "doc_id", train_rows, "fit"), "labels")
     n = chosen.count()
     if chosen.select("toxic").distinct().count() < 2:
         return {}
