@@ -4,7 +4,7 @@ Each of ``orders`` orderings projects the vectors on ``axes`` random orthonormal
 sorts by position on a Hilbert curve. The rows are range-partitioned by (ordering, position), distributed prefix counts give ranks,
 and a query meets all vectors within ``window`` (a share of all vectors, half to each side) in any ordering; the candidates
 of all orderings merge and are ranked by exact distance. Exact copies of a vector take one place on the curves and bring their smallest ids along,
-so no window fills up with copies. The grid's bounds come from a sample of ``sample_rows`` vectors; every vector is indexed.
+so no window fills up with copies. The grid's bounds come from a sample of at most ``sample_rows`` vectors; every vector is indexed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows without an id; of rows
 that share an id the smallest vector counts; vectors shorter than the longest are padded with zeros; ties go to the smaller id.
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, running_totals, store
+from .common import arrow_map, hash_sample, running_totals, store
 from .hilbert import hilbert_key
 from .vectors import element_type, stack, usable
 
@@ -81,7 +81,7 @@ def search(table: DataFrame, k: int = 10, every: int = 100, orders: int = 24, ax
 
 def _curves(points: DataFrame, width: int, kind: str, orders: int, axes: int, sample_rows: int, seed: int) -> list:
     """One function per ordering, from vectors to positions on its curve."""
-    taken = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
+    taken = hash_sample(points, "vec_id", sample_rows, "curves").select("v").collect()
     x = stack([bytes(r.v) for r in taken], width, kind)
     if not len(x):
         return []
