@@ -1,15 +1,20 @@
-"""Operator 9: remove repeated multi-line chunks whose bounds follow the content.
+"""Operator 9: remove repeated passages of whole lines.
 
-A text's lines are hashed, and a rolling hash over ``window`` neighbouring line hashes sets a boundary where it is 0
-modulo ``mean``, so a passage that many documents share is cut alike wherever it stands. A chunk of two or more lines
-that occurs more than once in the table is kept where it comes first (smallest doc_id, then position) and removed
-elsewhere, once its bytes were compared with those of the first occurrence.
+A passage is two or more neighbouring lines that are not all blank, or one line of 50 or more words, whose bytes also
+occur earlier in the table (smallest doc_id, then position). Every two neighbouring lines and every long line are
+hashed, so a shared passage is found wherever it stands. Finds that continue each other in the same earlier document
+are joined to one run, and a run is removed once its bytes were compared with that document's. The table's first
+occurrence of a line is never removed.
+
+``dedup_lines`` without ``spans`` works by content-defined chunks instead: a rolling hash over ``window`` neighbouring
+line hashes sets a boundary where it is 0 modulo ``mean``, and chunks of two or more lines that repeat are removed. It
+needs fewer keys, but finds only passages that hold a whole chunk.
 
 Only hashes and positions are shuffled to find repeats. Texts are shuffled twice, by document, to meet the places of
 repeats and then the spans to cut; both are asked for as sort-merge joins, so the plan is the same at every size.
 
 Defined cases: null texts stay null, empty texts stay empty; a null ``doc_id`` comes after all others; rows that agree
-in doc_id and text count as one occurrence and get the same result; a text of which all chunks go becomes empty;
+in doc_id and text count as one occurrence and get the same result; a text of which all lines go becomes empty;
 other columns pass through.
 """
 
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, store
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 50  # words that make one line a passage
 
 
 def chunk_starts(lines: list[str], window: int = 2, mean: int = 4, most: int = 64) -> list[int]:
@@ -82,16 +88,99 @@ def chunk_keys(docs: DataFrame, **shape) -> DataFrame:
     return rows.select("doc", "uid", F.inline("chunks"))
 
 
-def repeated_chunks(docs: DataFrame, **shape) -> DataFrame:
-    """(doc, uid, start, n_lines) of every chunk to remove: its bytes also occur earlier in the table."""
-    keys = store(chunk_keys(docs, **shape), "chunks")
-    place = F.struct(F.col("doc").isNull(), "doc", "uid", "start")
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc, uid, start, n_lines) of the lines to remove, spans of a document apart from each other: their bytes also occur earlier in the table."""
+    return _verified(docs, _pair_keys(docs), _runs)
+
+
+def _content_chunks(docs: DataFrame, **shape) -> DataFrame:
+    """The same of content-defined chunks only."""
+    return _verified(docs, chunk_keys(docs, **shape), _single)
+
+
+def pairs(lines: list[str]) -> list[tuple[int, int]]:
+    """(start, n_lines) of what is looked up: two neighbouring lines that are not both blank, blank lines up to the next other one, long lines."""
+    out, blank, opened = [], [not x.strip() for x in lines], 0
+    for i, x in enumerate(lines):
+        if not blank[i]:
+            if i and blank[i - 1] and i - opened > 1:
+                out.append((opened, i - opened + 1))
+            if len(x) >= 2 * _LONG - 1 and len(x.split()) >= _LONG:
+                out.append((i, 1))
+        elif not (i and blank[i - 1]):
+            opened = i
+        if i + 1 < len(lines) and not (blank[i] and blank[i + 1]):
+            out.append((i, 2))
+    return out
+
+
+def _pair_keys(docs: DataFrame) -> DataFrame:
+    """(doc, uid, start, n_lines, hash) of all ``pairs``."""
+
+    def run(batch):
+        out = {"doc": batch["doc"], "uid": batch["uid"], "pairs": []}
+        for text in batch["text"]:
+            lines = text.split("\n")
+            out["pairs"].append([{"start": a, "n_lines": n, "hash": xxhash.xxh3_64_intdigest("\n".join(lines[a : a + n]).encode("utf-8", "replace")) - 2**63} for a, n in pairs(lines)])
+        return out
+
+    rows = arrow_map(_identified(docs).where("text <> ''"), "doc long, uid long, pairs array<struct<start:int,n_lines:int,hash:long>>", run)
+    return rows.select("doc", "uid", F.inline("pairs"))
+
+
+def _single(found: list[dict]) -> list[tuple]:
+    return sorted({(f["start"], f["n_lines"], f["doc"], f["uid"], f["at"]) for f in found}, key=lambda r: r[0])
+
+
+def _runs(found: list[dict]) -> list[tuple]:
+    """Finds of one document that continue each other in the same earlier place, joined; runs inside others are left out."""
+    ways: dict[tuple, list] = {}
+    for f in sorted(found, key=lambda f: (f["start"], f["n_lines"])):
+        way = ways.setdefault((f["doc"], f["uid"], f["at"] - f["start"]), [])
+        if way and f["start"] <= way[-1][1]:
+            way[-1][1] = max(way[-1][1], f["start"] + f["n_lines"])
+        else:
+            way.append([f["start"], f["start"] + f["n_lines"]])
+    out, reach = [], -1
+    for a, end, doc, uid, shift in sorted(((a, b, *k) for k, way in ways.items() for a, b in way), key=lambda r: (r[0], -r[1])):
+        if end > reach:
+            out.append((a, end - a, doc, uid, a + shift))
+            reach = end
+    return out
+
+
+def _apart(spans: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for start, n in sorted((s["start"], s["n_lines"]) for s in spans):
+        if out and start <= out[-1]["start"] + out[-1]["n_lines"]:
+            out[-1]["n_lines"] = max(out[-1]["n_lines"], start + n - out[-1]["start"])
+        else:
+            out.append({"start": start, "n_lines": n})
+    return out
+
+
+def _verified(docs: DataFrame, found: DataFrame, join) -> DataFrame:
+    keys = store(found, "chunks")
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "uid", "start")
     first = keys.groupBy("hash").agg(F.min(place).alias("first_"), F.max(place).alias("last_")).where("first_ <> last_").drop("last_")
-    seen = store(keys.join(store(first, "first"), "hash").withColumn("is_first", place == F.col("first_")).drop("first_"), "repeats")
-    wanted = seen.groupBy("doc", "uid").agg(F.collect_set(F.struct("start", "n_lines", "hash", "is_first")).alias("places"))
+    later = keys.join(store(first, "first"), "hash").where(place != F.col("first_"))
+    per = later.groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines", F.col("first_.doc").alias("doc"), F.col("first_.uid").alias("uid"), F.col("first_.start").alias("at"))).alias("found"))
+
+    def joined(batch):
+        out = {"doc": batch["doc"], "uid": batch["uid"], "runs": []}
+        for found in batch["found"]:
+            out["runs"].append([dict(zip(("start", "n_lines", "of_doc", "of_uid", "of_start"), r, strict=True)) for r in join(found)])
+        return out
+
+    runs = arrow_map(per, "doc long, uid long, runs array<struct<start:int,n_lines:int,of_doc:long,of_uid:long,of_start:int>>", joined)
+    runs = store(runs.select("doc", "uid", F.inline("runs")), "runs")
+    key = F.struct("of_doc", "of_uid", "of_start", "n_lines").alias("key")
+    copies = runs.select("doc", "uid", "start", "n_lines", key, F.lit(False).alias("is_first"))
+    firsts = runs.select("of_doc", "of_uid", "of_start", "n_lines").distinct().select(F.col("of_doc").alias("doc"), F.col("of_uid").alias("uid"), F.col("of_start").alias("start"), "n_lines", key, F.lit(True).alias("is_first"))
+    wanted = copies.union(firsts).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines", "key", "is_first")).alias("places"))
 
     def cut(batch):
-        out = {n: [] for n in ("doc", "uid", "start", "n_lines", "hash", "is_first", "chunk")}
+        out = {n: [] for n in ("doc", "uid", "start", "n_lines", "key", "is_first", "chunk")}
         for doc, uid, text, places in zip(batch["doc"], batch["uid"], batch["text"], batch["places"], strict=True):
             lines = text.split("\n")
             for p in places:
@@ -100,9 +189,14 @@ def repeated_chunks(docs: DataFrame, **shape) -> DataFrame:
         return out
 
     rows = _identified(docs).alias("d").join(store(wanted, "wanted").alias("w").hint("merge"), _same("d", "w")).select("d.doc", "d.uid", "d.text", "w.places")
-    texts = store(arrow_map(rows, "doc long, uid long, start int, n_lines int, hash long, is_first boolean, chunk string", cut), "texts")
-    origin = texts.where("is_first").groupBy("hash").agg(F.first("chunk").alias("first_chunk"))
-    return texts.where("NOT is_first").join(origin, "hash").where("chunk = first_chunk").select("doc", "uid", "start", "n_lines").distinct()
+    kind = "struct<of_doc:long,of_uid:long,of_start:int,n_lines:int>"
+    texts = store(arrow_map(rows, f"doc long, uid long, start int, n_lines int, key {kind}, is_first boolean, chunk string", cut), "texts")
+    texts = texts.withColumn("key", F.xxhash64("key"))
+    origin = texts.where("is_first").groupBy("key").agg(F.first("chunk").alias("first_chunk"))
+    same = texts.where("NOT is_first").join(origin, "key").where("chunk = first_chunk")
+    spans = same.groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines")).alias("spans"))
+    apart = arrow_map(spans, "doc long, uid long, spans array<struct<start:int,n_lines:int>>", lambda b: {**b, "spans": [_apart(x) for x in b["spans"]]})
+    return apart.select("doc", "uid", F.inline("spans"))
 
 
 def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -119,9 +213,9 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup_lines(docs: DataFrame, **shape) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``, plus n_lines_ and n_removed_ (lines)."""
-    spans = repeated_chunks(docs, **shape).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines")).alias("gone"))
+def dedup_lines(docs: DataFrame, spans: DataFrame | None = None, **shape) -> DataFrame:
+    """``docs`` with ``spans``, or else repeated content-defined chunks, cut out of ``text``, plus n_lines_ and n_removed_ (lines)."""
+    spans = (_content_chunks(docs, **shape) if spans is None else spans).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines")).alias("gone"))
     spans = store(spans, "gone").toDF("gone_doc", "gone_uid", "gone_spans")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc")) & (F.xxhash64("doc_id", "text") == F.col("gone_uid"))
     rows = docs.join(spans.hint("merge"), same, "left")
@@ -132,9 +226,9 @@ def dedup_lines(docs: DataFrame, **shape) -> DataFrame:
     return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n.alias("n_lines_"), removed.alias("n_removed_"))
 
 
-def clean(docs: DataFrame, **shape) -> DataFrame:
-    """``docs``, same columns, with repeated chunks removed and ``n_chars`` brought up to date where there is one."""
-    out = dedup_lines(docs, **shape)
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs``, same columns, with repeated passages removed and ``n_chars`` brought up to date where there is one."""
+    out = dedup_lines(docs, repeated_chunks(docs))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed_") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -49,7 +49,8 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines removed, and SHA-256 of the text that is left."""
-    out = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    out = lines.dedup_lines(docs, lines.repeated_chunks(docs))
     return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -363,6 +363,25 @@ def test_chunk_bounds_follow_content():
     assert len({x + 1 for x in a} & set(b)) > 0.9 * len(a)
 
 
+def test_shared_passages_go_whole(make):
+    rng = random.Random(14)
+    line = lambda n: prose(rng, n, 0).strip()
+    passages = [[line(60)], [line(30), line(30)], [line(20), "", "", "", line(35)], [line(13) for _ in range(5)], [line(9) for _ in range(40)]]
+    rows = [(1, "\n".join(passages[0])), (2, line(9))]
+    for k, p in enumerate(passages):
+        rows += [(10 * k + i, "\n".join([line(8), line(7), *p, line(6)])) for i in range(10, 14)] + [(10 * k + 14, "\n".join([*p, line(6)])), (10 * k + 15, "\n".join([line(6), *p, line(5), *p]))]
+    rows += [(90, rows[3][1].split("\n")[0] + "\n" + line(9)), (91, "a\nb\nb\nb\nb")]
+    got = {r.doc_id: r for r in lines.dedup_lines(make(rows), lines.repeated_chunks(make(rows))).collect()}
+    for k, p in enumerate(passages):
+        for i in range(10, 16):
+            r, text = got[10 * k + i], dict(rows)[10 * k + i]
+            first = i == 10 and k > 0
+            assert r.text == (text if first else text.replace("\n".join(p), "\0").replace("\n\0", "").replace("\0\n", "")), (k, i)
+    assert got[1].text == rows[0][1] and got[90].text == rows[-2][1] and got[91].text == "a\nb"  # lines two and on repeat the pair before them
+    chunks = lines.dedup_lines(make(rows)).collect()  # whatever chunks find goes here too
+    assert all(got[r.doc_id].n_removed_ >= r.n_removed_ for r in chunks)
+
+
 # ---- 10 repeated byte strings
 
 
