@@ -9,30 +9,44 @@ one text cost nothing, and they are cut by position in the order, so a crowded r
 
 Defined cases: null and empty texts have no words and fingerprint zero; a null ``doc_id`` never names a component unless all of its
 ids are null; repeated rows get the same row each; only ``doc_id`` and ``text`` are read.
+
+The pipeline's stage, ``keep_one_similar``, links documents whose sets of word shingles have a Jaccard similarity of
+``least`` or more. No radius of fingerprints holds all such pairs, so its candidates come from a prefix filter: in any
+common order of the shingles, two such sets share one of the first n - ceil(least n) + 1, n being a set's size. That
+loses no pair (up to 64-bit hashes). Pairs that share too few shingles of their prefixes to reach ``least`` are dropped by
+count; every other candidate is verified on the whole sets before it links.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, running_totals, store
+from .common import arrow_map, connected_components, hash_sample, running_totals, store
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash: bit i is set if it is set in over half of the XXH64 hashes of the text's word shingles."""
+def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of ``words`` words, in order; a shorter text is one run, one without words none."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and white space only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(tokens))
     n = len(tokens) - k + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash: bit i is set if it is set in over half of the XXH64 hashes of the text's word shingles."""
+    hashes = shingle_hashes(text, words, seed)
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 255 * 64):
         part = hashes[at : at + 255 * 64]
@@ -129,3 +143,117 @@ def keep_one(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     drop = near_duplicates(docs, words, most).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
     kept = docs.join(store(drop, "gone").hint("merge"), F.col("doc_id") == F.col("gone_"), "left_anti")
     return kept
+
+
+_FEW = 1 << 20  # sets to verify, up to which their names are broadcast so that no other text moves
+
+
+def _frequent(docs: DataFrame, words: int, rows: int = 2000, most: int = 50_000) -> np.ndarray:
+    """Shingles that several documents of a sample share. They go last in the order of shingles: the sample decides speed, not results."""
+    run = lambda batch: {"hashes": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["text"]]}
+    sample = arrow_map(hash_sample(docs.select("doc_id", "text"), "text", rows, "frequent"), "hashes array<long>", run)
+    top = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most)
+    return np.array(sorted(r.h for r in top.collect()), np.int64)
+
+
+def _prefix(size: int, least: float) -> int:
+    return size - math.ceil(least * size - 1e-9) + 1 if size else 0
+
+
+def _near_sizes(a: int, b: int, least: float) -> bool:
+    return min(a, b) >= least * max(a, b) - 1e-9
+
+
+def shingle_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc, u1, u2, id, size, prefix): u1 and u2 name a row's doc_id and text, id its set of shingles."""
+    late = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+
+    def run(batch):
+        out = {**{n: batch[n] for n in ("doc", "u1", "u2")}, "id": [], "size": [], "prefix": []}
+        for text in batch["text"]:
+            got = np.unique(shingle_hashes(text, words).view(np.int64))
+            order = np.argsort(np.isin(got, late.value), kind="stable")
+            out["id"].append(xxhash.xxh3_64_intdigest(got.tobytes()) - 2**63)
+            out["size"].append(len(got))
+            out["prefix"].append(got[order[: _prefix(len(got), least)]])
+        return out
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), *_row_key(), "text")
+    return arrow_map(rows, "doc long, u1 long, u2 long, id long, size int, prefix array<long>", run)
+
+
+def _row_key() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("u1"), F.xxhash64("text", F.lit("row"), "doc_id").alias("u2")]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the candidates (a, b) whose sets reach ``least``: (u, v)."""
+    pairs = store(pairs, "candidates")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    named = store(sets.select("id", "u1", "u2").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("u1", "u2")).alias("row")).select("id", "row.u1", "row.u2"), "named")
+    named = F.broadcast(named) if named.count() <= _FEW else named.hint("merge")
+    texts = docs.select(*_row_key(), "text").join(named, ["u1", "u2"]).select("id", "text")
+    whole = lambda batch: {"id": batch["id"], "hashes": [np.unique(shingle_hashes(t, words).view(np.int64)) for t in batch["text"]]}
+    wanted = store(arrow_map(texts, "id long, hashes array<long>", whole).groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+    both = pairs.join(wanted.toDF("a", "a_set"), "a").join(wanted.toDF("b", "b_set"), "b")
+
+    def run(batch):
+        out = {"u": [], "v": []}
+        for a, b, x, y in zip(batch["a"], batch["b"], batch["a_set"], batch["b_set"], strict=True):
+            shared = len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True))
+            if shared >= least * (len(x) + len(y) - shared) - 1e-9:
+                out["u"].append(a)
+                out["v"].append(b)
+        return out
+
+    return store(arrow_map(both, "u long, v long", run), "links")
+
+
+def _pairs_of(groups: DataFrame, least: float, chain: bool) -> DataFrame:
+    """(a, b, a_size, b_size) of members that share a shingle: neighbours in size, or all with different roots."""
+
+    def run(batch):
+        out = {n: [] for n in ("a", "b", "a_size", "b_size")}
+        for members in batch["members"]:
+            m = sorted((x["size"], x["id"], x.get("root")) for x in members)
+            for i, (s, a, p) in enumerate(m):
+                for t, b, q in m[i + 1 : i + 2] if chain else m[i + 1 :]:
+                    if not _near_sizes(s, t, least):
+                        break
+                    if chain or p != q:
+                        for name, value in zip(out, (a, b, s, t), strict=True):
+                            out[name].append(value)
+        return out
+
+    return arrow_map(groups.select("members"), "a long, b long, a_size int, b_size int", run, rows=16)
+
+
+def similar_links(sets: DataFrame, docs: DataFrame, words: int, least: float, large: int = 64) -> DataFrame:
+    """Edges (u, v) between ids of similar sets; they span the same components as all similar pairs.
+
+    Where over ``large`` sets share a shingle, neighbours in size are compared first, then all that this left apart.
+    """
+    one = sets.select("size", "id", F.explode("prefix").alias("hash")).groupBy("hash").agg(F.collect_set(F.struct("size", "id")).alias("members"))
+    groups = store(one.where(F.size("members") > 1), "groups")
+    near = _similar(_pairs_of(groups.where(F.size("members") > large), least, True).select("a", "b").distinct(), sets, docs, words, least)
+    roots = store(connected_components(near), "roots")
+    members = groups.select("hash", F.inline("members")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = members.groupBy("hash").agg(F.collect_list(F.struct("size", "id", "root")).alias("members"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q")
+    counted = _pairs_of(apart, least, False).groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("shared"))
+    # what lies behind a prefix: with it, sets as similar as asked for must be able to reach this many common shingles
+    behind = lambda size: F.ceil(F.col(size) * least - 1e-9) - 1
+    enough = F.col("shared") + F.greatest(behind("a_size"), behind("b_size")) >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - 1e-6
+    return near.union(_similar(counted.where(enough).select("a", "b"), sets, docs, words, least))
+
+
+def keep_one_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component of similar documents: the one with the smallest doc_id, null last."""
+    sets = store(shingle_sets(docs, words, least), "shingles")
+    roots = connected_components(similar_links(sets, docs, words, least))
+    named = sets.select("doc", "u1", "u2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "u1", "u2")).alias("best")
+    kept = store(named.groupBy(F.coalesce("root", "id").alias("root")).agg(best).select("best.u1", "best.u2"), "kept").toDF("kept_u1_", "kept_u2_")
+    u1, u2 = _row_key()
+    rows = docs.withColumns({"row_u1_": u1, "row_u2_": u2})
+    same = (F.col("row_u1_") == F.col("kept_u1_")) & (F.col("row_u2_") == F.col("kept_u2_"))
+    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["row_u1_", "row_u2_"]).select(*docs.columns)

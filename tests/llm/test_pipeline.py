@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from riverglass.llm import lines, simhash
 from riverglass.llm.common import read, store
@@ -32,3 +34,36 @@ def test_run_equals_the_stages(spark, small):
     a = corpus_pipeline.run(spark, small).select("doc_id", "rank", "n_pieces").collect()
     b = corpus_pipeline.run(spark, small).select("doc_id", "rank", "n_pieces").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and a
+
+
+def test_near_copies_go_from_the_pipeline(spark, make, small):
+    rng = random.Random(15)
+    rows = []
+    for k in range(30):
+        words = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([6, 40, 200]))]
+        for i in range(5):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + i * len(words) // 100)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(99999)}"
+            rows.append((10 * k + i, " ".join(copy)))
+    rows += [(900, None), (901, ""), (None, "no id at all"), (902, "short"), (903, "Short")]
+    sets = {d: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for d, t in rows}
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = far = 0
+    for a in sets:
+        for b in sets:
+            if a is not None and b is not None and a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+                linked += 1
+                far += (simhash.fingerprint(dict(rows)[a]) ^ simhash.fingerprint(dict(rows)[b])).bit_count() > 2
+    got = corpus_pipeline.dedup_documents(spark, make(rows), small)
+    assert sorted((r.doc_id for r in got.collect()), key=repr) == sorted({find(d) for d in root}, key=repr)
+    assert got.columns == make(rows).columns and linked > far > 20
+    assert corpus_pipeline.dedup_documents(spark, make(rows).limit(0), small).count() == 0
