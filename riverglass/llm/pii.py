@@ -89,7 +89,7 @@ def _ip_matches(text: str):
 GENERATORS: tuple[tuple[str, re.Pattern, re.Pattern], ...] = (
     (
         "email",
-        re.compile(r"[\[({<] ?(?:at|AT)\b|\b(?:dot|DOT)\b"),
+        re.compile(r"[\[({<] ?(?:at|AT) ?[\])}>]| at "),
         re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[({<] ?(?:at|AT) ?[\])}>] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[({<] ?(?:dot|DOT) ?[\])}>] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}"),
     ),
     ("ip", re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]"), re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),

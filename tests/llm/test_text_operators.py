@@ -167,6 +167,16 @@ def test_detection_adds_spans_and_keeps_base_ones(make):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def test_generators_search_every_text_that_they_match():
+    rng = random.Random(16)
+    parts = ["john", "a.b", "example", "com", " at ", "at", "AT", " ", "[", "]", "(", ")", " dot ", "dot", ".", "1", "22", "333", "4444", ":", "-", "[.]", " . ", "fe"]
+    texts = ["write to john at example.com now", "fe80:1:22:333:4444", "1 . 22 . 33 . 44", "4444 4444-4444", "22 333"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(3, 12))) for _ in range(60_000)]
+    for _, needed, pattern in pii.GENERATORS:
+        hit = [t for t in texts if pattern.search(t)]
+        assert hit and all(needed.search(t) for t in hit)
+    assert ("email", 9, 28) in pii.proposals(texts[0])
+
+
 def test_boosting_learns_and_is_calibrated():
     x, y = pii.examples([f"word{c}" for c in "abcdefg"] + WORDS + ["alpha", "beta"], n=3000)
     cut = 2000
