@@ -11,7 +11,8 @@ point to) keeps those reachable from it; magic inside a payload is never reached
 holds it. The number of rounds is the binary logarithm of the records in a file.
 
 Defined cases: null html is an empty payload; empty payloads are payloads like any other; rows that share the
-smallest page_id of a payload are all responses; a null page_id is written as an empty id, comes last, and reads back as null; null urls are empty; an empty
+smallest page_id of a payload are all responses; a null page_id is written as an empty id, comes last, and reads back as null; null urls are empty, and the magic in a url
+is written with its slash percent-encoded, so that no header is split; an empty
 table gives no files and no records; other columns are ignored; a truncated last record is dropped.
 """
 
@@ -59,7 +60,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         F.lit("\r\nWARC-Record-ID: <urn:page:"),
         text("page_id"),
         F.lit(">\r\nWARC-Target-URI: "),
-        F.regexp_replace(text("url"), r"[\r\n]", ""),
+        F.replace(F.regexp_replace(text("url"), r"[\r\n]", ""), F.lit(MAGIC), F.lit(MAGIC.replace("/", "%2F"))),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), text("refers_to"), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         base32_sha1(F.col("body")),

@@ -102,3 +102,9 @@ def test_inner_products_are_exact(spark):
         order = np.lexsort((ids[other], -s[other]))[:20]
         found = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
         assert [(r.vec_id, r.score) for r in found] == list(zip(ids[other][order].tolist(), s[other][order].tolist(), strict=True))
+
+
+def test_magic_in_urls_does_not_split_records(spark):
+    rows = [(i, f"http://example.org/WAR\nC/1.{i}/WARC/1.1", f"page {i}") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.round_trip(pages).collect()) == [(i, 6) for i in range(6)]
