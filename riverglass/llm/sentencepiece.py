@@ -10,8 +10,9 @@ text, so a row's samples depend on nothing else. Each sample comes with its log-
 probability that its noise exceeds the next perturbed value after the ``k`` drawn.
 
 The vocabulary's merge ranks give the piece probabilities (Zipf: 1 / (rank + 10), raised to ``alpha``); a character
-without a piece falls back to its UTF-8 bytes. Pieces never reach across the start of a word, so the lattice of a text
-is a chain of word lattices, and each distinct word of a batch is built once.
+without a piece falls back to its UTF-8 bytes. Pieces never reach across the start of a word (nor, where the vocabulary has none
+that does, from a letter to another character), so the lattice of a text is a chain of word lattices, and a word's lattice is kept from batch to batch. Texts are taken whole, whatever their length; a longer
+one than two million characters is a batch of its own.
 
 Defined cases: a null text is treated as empty; an empty text has one segmentation, without pieces, of probability 1; a text with fewer than ``k``
 segmentations yields all of them, with inclusion score 1; U+2581 in a text is read as a space, as the tokenizer does;
@@ -21,7 +22,9 @@ a null row key hashes as the empty string; repeated rows get the same samples.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import sentencepiece
@@ -34,6 +37,9 @@ from .common import arrow_map
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK = "▁"
 _RUNS = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+")
+_LETTER = r"[^\W\d_]"
+_FINE = re.compile(rf"{_MARK}*{_LETTER}+|{_MARK}*(?:[^\w{_MARK}]|[\d_])+|{_MARK}+")
+_CROSSING = re.compile(rf"{_LETTER}(?:[^\w{_MARK}]|[\d_])|(?:[^\w{_MARK}]|[\d_]){_LETTER}")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = 42  # hashes are looked up by their top 22 bits first
 _LOADED: dict[int, object] = {}
@@ -68,6 +74,9 @@ class Vocabulary:
         prefixes = {p[:n] for p in pieces for n in range(1, len(p))}
         self.starts[(np.array([self.hash(p) for p in prefixes], np.uint64) >> np.uint64(_SHIFT)).astype(np.int64)] = 1
         self.starts[(self.hashes >> np.uint64(_SHIFT)).astype(np.int64)] |= 2
+        # where no piece joins a letter to another character, words fall apart into runs of either
+        self.units = _RUNS if any(map(_CROSSING.search, pieces)) else _FINE
+        self.lattices = Lattices(self)
 
     @staticmethod
     def hash(piece: str) -> int:
@@ -78,33 +87,75 @@ class Vocabulary:
 
 
 class Lattices:
-    """Word lattices of a batch: row (distance from the word's end, word) holds the edges that start there, by length."""
-
-    def __init__(self, vocab: Vocabulary, words: list[str]):
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        self.place = np.empty(len(words), np.int64)
-        self.place[order] = np.arange(len(words))
-        size = np.array([len(words[i]) for i in order], np.int64)
-        self.size = size
-        top = int(size[0]) if len(size) else 0
-        live = len(size) - np.searchsorted(size[::-1], np.arange(1, top + 1))  # words of at least d characters
-        self.base = np.concatenate(([0], np.cumsum(live)))[:-1] if top else np.zeros(0, np.int64)
-        rows, wide = int(live.sum()), vocab.longest
-        flat = np.frombuffer("".join(words[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Word lattices: row (word, distance from its end) holds the edges that start there, by length.
+
+    Words stay between batches, as a corpus repeats most of them; beyond ``room`` rows the most used half of it stays.
+    Probabilities are conditional on the row and kept as logarithms, so that an alternative of any mass is queued; the
+    cumulated ones serve the walk only, which draws with 24 bits.
+    """
+
+    def __init__(self, vocab: Vocabulary, room: int = 3 << 18):
+        self.vocab, self.room, self.wide = vocab, room, vocab.longest
+        self.names: dict[str, int] = {}
+        self.size, self.start, self.uses, self.rows = (*np.zeros((3, 0), np.int64), 0)
+        self.cum, self.logp, self.ids = (np.empty((0, self.wide), t) for t in (np.float32, np.float32, np.int32))
+        self.used = np.empty(0, np.int32)  # columns of logp and ids that a row has filled
+
+    def look_up(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The words of each text by number."""
+        words = set().union(*texts)
+        new = [w for w in words if w not in self.names]
+        if self.rows and self.rows + sum(map(len, new)) > self.room:
+            self._forget()
+            new = [w for w in words if w not in self.names]
+        if new:
+            self._build(new)
+        found = np.fromiter(map(self.names.__getitem__, itertools.chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        self.uses += np.bincount(found, minlength=len(self.uses))
+        return np.split(found, np.cumsum([len(t) for t in texts])[:-1])
+
+    def _forget(self) -> None:
+        order = np.argsort(-self.uses, kind="stable")
+        kept = np.sort(order[np.cumsum(self.size[order]) <= self.room // 2])
+        words, size = list(self.names), self.size[kept]
         ends = np.cumsum(size)
-        self.cum, self.ids = np.ones((rows, wide), np.float32), np.full((rows, wide), -1, np.int32)
-        beta = [np.zeros(len(size))]
-        chars = [None]
-        for d in range(1, top + 1):
-            n = int(live[d - 1])
+        self.rows = int(size.sum())
+        cells = np.repeat(self.start[kept] - (ends - size), size) + np.arange(self.rows)
+        for name in ("cum", "logp", "ids", "used"):
+            setattr(self, name, getattr(self, name)[cells])
+        self.names = {words[i]: j for j, i in enumerate(kept.tolist())}
+        self.size, self.start, self.uses = size, ends - size, self.uses[kept]
+
+    def _grow(self, rows: int) -> None:
+        if rows > len(self.cum):
+            room = max(rows, min(2 * len(self.cum), self.room), 1 << 12)
+            for name in ("cum", "logp", "ids", "used"):
+                old = getattr(self, name)
+                now = np.empty((room, *old.shape[1:]), old.dtype)
+                now[: self.rows] = old[: self.rows]
+                setattr(self, name, now)
+
+    def _build(self, words: list[str]) -> None:
+        vocab, size = self.vocab, np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        words, size = [words[i] for i in order.tolist()], size[order]
+        ends = np.cumsum(size)
+        start = self.rows + ends - size
+        self._grow(self.rows + int(ends[-1]))
+        self.names.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.size, self.start, self.uses = np.concatenate((self.size, size)), np.concatenate((self.start, start)), np.concatenate((self.uses, 0 * size))
+        self.cum[self.rows : self.rows + int(ends[-1])] = 1.0
+        self.rows += int(ends[-1])
+        live = len(size) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1))  # words of at least d characters
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        beta, chars = [np.zeros(len(size))], [None]
+        for d, n in enumerate(live.tolist(), 1):
             chars.append(flat[ends[:n] - d].astype(np.uint64))
-            wide_d = min(wide, d)
-            values = np.full((n, wide_d), -np.inf)
-            at = self.base[d - 1]
+            values: list[np.ndarray | None] = [None] * min(self.wide, d)  # by length, where any word has such a piece
+            at = start[:n] + d - 1
             open_ = np.arange(n)  # words whose characters so far begin some piece
             h = np.zeros(n, np.uint64)
-            used = 1
-            for length in range(1, wide_d + 1):
+            for length in range(1, len(values) + 1):
                 with np.errstate(over="ignore"):
                     h = h * _M + (chars[d - length + 1][open_] + np.uint64(1))
                 kind = vocab.starts[(h >> np.uint64(_SHIFT)).astype(np.int64)]
@@ -114,52 +165,76 @@ class Lattices:
                     hit = np.searchsorted(vocab.hashes, hm).clip(max=len(vocab.hashes) - 1)
                     true = np.flatnonzero(vocab.hashes[hit] == hm)
                     if len(true):
-                        maybe, hit, used = open_[maybe[true]], hit[true], length
-                        values[maybe, length - 1] = vocab.logp[hit] + beta[d - length][maybe]
-                        self.ids[at + maybe, length - 1] = vocab.ids[hit]
+                        maybe, hit = open_[maybe[true]], hit[true]
+                        values[length - 1] = found = np.full(n, -np.inf)
+                        found[maybe] = vocab.logp[hit] + beta[d - length][maybe]
+                        self.ids[at[maybe], length - 1] = vocab.ids[hit]
                 on = np.flatnonzero(kind & 1)
                 open_, h = open_[on], h[on]
                 if not len(open_):
                     break
-            lone = np.flatnonzero(values[:, 0] == -np.inf)
+            if values[0] is None:
+                values[0] = np.full(n, -np.inf)
+            lone = np.flatnonzero(values[0] == -np.inf)
             if len(lone):
                 c = chars[d][lone].astype(np.int64)
                 n_bytes = 1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF)
-                values[lone, 0] = n_bytes * vocab.byte_logp + beta[d - 1][lone]
-                self.ids[at + lone, 0] = -2 - c  # bytes of this character
-            values = values[:, :used]
-            top_ = values.max(axis=1)
-            e = np.exp(values - top_[:, None])
-            total = e.sum(axis=1)
-            beta.append(top_ + np.log(total))
-            cum = np.cumsum(e / total[:, None], axis=1, dtype=np.float32)
-            last = used - 1 - np.argmax((e > 0)[:, ::-1], axis=1)
-            cum[np.arange(used)[None, :] >= last[:, None]] = 1.0
-            self.cum[at : at + n, :used] = cum
+                values[0][lone] = n_bytes * vocab.byte_logp + beta[d - 1][lone]
+                self.ids[at[lone], 0] = np.where(c > 0x7F, -2 - c, vocab.byte0 + c)  # one byte, or to be spelt in bytes
+            there = [j for j, v in enumerate(values) if v is not None]
+            used = there[-1] + 1
+            top = values[0]
+            for j in there[1:]:
+                top = np.maximum(top, values[j])
+            e = {j: np.exp(values[j] - top) for j in there}
+            total = sum(e.values())
+            log_total = top + np.log(total)
+            beta.append(log_total)
+            cum, logp = np.ones((n, self.wide), np.float32), np.full((n, used), -np.inf, np.float32)
+            so_far = np.zeros(n)
+            for j in range(used):
+                if j in e:
+                    so_far = so_far + e[j] / total
+                    logp[:, j] = values[j] - log_total
+                cum[:, j] = np.where(so_far > 1 - 2.0**-24, 1.0, so_far)
+            self.cum[at], self.logp[at, :used], self.used[at] = cum, logp, used
 
     def edges(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and probabilities of the edges of a row."""
-        p = np.diff(np.minimum(self.cum[row], 1.0), prepend=0.0).astype(np.float64)
-        n = np.flatnonzero(self.ids[row] != -1)
-        p = np.maximum(p, 1e-12)
-        return n + 1, p[n] / p[n].sum()
+        """Lengths and log-probabilities of the edges of a row."""
+        logp = self.logp[row, : self.used[row]]
+        n = np.flatnonzero(logp > -np.inf)
+        return n + 1, logp[n]
+
+    def others(self, cells: np.ndarray) -> np.ndarray:
+        """Log-masses of all other edges of the cells' rows."""
+        row, col = cells // self.wide, cells % self.wide
+        p = np.where(np.arange(self.wide) < self.used[row][:, None], self.logp[row], -np.inf)
+        p[np.arange(len(cells)), col] = -np.inf
+        top = p.max(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(top > -np.inf, top + np.log(np.exp(p - top[:, None]).sum(axis=1)), -np.inf).astype(np.float64)
 
     def walk(self, word: np.ndarray, left: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Complete words from ``left`` characters before their ends: (index of the word, edge cell), in order."""
-        owner, cells, index = [], [], np.arange(len(word))
+        owner, cells, index, base = [], [], np.arange(len(word)), self.start[word] - 1
+        cum, steps = self.cum.reshape(-1), [1 << b for b in reversed(range((self.wide - 1).bit_length()))]
         while True:
             alive = np.flatnonzero(left > 0)
             if not len(alive):
                 break
             if len(alive) < len(left):
-                word, left, noise, index = word[alive], left[alive], noise[alive], index[alive]
-            row = self.base[left - 1] + word
+                base, left, noise, index = base[alive], left[alive], noise[alive], index[alive]
             with np.errstate(over="ignore"):
                 u = (_mix(noise + left.astype(np.uint64) * _M) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-            pick = (self.cum[row] <= u[:, None]).sum(axis=1)
+            row = (base + left) * self.wide
+            cell = row - 1  # binary search for the first cell whose cumulated probability is above u
+            for step in steps:
+                further = np.minimum(cell + step, row + self.wide - 1)
+                cell = np.where(cum[further] <= u, further, cell)
+            cell += 1
             owner.append(index)
-            cells.append(row * self.ids.shape[1] + pick)
-            left = left - pick - 1
+            cells.append(cell)
+            left = left - (cell - row) - 1
         if not owner:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         owner, cells = np.concatenate(owner), np.concatenate(cells)
@@ -167,44 +242,61 @@ class Lattices:
         return owner[order], cells[order]
 
 
-def _words(text: str) -> list[str]:
+def _words(text: str, units: re.Pattern = _RUNS) -> list[str]:
     """The marked words whose lattices form the text's; joined, they are the text as the tokenizer sees it."""
-    parts = text.replace(_MARK, " ").split(" ")
-    if "" in parts:
-        return _RUNS.findall(_MARK + _MARK.join(parts)) if text else []
-    return [_MARK + p for p in parts]
+    return units.findall(_MARK + text.replace(" ", _MARK)) if text else []
 
 
 class _Draw:
     """The search of one text: its paths as edge cells, and the queue of groups of rejected edges."""
 
-    __slots__ = ("key", "queue", "paths", "found", "dice")
+    __slots__ = ("key", "queue", "paths", "found", "ticks")
 
     def __init__(self, key: int):
-        self.key, self.queue, self.paths, self.found = key, [], [], []
-        self.dice = np.random.Generator(np.random.PCG64(key))
+        self.key, self.queue, self.paths, self.found, self.ticks = key, [], [], [], 0
+
+    def unit(self) -> float:
+        """The next number of this text's noise, above 0 and at most 1."""
+        self.ticks += 1
+        return _unit_of(self.key, self.ticks)
 
 
 _REACH = -np.log(2.0**-53)  # no noise below a group exceeds its log-mass by more
+_CHUNK = 96
+
 
+def _unit_of(key: int, tick: int) -> float:
+    """``_unit`` of two whole numbers."""
+    x, full = key + int(_M), 2**64 - 1
+    for add in (tick * int(_M), 0):
+        x &= full
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        x = (x ^ (x >> 31)) + add
+    return ((x >> 11) + 1) * 2.0**-53
 
-def _gumbel_below(top: float, mass: np.ndarray, dice: np.random.Generator) -> np.ndarray:
+
+def _unit(key: np.ndarray, tick: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((_mix(_mix(key + _M) + tick * _M) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+
+
+def _gumbel_below(top, mass, unit):
     """Gumbel noise at log-masses, given that it is below ``top``."""
-    return -np.logaddexp(-top, np.log(dice.exponential(size=len(mass)).clip(2.0**-53)) - mass)
+    with np.errstate(divide="ignore"):
+        return -np.logaddexp(-top, np.log(-np.log(unit)) - mass)
 
 
 def sample(vocab: Vocabulary, texts: list[str | None], keys: list[int], k: int = 2) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to ``k`` of (piece ids, log-probability, perturbed value, inclusion score)."""
-    split = [_words(t or "") for t in texts]
-    names: dict[str, int] = {}
-    types = [np.array([names.setdefault(w, len(names)) for w in ws], np.int64) for ws in split]
-    lattices = Lattices(vocab, list(names))
-    wide = lattices.ids.shape[1]
-    types = [lattices.place[t] for t in types]
+    if not texts:
+        return []
+    lattices = vocab.lattices
+    types = lattices.look_up([_words(t or "", vocab.units) for t in texts])
     draws = [_Draw(k_) for k_ in keys]
     todo: list[tuple[int, int, int, int, np.ndarray, float, float]] = []  # text, word, characters left in it, steps kept, cells kept, log-mass, perturbed
     for i, d in enumerate(draws):
-        first = float(-np.log(d.dice.exponential()))
+        first = -float(np.log(-np.log(d.unit() - 2.0**-54)))
         todo.append((i, 0, int(lattices.size[types[i][0]]) if len(types[i]) else 0, 0, np.zeros(0, np.int64), 0.0, first))
     while todo:
         word, left, noise, spans = [], [], [], []
@@ -220,75 +312,86 @@ def sample(vocab: Vocabulary, texts: list[str | None], keys: list[int], k: int =
             spans.append(len(t))
         owner, cells = lattices.walk(np.concatenate(word), np.concatenate(left), np.concatenate(noise))
         bounds = np.searchsorted(owner, np.concatenate(([0], np.cumsum(spans))))
-        again = []
+        fresh = []
         for j, (i, _, _, kept, before, mass, perturbed) in enumerate(todo):
-            d = draws[i]
             path = np.concatenate((before, cells[bounds[j] : bounds[j + 1]]))
-            _enter(lattices, d, len(d.paths), path, kept, mass, perturbed, k)
-            d.paths.append(path)
-            d.found.append(perturbed)
-            if len(d.found) < k and d.queue:
-                again.append(_branch(lattices, d, i, types[i], wide))
-        todo = again
-    return [_results(vocab, lattices, d, k) for d in draws]
-
-
-def _probability(lattices: Lattices, cells: np.ndarray) -> np.ndarray:
-    wide = lattices.ids.shape[1]
-    row, col = cells // wide, cells % wide
-    low = np.where(col > 0, lattices.cum[row, np.maximum(col - 1, 0)], np.float32(0))
-    return (np.minimum(lattices.cum[row, col], 1.0).astype(np.float64) - low).clip(1e-12, 1.0)
-
-
-def _enter(lattices: Lattices, d: _Draw, name: int, path: np.ndarray, start: int, mass: float, perturbed: float, k: int) -> None:
-    """Queue the rejected edges of a new path from step ``start`` on, as far as any of them can still be drawn."""
-    for at in range(start, len(path), 256):
-        need = k + 1 - len(d.found)  # groups that can still matter: those drawn next, and one more for the inclusion score
-        floor = -heapq.nsmallest(need, d.queue)[-1][0] if len(d.queue) >= need else -np.inf
-        if mass + _REACH < floor:
-            return
-        p = _probability(lattices, path[at : at + 256])
-        before = mass + np.concatenate(([0.0], np.cumsum(np.log(p))[:-1]))
-        rest = np.flatnonzero(p < 1 - 1e-7)
-        value = _gumbel_below(perturbed, before[rest] + np.log1p(-p[rest]), d.dice)
-        best = np.argpartition(-value, need - 1)[:need] if len(value) > need else np.arange(len(value))
-        for v, r in zip(value[best].tolist(), rest[best].tolist(), strict=True):
-            heapq.heappush(d.queue, (-v, name, at + r, float(before[r]), (int(path[at + r]),)))
-        mass = float(before[-1] + np.log(p[-1]))
-
-
-def _branch(lattices: Lattices, d: _Draw, i: int, types: np.ndarray, wide: int) -> tuple:
+            draws[i].paths.append(path)
+            draws[i].found.append(perturbed)
+            fresh.append((draws[i], path, kept, mass, perturbed))
+        _enter(lattices, fresh, k)
+        again = [i for i, *_ in todo if len(draws[i].found) < k and draws[i].queue]
+        todo = [_branch(lattices, draws[i], i, types[i]) for i in again]
+    return _results(vocab, draws)
+
+
+def _enter(lattices: Lattices, fresh: list[tuple[_Draw, np.ndarray, int, float, float]], k: int) -> None:
+    """Queue the rejected edges of new paths, as far as any of them can still be drawn."""
+    while fresh := [(d, path, at, mass, top) for d, path, at, mass, top in fresh if at < len(path) and mass + _REACH >= _floor(d, k)]:
+        parts = [path[at : at + _CHUNK] for _, path, at, _, _ in fresh]
+        sizes = np.array([len(p) for p in parts])
+        ends, cells = np.cumsum(sizes), np.concatenate(parts)
+        spread = lambda values, kind=np.float64: np.repeat(np.array(values, kind), sizes)  # noqa: B023, E731
+        logp = lattices.logp.reshape(-1)[cells].astype(np.float64)
+        sums = np.cumsum(logp)
+        after = sums - np.repeat(sums[ends - sizes] - logp[ends - sizes], sizes) + spread([f[3] for f in fresh])
+        before = after - logp
+        which, step = spread(range(len(fresh)), np.int64), np.arange(len(cells)) - np.repeat(ends - sizes, sizes) + spread([f[2] for f in fresh], np.int64)
+        tick = (step.astype(np.uint64) << np.uint64(16)) + spread([len(f[0].paths) << 8 for f in fresh], np.uint64)
+        value = _gumbel_below(spread([f[4] for f in fresh]), before + lattices.others(cells), _unit(spread([f[0].key for f in fresh], np.uint64), tick))
+        order = np.lexsort((-value, which))
+        order = order[np.arange(len(order)) - (ends - sizes)[which[order]] <= k]  # those drawn next, and one more for the inclusion score
+        order = order[value[order] > -np.inf]
+        for j, v, s, m, c in zip(which[order].tolist(), value[order].tolist(), step[order].tolist(), before[order].tolist(), cells[order].tolist(), strict=True):
+            heapq.heappush(fresh[j][0].queue, (-v, len(fresh[j][0].paths) - 1, s, m, (c,)))
+        fresh = [(d, path, at + _CHUNK, mass, top) for (d, path, at, _, top), mass in zip(fresh, after[ends - 1].tolist(), strict=True)]
+
+
+def _floor(d: _Draw, k: int) -> float:
+    """What a group must reach to matter: the queue holds enough that are above it."""
+    need = k + 1 - len(d.found)
+    return -heapq.nsmallest(need, d.queue)[-1][0] if len(d.queue) >= need > 0 else -np.inf if need > 0 else np.inf
+
+
+def _branch(lattices: Lattices, d: _Draw, i: int, types: np.ndarray) -> tuple:
     """Take the best group of rejected edges from the queue, choose one of them and say how its path goes on."""
     value, name, step, mass, taken = heapq.heappop(d.queue)
-    path = d.paths[name]
+    path, wide = d.paths[name], lattices.wide
     row = int(path[step]) // wide
-    lengths, p = lattices.edges(row)
+    lengths, logp = lattices.edges(row)
     open_ = ~np.isin(row * wide + lengths - 1, taken)
-    lengths, p = lengths[open_], p[open_]
-    choice = int(np.searchsorted(np.cumsum(p), d.dice.random() * p.sum(), side="right").clip(max=len(p) - 1))
+    lengths, logp = lengths[open_], logp[open_]
+    chances = np.cumsum(np.exp(logp - logp.max()))
+    choice = min(int(np.searchsorted(chances, d.unit() * chances[-1])), len(logp) - 1)
     cell = row * wide + int(lengths[choice]) - 1
-    if len(p) > 1:
-        others = np.array([mass + np.log(max(p.sum() - p[choice], 1e-300))])
-        heapq.heappush(d.queue, (-float(_gumbel_below(-value, others, d.dice)[0]), name, step, mass, (*taken, cell)))
+    if len(logp) > 1:
+        others = mass + float(np.logaddexp.reduce(np.delete(logp, choice)))
+        heapq.heappush(d.queue, (-float(_gumbel_below(-value, others, d.unit())), name, step, mass, (*taken, cell)))
     used = int((path[:step] % wide + 1).sum() + lengths[choice])
     ends = np.cumsum(lattices.size[types])
     w = int(np.searchsorted(ends, used, side="right"))
     rest = int(ends[w] - used) if w < len(types) else 0
-    return i, w, rest, step + 1, np.concatenate((path[:step], [cell])), mass + float(np.log(p[choice])), -value
-
-
-def _results(vocab: Vocabulary, lattices: Lattices, d: _Draw, k: int) -> list[tuple[np.ndarray, float, float, float]]:
-    bound = -d.queue[0][0] if d.queue else -np.inf
-    out = []
-    for path, perturbed in zip(d.paths, d.found, strict=True):
-        logp = float(np.log(_probability(lattices, path)).sum())
-        score = float(-np.expm1(-np.exp(min(logp - bound, 50.0)))) if d.queue else 1.0
-        out.append((_piece_ids(vocab, lattices, path), logp, perturbed, score))
+    return i, w, rest, step + 1, np.concatenate((path[:step], [cell])), mass + float(logp[choice]), -value
+
+
+def _results(vocab: Vocabulary, draws: list[_Draw]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    paths = [p for d in draws for p in d.paths]
+    cells = np.concatenate(paths)
+    sums = np.concatenate(([0.0], np.cumsum(vocab.lattices.logp.reshape(-1)[cells], dtype=np.float64)))
+    ends = np.cumsum([len(p) for p in paths]).tolist()
+    ids, at, j, out = vocab.lattices.ids.reshape(-1)[cells], 0, 0, []
+    for d in draws:
+        bound = -d.queue[0][0] if d.queue else -np.inf
+        out.append([])
+        for perturbed in d.found:
+            logp = float(sums[ends[j]] - sums[at])
+            score = float(-np.expm1(-np.exp(min(logp - bound, 50.0)))) if d.queue else 1.0
+            out[-1].append((_spelt(vocab, ids[at : ends[j]]), logp, perturbed, score))
+            at, j = ends[j], j + 1
     return out
 
 
-def _piece_ids(vocab: Vocabulary, lattices: Lattices, path: np.ndarray) -> np.ndarray:
-    ids = lattices.ids.reshape(-1)[path]
+def _spelt(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """Piece ids, with characters that have no piece spelt in bytes."""
     lone = np.flatnonzero(ids < 0)
     if not len(lone):
         return ids
@@ -320,7 +423,8 @@ def _model(spark: SparkSession, path: str):
 def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.25, seed: int = 0, model: str = MODEL, key: str = "doc_id", digest: bool = False) -> DataFrame:
     """(key, rank, ids, n_pieces, log_prob, inclusion): ``k`` distinct segmentations of every text, best first.
 
-    With ``digest`` the ids are replaced by their SHA-256 over little-endian 32-bit integers, as ids_sha256.
+    With ``digest`` the ids are replaced by their SHA-256 over little-endian 32-bit integers, as ids_sha256, and
+    ``decodes`` tells whether the tokenizer decodes them to the text as it reads it.
     """
     from hashlib import sha256
 
@@ -329,8 +433,13 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.25, seed:
 
     def run(batch):
         vocab = _vocabulary(held.value, alpha)
-        out = {key: [], "rank": [], name: [], "n_pieces": [], "log_prob": [], "inclusion": []}
-        for row, found in zip(batch[key], sample(vocab, batch["text"], [row_key(v, seed) for v in batch[key]], k), strict=True):
+        out = {key: [], "rank": [], name: [], "n_pieces": [], "log_prob": [], "inclusion": [], **({"decodes": []} if digest else {})}
+        keys = [row_key(v, seed) for v in batch[key]]
+        done = itertools.chain.from_iterable(sample(vocab, batch["text"][a:b], keys[a:b], k) for a, b in _shares(batch["text"]))
+        for row, text, found in zip(batch[key], batch["text"], done, strict=True):
+            if digest:
+                read = (text or "").replace(_MARK, " ")
+                out["decodes"] += [back == read for back in vocab.sp.decode([f[0].tolist() for f in found], num_threads=1)]
             for rank, (ids, logp, _, score) in enumerate(found, 1):
                 out[key].append(row)
                 out["rank"].append(rank)
@@ -340,9 +449,20 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.25, seed:
                 out["inclusion"].append(score)
         return out
 
-    kind = "ids_sha256 string" if digest else "ids array<int>"
+    kind, last = ("ids_sha256 string", ", decodes boolean") if digest else ("ids array<int>", "")
     rows = docs.select(F.col(key).cast("long"), "text")
-    return arrow_map(rows, f"{key} long, rank int, {kind}, n_pieces int, log_prob double, inclusion double", run, rows=384)
+    return arrow_map(rows, f"{key} long, rank int, {kind}, n_pieces int, log_prob double, inclusion double{last}", run, rows=1024)
+
+
+def _shares(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` characters, which bounds the lattices held at a time; a longer text is a run of its own."""
+    at = total = 0
+    for i, text in enumerate(texts):
+        if i > at and total + len(text or "") > most:
+            yield at, i
+            at, total = i, 0
+        total += len(text or "")
+    yield at, len(texts)
 
 
 def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id") -> DataFrame:

@@ -441,3 +441,29 @@ def test_multikey_quicksort():
     want = np.stack([k[np.lexsort(keys[::-1])] for k in keys], axis=1)
     assert np.array_equal(rows, want)
     assert len(repeats.multikey_quicksort([np.zeros(0, np.int64)])) == 0
+
+
+def test_inclusion_is_exact_where_the_lattice_is_small():
+    """All segmentations of short texts, enumerated: the draws' log-probabilities, and inclusion over many draws."""
+    for alpha, text in ((0.25, "ab"), (1.0, "ab"), (6.0, "on")):  # the last has segmentations of mass far below 1e-7
+        v = vocabulary(alpha)
+        every = all_segmentations(v, text)
+        for found in sentencepiece.sample(v, [text] * 3, [1, 2, 3], k=len(every) + 2):
+            assert {tuple(f[0].tolist()) for f in found} == set(every) and all(f[3] == 1.0 for f in found)
+            assert all(abs(every[tuple(f[0].tolist())] - f[1]) < 1e-4 for f in found)
+    v, n, k = vocabulary(0.25), 3000, 2
+    every = all_segmentations(v, "the")
+    got = sentencepiece.sample(v, ["the"] * n, [sentencepiece.row_key(i) for i in range(n)], k=k)
+    weight = Counter()
+    for found in got:
+        for ids, logp, _, score in found:
+            weight[tuple(ids.tolist())] += 1 / score  # the inverse inclusion score makes every segmentation count once
+            assert 0 < score <= 1 and logp <= 0
+    total = sum(np.exp(every[s]) * w / n for s, w in weight.items())
+    assert abs(total - 1) < 0.1
+    forgetful = sentencepiece.Lattices(v, room=40)
+    v.lattices = forgetful
+    words = ["the cat", "on the mat", "a dog ran far away", "the cat", ""]
+    small = [[f[0].tolist() for f in sentencepiece.sample(v, [w], [i], k=2)[0]] for i, w in enumerate(words)]
+    v.lattices = sentencepiece.Lattices(v)
+    assert small == [[f[0].tolist() for f in found] for found in sentencepiece.sample(v, words, list(range(5)), k=2)]
