@@ -11,10 +11,15 @@ Defined cases: null and empty texts have no words and fingerprint zero; a null `
 ids are null; repeated rows get the same row each; only ``doc_id`` and ``text`` are read.
 
 The pipeline's stage, ``keep_one_similar``, links documents whose sets of word shingles have a Jaccard similarity of
-``least`` or more. No radius of fingerprints holds all such pairs, so its candidates come from a prefix filter: in any
-common order of the shingles, two such sets share one of the first n - ceil(least n) + 1, n being a set's size. That
-loses no pair (up to 64-bit hashes). Pairs that share too few shingles of their prefixes to reach ``least`` are dropped by
-count; every other candidate is verified on the whole sets before it links.
+``least`` or more. The index gives its first links: fingerprints at three or fewer differing bits, verified on the sets.
+No radius of fingerprints holds all such pairs (at similarity 0.8 they are ten bits apart on average, up to 17), so
+pairs that it left apart come from a prefix filter, which is exact: in any common order of the shingles, two such sets share one
+of the first n - ceil(least n) + 1, n being a set's size. Shingles that are frequent over all documents come last in that order.
+Sets that share a shingle are not paired with each other: members of the group's largest component are known to be
+linked, so only the rest meets the group, in blocks, and only pairs whose sizes, places and number of shared shingles
+allow the similarity are verified. Of a large group neighbours in Gray order are verified first.
+
+Very long texts are taken whole. Column names of the table may be anything; other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, hash_sample, running_totals, store
+from .common import arrow_map, connected_components, fresh, running_totals, store
 
 
 def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -138,69 +144,104 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id. Rows without a doc_id stay."""
-    drop = near_duplicates(docs, words, most).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    kept = docs.join(store(drop, "gone").hint("merge"), F.col("doc_id") == F.col("gone_"), "left_anti")
-    return kept
-
-
-_FEW = 1 << 20  # sets to verify, up to which their names are broadcast so that no other text moves
-
-
-def _frequent(docs: DataFrame, words: int, rows: int = 2000, most: int = 50_000) -> np.ndarray:
-    """Shingles that several documents of a sample share. They go last in the order of shingles: the sample decides speed, not results."""
-    run = lambda batch: {"hashes": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["text"]]}
-    sample = arrow_map(hash_sample(docs.select("doc_id", "text"), "text", rows, "frequent"), "hashes array<long>", run)
-    top = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most)
-    return np.array(sorted(r.h for r in top.collect()), np.int64)
+_FEW = 1 << 20  # names of sets up to which they are broadcast (16 MB), so that no other set moves
+_LATE = 1 << 17  # frequent shingles that are broadcast (1 MB)
+_BLOCK = 512  # members of a group that meet its others at a time
 
 
 def _prefix(size: int, least: float) -> int:
     return size - math.ceil(least * size - 1e-9) + 1 if size else 0
 
 
-def _near_sizes(a: int, b: int, least: float) -> bool:
-    return min(a, b) >= least * max(a, b) - 1e-9
+def _set_print(hashes: np.ndarray) -> int:
+    """Fingerprint of a set of shingles."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def shingle_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc, u1, u2, id, size, prefix): u1 and u2 name a row's doc_id and text, id its set of shingles."""
-    late = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(row, u1, u2, doc, id, size, fp, hashes): every row's set of shingles; id names the set, u1 and u2 the row's content."""
 
     def run(batch):
-        out = {**{n: batch[n] for n in ("doc", "u1", "u2")}, "id": [], "size": [], "prefix": []}
+        out = {**{n: batch[n] for n in ("u1", "u2", "doc")}, "id": [], "size": [], "fp": [], "hashes": []}
         for text in batch["text"]:
-            got = np.unique(shingle_hashes(text, words).view(np.int64))
-            order = np.argsort(np.isin(got, late.value), kind="stable")
+            got = np.unique(shingle_hashes(text, words))
             out["id"].append(xxhash.xxh3_64_intdigest(got.tobytes()) - 2**63)
             out["size"].append(len(got))
-            out["prefix"].append(got[order[: _prefix(len(got), least)]])
+            out["fp"].append(_set_print(got))
+            out["hashes"].append(got.tobytes())
         return out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), *_row_key(), "text")
-    return arrow_map(rows, "doc long, u1 long, u2 long, id long, size int, prefix array<long>", run)
+    rows = docs.select(*_row_key(), F.col("doc_id").cast("long").alias("doc"), "text")
+    sets = arrow_map(rows, "u1 long, u2 long, doc long, id long, size int, fp long, hashes binary", run)
+    return store(sets.select(F.monotonically_increasing_id().alias("row"), "*"), "shingles")
 
 
 def _row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("u1"), F.xxhash64("text", F.lit("row"), "doc_id").alias("u2")]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the candidates (a, b) whose sets reach ``least``: (u, v)."""
+def _frequent(sets: DataFrame, most: int = _LATE, room: int = 1 << 22) -> np.ndarray:
+    """The shingles found in most sets, counted over all of them; a task forgets those that are alone among ``room`` of its hashes.
+
+    They go last in the order of shingles. That order decides how many pairs are looked at, never which are found.
+    """
+
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            names, counts = np.unique(np.concatenate(held), return_counts=True)
+            on = counts > 1
+            return pa.RecordBatch.from_pydict({"hash": pa.array(names[on]), "n": pa.array(counts[on])})
+
+        for batch in batches:
+            for x in batch.column("hashes").to_pylist():
+                held.append(np.frombuffer(x, np.int64))
+                n += len(held[-1])
+                if n >= room:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    counts = sets.select("hashes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r.hash for r in counts.orderBy(F.desc("n"), "hash").limit(most).collect()), np.int64)
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(hash, id, size, place) of the shingles in each set's prefix that other sets' prefixes hold too."""
+    late = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+
+    def run(batch):
+        out = {"id": batch["id"], "size": batch["size"], "hash": []}
+        for x in batch["hashes"]:
+            got = np.frombuffer(x, np.int64)
+            at = np.searchsorted(late.value, got).clip(max=max(len(late.value) - 1, 0))
+            last = late.value[at] == got if len(late.value) else np.zeros(len(got), bool)
+            out["hash"].append(got[np.argsort(last, kind="stable")[: _prefix(len(got), least)]])
+        return out
+
+    found = arrow_map(sets.select("id", "size", "hashes"), "id long, size int, hash array<long>", run)
+    found = store(found.select("id", "size", F.posexplode("hash").alias("place", "hash")), "prefixes")
+    shared = found.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("hash")
+    return store(found.join(shared, "hash", "left_semi").distinct(), "groups")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct candidates (a, b) whose sets reach ``least``: (u, v)."""
     pairs = store(pairs, "candidates")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    named = store(sets.select("id", "u1", "u2").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("u1", "u2")).alias("row")).select("id", "row.u1", "row.u2"), "named")
-    named = F.broadcast(named) if named.count() <= _FEW else named.hint("merge")
-    texts = docs.select(*_row_key(), "text").join(named, ["u1", "u2"]).select("id", "text")
-    whole = lambda batch: {"id": batch["id"], "hashes": [np.unique(shingle_hashes(t, words).view(np.int64)) for t in batch["text"]]}
-    wanted = store(arrow_map(texts, "id long, hashes array<long>", whole).groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
-    both = pairs.join(wanted.toDF("a", "a_set"), "a").join(wanted.toDF("b", "b_set"), "b")
+    named = store(sets.select("id", "row").join(ids, "id", "left_semi").groupBy("id").agg(F.min("row").alias("row")), "named")
+    named = F.broadcast(named.select("row")) if named.count() <= _FEW else named.select("row").hint("merge")
+    wanted = store(sets.select("row", "id", "hashes").join(named, "row").select("id", "hashes"), "sets")
+    both = pairs.join(wanted.toDF("a", "a_set"), "a").join(wanted.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
 
     def run(batch):
         out = {"u": [], "v": []}
         for a, b, x, y in zip(batch["a"], batch["b"], batch["a_set"], batch["b_set"], strict=True):
-            shared = len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True))
+            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
             if shared >= least * (len(x) + len(y) - shared) - 1e-9:
                 out["u"].append(a)
                 out["v"].append(b)
@@ -209,51 +250,91 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, lea
     return store(arrow_map(both, "u long, v long", run), "links")
 
 
-def _pairs_of(groups: DataFrame, least: float, chain: bool) -> DataFrame:
-    """(a, b, a_size, b_size) of members that share a shingle: neighbours in size, or all with different roots."""
-
-    def run(batch):
-        out = {n: [] for n in ("a", "b", "a_size", "b_size")}
-        for members in batch["members"]:
-            m = sorted((x["size"], x["id"], x.get("root")) for x in members)
-            for i, (s, a, p) in enumerate(m):
-                for t, b, q in m[i + 1 : i + 2] if chain else m[i + 1 :]:
-                    if not _near_sizes(s, t, least):
-                        break
-                    if chain or p != q:
-                        for name, value in zip(out, (a, b, s, t), strict=True):
-                            out[name].append(value)
-        return out
+def _index_links(sets: DataFrame, most: int) -> DataFrame:
+    """Candidates (a, b) by the Gray-order index: sets of one fingerprint, and of fingerprints at ``most`` or fewer differing bits."""
+    prints = store(sets.select("id", "fp").distinct(), "prints")
+    distinct = store(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    equal = prints.join(distinct, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    name = lambda c: distinct.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
+    near = hamming_links(distinct.select("fp"), most).join(name("u"), "u").join(name("v"), "v")
+    return equal.union(near.select(F.least("u_id", "v_id"), F.greatest("u_id", "v_id"))).distinct()
 
-    return arrow_map(groups.select("members"), "a long, b long, a_size int, b_size int", run, rows=16)
 
+def _neighbours(groups: DataFrame, sets: DataFrame, large: int, turns: int = 8) -> DataFrame:
+    """Candidates (a, b) in groups of over ``large`` sets: neighbours in Gray order of their fingerprints, turned in several ways.
 
-def similar_links(sets: DataFrame, docs: DataFrame, words: int, least: float, large: int = 64) -> DataFrame:
-    """Edges (u, v) between ids of similar sets; they span the same components as all similar pairs.
-
-    Where over ``large`` sets share a shingle, neighbours in size are compared first, then all that this left apart.
+    A set takes part in its largest group only. Rows are range-partitioned, so a large group is spread over many tasks.
     """
-    one = sets.select("size", "id", F.explode("prefix").alias("hash")).groupBy("hash").agg(F.collect_set(F.struct("size", "id")).alias("members"))
-    groups = store(one.where(F.size("members") > 1), "groups")
-    near = _similar(_pairs_of(groups.where(F.size("members") > large), least, True).select("a", "b").distinct(), sets, docs, words, least)
-    roots = store(connected_components(near), "roots")
-    members = groups.select("hash", F.inline("members")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = members.groupBy("hash").agg(F.collect_list(F.struct("size", "id", "root")).alias("members"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q")
-    counted = _pairs_of(apart, least, False).groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = groups.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
+    home = groups.join(sizes, "hash").groupBy("id").agg(F.max_by("hash", F.struct("n", "hash")).alias("hash"))
+    prints = sets.groupBy("id").agg(F.min("fp").alias("fp"))
+    turned = F.array(*[F.shiftleft("fp", 64 // turns * i).bitwiseOR(F.shiftrightunsigned("fp", 64 - 64 // turns * i)) if i else F.col("fp") for i in range(turns)])
+    rows = home.join(prints, "id").select("hash", "id", F.posexplode(turned).alias("turn", "fp")).select("hash", "turn", gray_rank(F.col("fp")).alias("rank"), "id")
+    order = ["turn", "hash", "rank", "id"]
+
+    def run(batches):
+        last = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            now = np.concatenate((last, [batch.column(n).to_numpy() for n in ("turn", "hash", "id")]), axis=1)
+            same = (now[:2, 1:] == now[:2, :-1]).all(axis=0)
+            a, b = now[2, :-1][same], now[2, 1:][same]
+            last = now[:, -1:]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    dealt = store(rows, "orders").repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _apart(groups: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) of different components that share enough of their prefixes to reach ``least``.
+
+    In each group all that are outside its largest component, in blocks, meet all members, which are dealt over salts.
+    """
+    rows = groups.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = store(rows.select("hash", "id", "size", "place", "root"), "members")
+    parts = rows.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hash")
+    main = parts.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max("n").alias("most")).where("roots > 1")
+    main = store(main.select("hash", "main", F.ceil((F.col("n") - F.col("most")) / _BLOCK).alias("blocks"), F.ceil(F.col("n") / (8 * _BLOCK)).alias("salts")), "mains")
+    rows = store(rows.join(main, "hash"), "mixed")
+    spread = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(c))
+    own = rows.select("hash", "id", "size", "place", "root", spread("salts", "salt").alias("salt"))
+    block = rows.where("root <> main").groupBy("hash", "salts", spread("blocks", "block").alias("block")).agg(F.collect_list(F.struct("id", "size", "place", "root")).alias("others"))
+    block = block.select("hash", "others", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    met = own.join(block, ["hash", "salt"])
+
+    def fits(x: Column) -> Column:
+        small, large = F.least(x["size"], F.col("size")), F.greatest(x["size"], F.col("size"))
+        reach = F.least(x["place"], F.col("place")) + F.least(x["size"] - x["place"], F.col("size") - F.col("place"))
+        return (x["root"] != F.col("root")) & (small >= large * least - 1e-9) & (reach >= (small + large) * (least / (1 + least)) - 1e-6)
+
+    pairs = met.select("id", "size", F.explode(F.filter("others", fits)).alias("x"), F.col("hash"))
+    a = F.struct("id", "size")
+    b = F.struct("x.id", "x.size")
+    pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "hash").distinct()  # two others of a group meet twice
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     # what lies behind a prefix: with it, sets as similar as asked for must be able to reach this many common shingles
     behind = lambda size: F.ceil(F.col(size) * least - 1e-9) - 1
-    enough = F.col("shared") + F.greatest(behind("a_size"), behind("b_size")) >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - 1e-6
-    return near.union(_similar(counted.where(enough).select("a", "b"), sets, docs, words, least))
+    enough = F.col("shared") + F.greatest(behind("a.size"), behind("b.size")) >= (F.col("a.size") + F.col("b.size")) * (least / (1 + least)) - 1e-6
+    return counted.where(enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def similar_links(sets: DataFrame, least: float, most: int = 3, large: int = 64) -> DataFrame:
+    """Edges (u, v) between ids of similar sets; they span the same components as all similar pairs."""
+    near = _verified(_index_links(sets, most), sets, least)
+    groups = _prefixes(sets, least)
+    near = near.union(_verified(_neighbours(groups, sets, large), sets, least))
+    roots = store(connected_components(near), "roots")
+    return near.union(_verified(_apart(groups, roots, least), sets, least))
 
 
 def keep_one_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component of similar documents: the one with the smallest doc_id, null last."""
-    sets = store(shingle_sets(docs, words, least), "shingles")
-    roots = connected_components(similar_links(sets, docs, words, least))
+    sets = shingle_sets(docs, words)
+    roots = connected_components(similar_links(sets, least))
     named = sets.select("doc", "u1", "u2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "u1", "u2")).alias("best")
-    kept = store(named.groupBy(F.coalesce("root", "id").alias("root")).agg(best).select("best.u1", "best.u2"), "kept").toDF("kept_u1_", "kept_u2_")
-    u1, u2 = _row_key()
-    rows = docs.withColumns({"row_u1_": u1, "row_u2_": u2})
-    same = (F.col("row_u1_") == F.col("kept_u1_")) & (F.col("row_u2_") == F.col("kept_u2_"))
-    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["row_u1_", "row_u2_"]).select(*docs.columns)
+    kept = store(named.groupBy(F.coalesce("root", "id").alias("root")).agg(best).select("best.u1", "best.u2"), "kept")
+    u1, u2, k1, k2 = fresh(docs, "u1", "u2", "kept_u1", "kept_u2")
+    rows = docs.withColumns(dict(zip((u1, u2), _row_key(), strict=True)))
+    same = (F.col(u1) == F.col(k1)) & (F.col(u2) == F.col(k2))
+    return rows.join(kept.toDF(k1, k2).hint("merge"), same, "left_semi").dropDuplicates([u1, u2]).select(*docs.columns)
