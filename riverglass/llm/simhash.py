@@ -181,7 +181,7 @@ def _row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("u1"), F.xxhash64("text", F.lit("row"), "doc_id").alias("u2")]
 
 
-def _frequent(sets: DataFrame, most: int = _LATE, room: int = 1 << 22) -> np.ndarray:
+def _frequent(sets: DataFrame, most: int = _LATE, room: int = 1 << 20) -> np.ndarray:
     """The shingles found in most sets, counted over all of them; a task forgets those that are alone among ``room`` of its hashes.
 
     They go last in the order of shingles. That order decides how many pairs are looked at, never which are found.
