@@ -77,8 +77,8 @@ def hash_sample(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(steps)) < int(0.9 * rows / n * steps)).limit(rows)
 
 
-def arrow_map(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = 256) -> DataFrame:
-    """Run ``fn`` over small slices of ``df`` in Arrow batches: columns as lists in, columns as lists out."""
+def arrow_map(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = 256, after: Callable[[], None] | None = None) -> DataFrame:
+    """Run ``fn`` over small slices of ``df`` in Arrow batches: columns as lists in, columns as lists out; ``after`` ends a task."""
     out = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
 
@@ -87,6 +87,8 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[s
             for at in range(0, batch.num_rows, rows):
                 got = fn(batch.slice(at, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+        if after:
+            after()
 
     return df.mapInArrow(run, out)
 

@@ -15,7 +15,8 @@ repeats and then the spans to cut; both are asked for as sort-merge joins, so th
 
 Defined cases: null texts stay null, empty texts stay empty; a null ``doc_id`` comes after all others; rows that agree
 in doc_id and text count as one occurrence and get the same result; a text of which all lines go becomes empty;
-other columns pass through.
+other columns pass through, whatever their names (``dedup_lines`` replaces columns called n_lines_ and n_removed_); very long texts
+are taken whole, in one task each.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, store
+from .common import arrow_map, fresh, store
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LONG = 50  # words that make one line a passage
@@ -216,20 +217,22 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
 def dedup_lines(docs: DataFrame, spans: DataFrame | None = None, **shape) -> DataFrame:
     """``docs`` with ``spans``, or else repeated content-defined chunks, cut out of ``text``, plus n_lines_ and n_removed_ (lines)."""
     spans = (_content_chunks(docs, **shape) if spans is None else spans).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines")).alias("gone"))
-    spans = store(spans, "gone").toDF("gone_doc", "gone_uid", "gone_spans")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc")) & (F.xxhash64("doc_id", "text") == F.col("gone_uid"))
+    doc, uid, gone = fresh(docs, "gone_doc", "gone_uid", "gone_spans")
+    spans = store(spans, "gone").toDF(doc, uid, gone)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("doc_id", "text") == F.col(uid))
     rows = docs.join(spans.hint("merge"), same, "left")
-    hit = F.col("gone_spans").isNotNull()
-    text = F.when(hit, F.pandas_udf(_without, "string")(F.when(hit, F.col("text")), F.col("gone_spans"))).otherwise(F.col("text"))
+    hit = F.col(gone).isNotNull()
+    text = F.when(hit, F.pandas_udf(_without, "string")(F.when(hit, F.col("text")), F.col(gone))).otherwise(F.col("text"))
     n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    removed = F.coalesce(F.aggregate("gone_spans", F.lit(0).cast("long"), lambda s, g: s + g["n_lines"]), F.lit(0).cast("long"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n.alias("n_lines_"), removed.alias("n_removed_"))
+    removed = F.coalesce(F.aggregate(gone, F.lit(0).cast("long"), lambda s, g: s + g["n_lines"]), F.lit(0).cast("long"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines_", "n_removed_")], n.alias("n_lines_"), removed.alias("n_removed_"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs``, same columns, with repeated passages removed and ``n_chars`` brought up to date where there is one."""
-    out = dedup_lines(docs, repeated_chunks(docs))
+    held = dict(zip(("n_lines_", "n_removed_"), fresh(docs, "n_lines_", "n_removed_"), strict=True))  # the table's own columns of these names
+    out = dedup_lines(docs.withColumnsRenamed(held), repeated_chunks(docs)) if set(held) & set(docs.columns) else dedup_lines(docs, repeated_chunks(docs))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed_") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(held[c]).alias(c) if c in held else F.col(c) for c in docs.columns])

@@ -11,7 +11,8 @@ Queries are the stated set (ids divisible by ``every``), taken in blocks against
 holds more than two blocks.
 
 Defined cases: vectors that are null, empty or hold null or non-finite numbers take no part, nor do rows without an id; of rows that share an id the
-smallest vector counts; the zero vector takes part; vectors shorter than the longest are padded with zeros; ties go to the smaller id.
+smallest vector counts; the zero vector takes part; vectors shorter than the longest are padded with zeros; ties go to the smaller id;
+vectors of a length of 2**31 whole units or more are refused, as their products need not fit 64 bits.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, running_totals, store
 from .vectors import usable
 
-_EXACT = 2.0**52
+_EXACT, _LONGEST = 2.0**52, 2.0**62
 
 
 def search(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, head: int = 24, block: int = 4096, query_block: int = 1024) -> DataFrame:
@@ -36,8 +37,10 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, head
     def integers(batch):
         out = np.zeros((len(batch["v"]), width), np.int64)
         for i, v in enumerate(batch["v"]):
-            out[i, : len(v)] = np.floor(np.array(v, np.float64) * scale)
+            out[i, : len(v)] = np.clip(np.floor(np.array(v, np.float64) * scale), -(2.0**32), 2.0**32)
         x = out.astype(np.float64)
+        if (x**2).sum(axis=1).max(initial=0) >= _LONGEST:
+            raise ValueError("a vector's length passes 2**31 in whole units: products would leave 64 bits")
         return {"vec_id": batch["vec_id"], "length": -np.sqrt((x**2).sum(axis=1)), "x": [r.tobytes() for r in out], "one_": [1] * len(out)}
 
     whole = store(arrow_map(rows, "vec_id long, length double, x binary, one_ long", integers, rows=4096), "integers")
@@ -52,11 +55,12 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, head
     first = store(first, "first")
     kth = first.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rn") == k)
     bounds = store(kth.select("query_id", F.col("score").alias("kth")), "bounds")
-    held = _with_bounds(queries, bounds, whole)
+    held = _with_bounds(whole.where(F.col("vec_id") % every == 0), bounds, query_block)
     many = blocks.agg(F.max("c")).first()[0] or 0
-    later = held.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(many).cast("long"))).alias("c")) if many else held.withColumn("c", F.lit(-1).cast("long"))
-    fits = blocks.select("c", "c_length").join(later, "c").where(F.col("c_length") >= F.col("q_least")).drop("c_length")
-    rest = _pairs(fits.join(blocks.select("c", "c_ids", "c_x"), "c"), spec, bounded=True)
+    # numbers of blocks first: only pairs whose candidates are long enough get their vectors
+    ids = held.select("q", "q_least", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(many).cast("long"))).alias("c")) if many else held.select("q", "q_least", F.lit(-1).cast("long").alias("c"))
+    fits = store(ids.join(blocks.select("c", "c_length"), "c").where(F.col("c_length") >= F.col("q_least")).select("q", "c"), "fits")
+    rest = _pairs(fits.join(held.select("q", "q_ids", "q_x", "q_kth"), "q").join(blocks.select("c", "c_ids", "c_x"), "c"), spec, bounded=True)
     every_ = first.unionByName(rest)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return every_.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -95,25 +99,24 @@ def _blocks(whole: DataFrame, order: DataFrame, size: int, name: str) -> DataFra
     return store(placed.groupBy("b").applyInPandas(pack, f"{name} long, {name}_ids binary, {name}_x binary, {name}_length double"), "blocks")
 
 
-def _with_bounds(queries: DataFrame, bounds: DataFrame, whole: DataFrame) -> DataFrame:
-    """Query blocks with each query's threshold, and the least candidate length that can reach any of them."""
-    ids = arrow_map(queries.select("q", "q_ids"), "q long, i int, query_id long", _unpack_ids, rows=1)
-    lengths = whole.select(F.col("vec_id").alias("query_id"), (-F.col("length")).alias("own"))
-    each = ids.join(bounds, "query_id", "left").join(lengths, "query_id")
-    need = F.when(F.col("kth").isNull() | (F.col("kth") <= 0) | (F.col("own") == 0), 0.0).otherwise(F.col("kth") / F.col("own") * (1 - 1e-9))
+def _with_bounds(queries: DataFrame, bounds: DataFrame, size: int) -> DataFrame:
+    """Query blocks with each query's threshold and the least candidate length that can reach any of them.
+
+    Queries are blocked anew, by the length they need, so that a query that needs little does not open a block of others.
+    A query without ``k`` results so far has a threshold below every product.
+    """
     none = F.lit(-(2**62)).cast("long")
-    packed = each.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("kth", none).alias("kth")))), lambda s: s["kth"]).alias("q_kth"), F.min(need).alias("q_least"))
-    return store(queries.join(packed, "q"), "held")
+    need = F.when(F.col("kth").isNull() | (F.col("kth") <= 0) | (F.col("length") == 0), 0.0).otherwise(F.col("kth") / -F.col("length") * (1 - 1e-9))
+    each = queries.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "x", "one_", F.coalesce("kth", none).alias("kth"), need.alias("need"))
+    each = store(each, "needs")
+    order = running_totals(each.select("vec_id", "need", "one_"), [], ["need", "vec_id"], "one_", "at", "needs")
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        return pd.DataFrame({"q": [int(pdf["at"].iloc[0]) // size], "q_ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], "q_x": [b"".join(pdf.x)], "q_kth": [pdf.kth.to_numpy(np.int64).tobytes()], "q_least": [float(pdf.need.min())]})
 
-def _unpack_ids(batch):
-    out = {"q": [], "i": [], "query_id": []}
-    for q, ids in zip(batch["q"], batch["q_ids"], strict=True):
-        ids = np.frombuffer(ids, np.int64)
-        out["q"] += [q] * len(ids)
-        out["i"] += range(len(ids))
-        out["query_id"] += ids.tolist()
-    return out
+    placed = each.join(order.select("vec_id", "at"), "vec_id").withColumn("b", F.floor(F.col("at") / size))
+    return store(placed.groupBy("b").applyInPandas(pack, "q long, q_ids binary, q_x binary, q_kth binary, q_least double"), "held")
 
 
 def _pairs(pairs: DataFrame, spec: dict, bounded: bool) -> DataFrame:
@@ -125,7 +128,7 @@ def _pairs(pairs: DataFrame, spec: dict, bounded: bool) -> DataFrame:
         for i in range(len(batch["c"])):
             q_ids, c_ids = np.frombuffer(batch["q_ids"][i], np.int64), np.frombuffer(batch["c_ids"][i], np.int64)
             q, c = (np.frombuffer(batch[n][i], np.int64).reshape(-1, width) for n in ("q_x", "c_x"))
-            kth = np.array(batch["q_kth"][i], np.float64) if bounded else np.full(len(q_ids), -np.inf)
+            kth = np.frombuffer(batch["q_kth"][i], np.int64).astype(np.float64) if bounded else np.full(len(q_ids), -np.inf)
             for name, found, score in _best(q_ids, q, kth, c_ids, c, k, head, turn):
                 out["query_id"] += [name] * len(found)
                 out["vec_id"] += found.tolist()

@@ -7,7 +7,7 @@ budget; a budget above the source's size repeats whole epochs first.
 Defined cases: a null text or one without words has size 0 and takes nothing; a null source is a source of its
 own, last in order; a null ``doc_id`` hashes as the empty string; rows with equal ids are told apart by their size and are
 otherwise interchangeable; an empty table gives an empty plan. Only ``doc_id``, ``source`` and ``text`` are read, so other columns may
-have any name.
+have any name; texts of any length are counted whole, and only ids and sizes are shuffled for the plan.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, running_totals, store, word_count
+from .common import WORD, fresh, running_totals, store, word_count
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: str = "") -> DataFrame:
@@ -73,16 +73,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, source and text share what they take evenly.
     """
-    key = lambda: F.xxhash64(F.col("doc_id"), F.col("source"), F.col("size_"))
-    plan = mix_plan(docs, **options).where("taken > 0").withColumnRenamed("size", "size_")
-    share = plan.select("doc_id", key().alias("same_"), "size_", "taken").groupBy("doc_id", "same_").agg((F.sum("taken") / F.count(F.lit(1))).cast("long").alias("taken_"))
-    share = store(share.withColumnRenamed("doc_id", "id_").withColumnRenamed("same_", "hash_"), "share")
-    rows = docs.withColumn("size_", word_count(F.col("text"))).withColumn("same_", key())
-    rows = rows.join(share.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("same_") == F.col("hash_")))
-    part = F.col("taken_") % F.col("size_")
+    size_, same_, whole_, taken_, id_, hash_ = fresh(docs, "size_", "same_", "whole_", "taken_", "id_", "hash_")
+    key = lambda size: F.xxhash64(F.col("doc_id"), F.col("source"), F.col(size))
+    plan = mix_plan(docs, **options).where("taken > 0").select(F.col("doc_id").alias(id_), key("size").alias(hash_), "taken")
+    share = store(plan.groupBy(id_, hash_).agg((F.sum("taken") / F.count(F.lit(1))).cast("long").alias(taken_)), "share")
+    rows = docs.withColumn(size_, word_count(F.col("text")))
+    rows = rows.withColumn(same_, key(size_))
+    rows = rows.join(share.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(same_) == F.col(hash_)))
+    part = F.col(taken_) % F.col(size_)
     first = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), part.cast("int")))
-    copies = F.concat(F.array_repeat(F.lit(True), F.floor(F.col("taken_") / F.col("size_")).cast("int")), F.when(part > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    rows = rows.withColumn("whole_", F.explode(copies)).withColumn("text", F.when(F.col("whole_"), F.col("text")).otherwise(first))
+    copies = F.concat(F.array_repeat(F.lit(True), F.floor(F.col(taken_) / F.col(size_)).cast("int")), F.when(part > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn(whole_, F.explode(copies)).withColumn("text", F.when(F.col(whole_), F.col("text")).otherwise(first))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("whole_"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(whole_), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -18,7 +18,8 @@ bytes), and equal neighbours repeat, inside a bucket or across the boundary of t
 partitioning key, so a string with millions of copies is dealt over many buckets.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` keep all; rows that repeat as a whole
-are texts of their own and so repeat each other; a null doc_id stays null; bytes that stay are joined even where that splits a character.
+are texts of their own and so repeat each other; very long texts are cut into segments that overlap, and other columns are ignored,
+whatever their names; a null doc_id stays null; bytes that stay are joined even where that splits a character.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from .common import arrow_map, store
 CORE = 40
 PART = 16
 _SEGMENT = 1 << 20
+_BUCKET = 1 << 19  # suffixes that a task sorts in memory
 _LOW = np.uint64(0xFFFFFFFF)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -213,10 +215,12 @@ def _repeated_suffixes(some: DataFrame, length: int) -> DataFrame:
         return {n: v if n == "doc" else np.concatenate(v) if v else [] for n, v in out.items()}
 
     suffixes = arrow_map(some, "lead long, d0 long, d1 long, doc long, uid long, pos int", emit, rows=1024)
-    dealt = store(suffixes, "suffixes").repartitionByRange("lead", "d0", "d1", "doc", "pos")
+    suffixes = store(suffixes, "suffixes")
+    n = max(suffixes.count() // _BUCKET + 1, int(some.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = suffixes.repartitionByRange(n, "lead", "d0", "d1", "doc", "pos")
 
     def bucket(batches):
-        parts = list(batches)  # a bucket is one partition of the range partitioning
+        parts = list(batches)  # a bucket is one partition of the range partitioning, of about _BUCKET suffixes
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)

@@ -12,7 +12,7 @@ probability that its noise exceeds the next perturbed value after the ``k`` draw
 The vocabulary's merge ranks give the piece probabilities (Zipf: 1 / (rank + 10), raised to ``alpha``); a character
 without a piece falls back to its UTF-8 bytes. Pieces never reach across the start of a word (nor, where the vocabulary has none
 that does, from a letter to another character), so the lattice of a text is a chain of word lattices, and a word's lattice is kept from batch to batch. Texts are taken whole, whatever their length; a longer
-one than a million characters is a batch of its own.
+one than half a million characters is a batch of its own.
 
 Defined cases: a null text is treated as empty; an empty text has one segmentation, without pieces, of probability 1; a text with fewer than ``k``
 segmentations yields all of them, with inclusion score 1; U+2581 in a text is read as a space, as the tokenizer does;
@@ -94,7 +94,7 @@ class Lattices:
     cumulated ones serve the walk only, which draws with 24 bits.
     """
 
-    def __init__(self, vocab: Vocabulary, room: int = 1 << 18):
+    def __init__(self, vocab: Vocabulary, room: int = 1 << 17):
         self.vocab, self.room, self.wide = vocab, room, vocab.longest
         self.names: dict[str, int] = {}
         self.size, self.start, self.uses, self.rows = (*np.zeros((3, 0), np.int64), 0)
@@ -414,6 +414,12 @@ def _vocabulary(model: bytes, alpha: float) -> Vocabulary:
     return _LOADED[key]
 
 
+def _release() -> None:
+    """Lattices go at the end of a task, as an idle worker keeps what it holds."""
+    for vocab in _LOADED.values():
+        vocab.lattices = Lattices(vocab)
+
+
 def _model(spark: SparkSession, path: str):
     """The model file as a broadcast; tokenizer models are of bounded size (here half a megabyte)."""
     with open(path, "rb") as f:
@@ -451,10 +457,10 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.25, seed:
 
     kind, last = ("ids_sha256 string", ", decodes boolean") if digest else ("ids array<int>", "")
     rows = docs.select(F.col(key).cast("long"), "text")
-    return arrow_map(rows, f"{key} long, rank int, {kind}, n_pieces int, log_prob double, inclusion double{last}", run, rows=1024)
+    return arrow_map(rows, f"{key} long, rank int, {kind}, n_pieces int, log_prob double, inclusion double{last}", run, rows=1024, after=_release)
 
 
-def _shares(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _shares(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters, which bounds the lattices held at a time; a longer text is a run of its own."""
     at = total = 0
     for i, text in enumerate(texts):

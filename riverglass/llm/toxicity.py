@@ -4,12 +4,14 @@ Features are the set of a text's lower-cased words and their stems of four to si
 one word between, hashed to 32 bits.
 Training takes a bounded sample of labelled rows (at most ``train_rows``, picked by a hash of their id), split
 into shards of at most ``shard_rows``; each shard runs FTRL-proximal with per-coordinate learning rates and L1, and
-the shards' sparse weights are averaged. Only coordinates that L1 leaves above zero remain, so the weights that go to the scoring
-tasks are small: at most ``most_weights`` of them are kept, by size, which bounds the broadcast.
+the shards' sparse weights are averaged. Features of fewer than ``least_rows`` rows of a shard are not learnt, as is usual for rare
+words. Only coordinates that L1 leaves above zero remain. They are broadcast to the scoring tasks; should they be more than
+``most_weights``, training is repeated with twice the L1 until they are not, so no weight of a model is ever cut off.
 
 Defined cases: a null or empty text has no features and scores by the bias alone; labels that are null, or whose doc_id is null,
-are not used; several labels of one document count as one, toxic if any is; without labels of both kinds every
-score is 0; repeated documents score alike; only ``doc_id`` and ``text`` are inputs of training and of scores.
+are not used; several labels of one document count as one, toxic if any is; with labels of one kind only, every score is
+that kind's smoothed share, (toxic + 1) / (n + 2), and without any it is 0; repeated documents score alike; very long texts are
+scored whole; only ``doc_id`` and ``text`` are inputs of training and of scores, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -109,14 +111,14 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, shard_rows: int = 4000, most_weights: int = 20_000, **options) -> dict[int, float]:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, shard_rows: int = 4000, most_weights: int = 20_000, l1: float = 3.0, **options) -> dict[int, float]:
     """Sparse weights by feature. ``train_rows`` bounds the labelled rows that are fitted."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = store(known.where(~held_out(F.col("doc_id"))), "known")
     chosen = store(hash_sample(known, "doc_id", train_rows, "fit"), "labels")
-    n = chosen.count()
-    if chosen.select("toxic").distinct().count() < 2:
-        return {}
+    n, toxic = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if toxic in (0, n):
+        return {BIAS: float(np.log((toxic + 1) / (n - toxic + 1)))} if n else {}
     shards = -(-n // shard_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows are broadcast
 
@@ -124,17 +126,23 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, shard_rows
         return {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "features": [np.unique(features(t)).tobytes() for t in batch["text"]]}
 
     sets = arrow_map(rows, "doc_id long, toxic int, features binary", extract)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        f, w = ftrl([np.frombuffer(x, np.uint32) for x in pdf.features], pdf.toxic.to_numpy(np.float64), **options)
-        return pd.DataFrame({"feature": f.astype(np.int64), "weight": w})
-
     shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards))
-    fitted = sets.withColumn("shard", shard).groupBy("shard").applyInPandas(fit, "feature long, weight double")
-    mean = fitted.groupBy("feature").agg((F.sum("weight") / shards).alias("weight"))
-    top = mean.orderBy((F.col("feature") == BIAS).desc(), F.abs("weight").desc(), "feature").limit(most_weights)
-    return {r.feature: r.weight for r in top.collect()}
+    sets = store(sets.withColumn("shard", shard), "fitted")  # at most train_rows rows
+
+    def fitted(l1: float) -> DataFrame:
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+            f, w = ftrl([np.frombuffer(x, np.uint32) for x in pdf.features], pdf.toxic.to_numpy(np.float64), l1=l1, **options)
+            return pd.DataFrame({"feature": f.astype(np.int64), "weight": w})
+
+        each = sets.groupBy("shard").applyInPandas(fit, "feature long, weight double")
+        return each.groupBy("feature").agg((F.sum("weight") / shards).alias("weight"))
+
+    while True:
+        found = fitted(l1).orderBy("feature").limit(most_weights + 1).collect()
+        if len(found) <= most_weights:
+            return {r.feature: r.weight for r in found}
+        l1 *= 2
 
 
 def _scorer(spark: SparkSession, weights: dict[int, float]):

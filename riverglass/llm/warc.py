@@ -13,7 +13,8 @@ holds it. The number of rounds is the binary logarithm of the records in a file.
 Defined cases: null html is an empty payload; empty payloads are payloads like any other; rows that share the
 smallest page_id of a payload are all responses; a null page_id is written as an empty id, comes last, and reads back as null; null urls are empty, and the magic in a url
 is written with its slash percent-encoded, so that no header is split; an empty
-table gives no files and no records; other columns are ignored; a truncated last record is dropped.
+table gives no files and no records; other columns are ignored, whatever their names; very long pages are one record each; a
+truncated last record is flagged as such. Pieces are told apart by 64-bit hashes and lengths where a payload holds the magic.
 """
 
 from __future__ import annotations
@@ -42,9 +43,11 @@ def _deduplicated(pages: DataFrame, least_bytes: int) -> DataFrame:
     long_ = pages.where(F.octet_length("body") >= least_bytes)
     first = long_.groupBy(same.alias("same_")).agg(F.min("page_id").alias("first_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1")
     first = store(first.drop("n_"), "payloads")
-    found = pages.join(first, (same == F.col("same_")) & (F.octet_length("body") >= least_bytes), "left")
-    later = F.col("first_").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_"))
-    return found.select("page_id", "url", "body", F.when(later, F.col("first_")).alias("refers_to"))
+    # ids and digests meet first; bodies then move by page, so copies of one payload do not gather in a task
+    later = long_.select("page_id", same.alias("same_")).join(first, "same_").where(~F.col("page_id").eqNullSafe(F.col("first_"))).distinct()
+    later = later.select(F.col("page_id").alias("later_"), "same_", "first_")
+    found = pages.join(later, F.col("page_id").eqNullSafe(F.col("later_")) & (same == F.col("same_")), "left")
+    return found.select("page_id", "url", "body", F.col("first_").alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -74,13 +77,14 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Pieces of the files between occurrences of the magic: file, split, row number in it, bytes, value."""
+    """Pieces of the files between occurrences of the magic: file, split, row number in it, bytes, value and its hash."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("row"),
         F.octet_length("value").cast("long").alias("n"),
+        F.xxhash64("value").alias("mark"),
         "value",
     )
 
@@ -122,7 +126,10 @@ def _shape(chunks: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives in ``path``: file, offset, page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload]."""
+    """The records of the archives in ``path``: file, offset, page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload].
+
+    A record that its file does not hold to the end is a row with record_type ``truncated`` and nulls.
+    """
     found = _parsed(_shape(_chunks(spark, path)))
     seen = store(found if payloads else found.drop("payload"), "candidates")
     # offsets: each split's pieces are summed in their order, then the splits before it in its file are added
@@ -130,25 +137,32 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     width = F.col("n") + len(MAGIC)
     spans = seen.groupBy("file", "split").agg(F.sum(width).alias("all_"))
     before = spans.withColumn("before", F.coalesce(F.sum("all_").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    light = seen.select("file", "split", "row", "n", "head_bytes", "block_bytes").withColumn("inside", F.coalesce(F.sum(width).over(inside), F.lit(0)))
+    light = seen.select("file", "split", "row", "n", "mark", "head_bytes", "block_bytes").withColumn("inside", F.coalesce(F.sum(width).over(inside), F.lit(0)))
     at = F.col("before") + F.col("inside") - len(MAGIC)  # where the piece's magic stands; the piece before the first magic is dropped
     placed = light.join(before.drop("all_"), ["file", "split"]).withColumn("offset", at).where("offset >= 0")
-    placed = store(placed.select("file", "split", "row", "offset", "n", "block_bytes", (F.col("offset") + len(MAGIC) + F.col("head_bytes") + F.col("block_bytes") + 8).alias("next")), "placed")
+    placed = store(placed.select("file", "split", "row", "offset", "n", "mark", "block_bytes", (F.col("offset") + len(MAGIC) + F.col("head_bytes") + F.col("block_bytes") + 8).alias("next")), "placed")
     kept = _reachable(placed.where("next IS NOT NULL").select("file", "offset", "next"))
     records = placed.join(kept, ["file", "offset"])
-    stray = placed.join(kept, ["file", "offset"], "left_anti").select("file", "offset", "split", "row")
+    stray = placed.join(kept, ["file", "offset"], "left_anti").select("file", "offset", "mark", "n")
     holding = store(_holders(records, stray), "holding")
     here = ["file", "split", "row"]
     columns = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *(["payload"] if payloads else [])]
     split_up = holding.select("file", F.col("record").alias("offset")).distinct()
-    plain = records.join(split_up, ["file", "offset"], "left_anti").where(F.col("next") <= F.col("offset") + len(MAGIC) + F.col("n"))
-    out = seen.join(plain.select(*here, "offset"), here).select("file", "offset", *columns)
+    alone = records.join(split_up, ["file", "offset"], "left_anti")
+    ends = F.col("next") <= F.col("offset") + len(MAGIC) + F.col("n")
+    out = seen.join(alone.where(ends).select(*here, "offset"), here).select("file", "offset", *columns)
+    kinds = {f.name: f.dataType for f in out.schema}
+    flagged = lambda df: df.select("file", "offset", *[(F.lit("truncated") if c == "record_type" else F.lit(None).cast(kinds[c])).alias(c) for c in columns])
+    out = out.unionByName(flagged(alone.where(~ends)))
     if holding.isEmpty():
         return out
-    parts = _chunks(spark, path).join(holding, here).groupBy("file", F.col("record").alias("offset"))
+    # pieces are found again by their content, as the files may be split in another way when they are read again
+    content = ["file", "mark", "n"]
+    values = _chunks(spark, path).join(holding.select(*content).distinct(), content, "left_semi").groupBy(*content).agg(F.first("value").alias("value"))
+    parts = holding.join(values, content).groupBy("file", F.col("record").alias("offset"))
     joined = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
-    joined = _shape(joined.withColumn("n", F.octet_length("value").cast("long"))).where("whole")
-    return out.unionByName(_parsed(joined).select("file", "offset", *columns))
+    joined = store(_shape(joined.withColumn("n", F.octet_length("value").cast("long"))), "joined")
+    return out.unionByName(_parsed(joined.where("whole")).select("file", "offset", *columns)).unionByName(flagged(joined.where("NOT whole")))
 
 
 def _reachable(links: DataFrame) -> DataFrame:
@@ -167,14 +181,14 @@ def _reachable(links: DataFrame) -> DataFrame:
 
 
 def _holders(records: DataFrame, stray: DataFrame) -> DataFrame:
-    """For each record with stray magic inside, its pieces in order: file, record, piece, split, row.
+    """For each record with stray magic inside, its pieces in order: file, record, piece, mark, n.
 
     Records and pieces meet in blocks of ``_SPAN`` bytes, of which a record has one per ``_SPAN`` bytes of its length.
     """
     spans = records.select("file", F.col("offset").alias("record"), "next", F.explode(F.sequence(F.floor(F.col("offset") / _SPAN), F.floor((F.col("next") - 1) / _SPAN))).alias("block"))
     inner = stray.withColumn("block", F.floor(F.col("offset") / _SPAN)).join(spans, ["file", "block"]).where("offset > record AND offset < next")
-    inner = store(inner.select("file", "record", F.col("offset").alias("piece"), "split", "row"), "stray")
-    own = records.select("file", F.col("offset").alias("record"), F.col("offset").alias("piece"), "split", "row")
+    inner = store(inner.select("file", "record", F.col("offset").alias("piece"), "mark", "n"), "stray")
+    own = records.select("file", F.col("offset").alias("record"), F.col("offset").alias("piece"), "mark", "n")
     return inner.unionByName(own.join(inner.select("file", "record").distinct(), ["file", "record"], "left_semi"))
 
 

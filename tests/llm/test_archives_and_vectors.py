@@ -108,3 +108,37 @@ def test_magic_in_urls_does_not_split_records(spark):
     rows = [(i, f"http://example.org/WAR\nC/1.{i}/WARC/1.1", f"page {i}") for i in range(6)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     assert sorted((r.page_id, r.payload_bytes) for r in warc.round_trip(pages).collect()) == [(i, 6) for i in range(6)]
+
+
+def test_second_read_with_other_splits(spark, monkeypatch):
+    """The files may be split in another way when pieces are read again; a record that is cut short is flagged."""
+    rows = [(i, f"u{i}", STRAY if i % 3 == 0 else f"page {i}") for i in range(60)]
+    path = new_path(spark, "test-warc-splits")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    holders = warc._holders
+
+    def changed(records, stray):
+        found = holders(records, stray)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return found
+
+    monkeypatch.setattr(warc, "_holders", changed)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        got = {r.page_id: r.payload for r in warc.read_records(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {k: v and bytes(v).decode() for k, v in got.items()} == {i: (t if i == 0 or i % 3 else None) for i, _, t in rows}
+    cut = spark.read.text(path, wholetext=True).selectExpr("substring(value, 1, length(value) - 9) AS value").where("value <> ''")
+    short = new_path(spark, "test-warc-short")
+    cut.write.text(short)
+    kinds = [r.record_type for r in warc.read_records(spark, short).collect()]
+    assert kinds.count("truncated") >= 1 and len(kinds) == 60
+
+
+def test_vectors_too_long_for_whole_products(spark):
+    df = spark.createDataFrame([(1, [1e9, 0.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="length passes"):
+        mips.search(df).collect()

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from riverglass.llm import lines, mixing, pii, repeats, sentencepiece, simhash, toxicity
@@ -465,3 +466,58 @@ def test_inclusion_is_exact_where_the_lattice_is_small():
     small = [[f[0].tolist() for f in sentencepiece.sample(v, [w], [i], k=2)[0]] for i, w in enumerate(words)]
     v.lattices = sentencepiece.Lattices(v)
     assert small == [[f[0].tolist() for f in found] for found in sentencepiece.sample(v, words, list(range(5)), k=2)]
+
+
+def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2, least_rows):
+    """FTRL-proximal one row and one coordinate at a time."""
+    seen = Counter(f for r in rows for f in r)
+    sets = [[0, *(int(f) for f in r if seen[f] >= least_rows)] for r in rows]
+    z, n, rng = Counter(), Counter(), np.random.default_rng(7)
+
+    def weight(f):
+        bound = 0.0 if f == 0 else l1
+        return 0.0 if abs(z[f]) <= bound else (np.sign(z[f]) * bound - z[f]) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for r in rng.permutation(len(sets)):
+            w = {f: weight(f) for f in sets[r]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[r]
+            for f in sets[r]:
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in z if weight(f) or f == 0}
+
+
+def test_ftrl_equals_a_plain_one():
+    rng = random.Random(19)
+    rows = [np.unique(np.array([rng.randrange(1, 40) for _ in range(12)], np.uint32)) for _ in range(60)]
+    labels = np.array([float(3 in r or 7 in r) for r in rows])
+    options = {"epochs": 3, "alpha": 2.0, "beta": 1.0, "l1": 0.5, "l2": 0.05, "least_rows": 5}
+    names, weights = toxicity.ftrl(rows, labels, **options)
+    want = plain_ftrl(rows, labels, **options)
+    assert dict(zip(names.tolist(), weights.tolist(), strict=True)) == pytest.approx(want)
+    assert len(want) < 40  # L1 leaves some at zero
+
+
+def test_labels_of_one_kind_and_bounded_weights(spark, make):
+    docs = make([(i, f"some words {i}") for i in range(20)])
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(i, kind) for i in range(20)], "doc_id long, toxic int")
+        scores = {r.score for r in toxicity.classify(docs, labels).collect()}
+        assert len(scores) == 1 and (scores.pop() > 0.5) == bool(kind)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.classify(docs, none).collect()} == {0.0} and toxicity.keep_clean(docs, none).count() == 20
+    rows = [(i, " ".join(f"{'bad' if i % 2 else 'good'}{j % 9} w{(i * j) % 30}" for j in range(30))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    wide, narrow = toxicity.train(make(rows), labels), toxicity.train(make(rows), labels, most_weights=12)
+    assert len(wide) > 12 >= len(narrow) > 1 and toxicity.BIAS in narrow
+
+
+def test_operators_leave_columns_of_any_name_alone(make):
+    names = ("gone_doc", "gone_uid", "gone_spans", "n_lines_", "n_removed_", "size_", "same_", "whole_", "taken_", "id_", "hash_", "u1", "u2", "kept_u1", "kept_u2")
+    docs = make([(1, "a line of text\nand one more of it\nthird"), (2, "other\na line of text\nand one more of it"), (3, None), (4, "")]).selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for out in (lines.clean(docs), mixing.mix_documents(docs), simhash.keep_one_similar(docs)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert {r.doc_id: r.text for r in lines.clean(docs).collect()} == {1: "a line of text\nand one more of it\nthird", 2: "other", 3: None, 4: ""}
