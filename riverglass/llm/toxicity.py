@@ -6,7 +6,7 @@ Training takes a bounded sample of labelled rows (at most ``train_rows``, picked
 into shards of at most ``shard_rows``; each shard runs FTRL-proximal with per-coordinate learning rates and L1, and
 the shards' sparse weights are averaged. Features of fewer than ``least_rows`` rows of a shard are not learnt, as is usual for rare
 words. Only coordinates that L1 leaves above zero remain. They are broadcast to the scoring tasks; should they be more than
-``most_weights``, training is repeated with twice the L1 until they are not, so no weight of a model is ever cut off.
+``most_weights``, training is repeated with half as much L1 again until they are not, so no weight of a model is ever cut off.
 
 Defined cases: a null or empty text has no features and scores by the bias alone; labels that are null, or whose doc_id is null,
 are not used; several labels of one document count as one, toxic if any is; with labels of one kind only, every score is
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, shard_rows
         found = fitted(l1).orderBy("feature").limit(most_weights + 1).collect()
         if len(found) <= most_weights:
             return {r.feature: r.weight for r in found}
-        l1 *= 2
+        l1 *= 1.5
 
 
 def _scorer(spark: SparkSession, weights: dict[int, float]):
