@@ -16,8 +16,8 @@ No radius of fingerprints holds all such pairs (at similarity 0.8 they are ten b
 pairs that it left apart come from a prefix filter, which is exact: in any common order of the shingles, two such sets share one
 of the first n - ceil(least n) + 1, n being a set's size. Shingles that are frequent over all documents come last in that order.
 Sets that share a shingle are not paired with each other: members of the group's largest component are known to be
-linked, so only the rest meets the group, in blocks, and only pairs whose sizes, places and number of shared shingles
-allow the similarity are verified. Of a large group neighbours in Gray order are verified first.
+linked, so only the rest meets the group, in blocks, and only pairs whose sizes, places, parity bits and number of shared
+shingles allow the similarity are verified, on 48-bit hashes. Of a large group neighbours in Gray order are verified first.
 
 Very long texts are taken whole. Column names of the table may be anything; other columns pass through.
 """
@@ -25,6 +25,8 @@ Very long texts are taken whole. Column names of the table may be anything; othe
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +148,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
 
 _FEW = 1 << 20  # names of sets up to which they are broadcast (16 MB), so that no other set moves
 _LATE = 1 << 17  # frequent shingles that are broadcast (1 MB)
-_BLOCK = 512  # members of a group that meet its others at a time
+_BLOCK = 256  # members of a group that meet its others at a time
 
 
 def _prefix(size: int, least: float) -> int:
@@ -159,21 +161,38 @@ def _set_print(hashes: np.ndarray) -> int:
     return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes: sets are kept in six bytes a shingle."""
+    return np.unique(hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.int64)
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits."""
+    return np.packbits((np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(row, u1, u2, doc, id, size, fp, hashes): every row's set of shingles; id names the set, u1 and u2 the row's content."""
+    """(row, u1, u2, doc, id, size, fp, parity, hashes): every row's set of shingles; id names the set, u1 and u2 the row's content."""
 
     def run(batch):
-        out = {**{n: batch[n] for n in ("u1", "u2", "doc")}, "id": [], "size": [], "fp": [], "hashes": []}
+        out = {**{n: batch[n] for n in ("u1", "u2", "doc")}, "id": [], "size": [], "fp": [], "parity": [], "hashes": []}
         for text in batch["text"]:
             got = np.unique(shingle_hashes(text, words))
             out["id"].append(xxhash.xxh3_64_intdigest(got.tobytes()) - 2**63)
-            out["size"].append(len(got))
+            out["hashes"].append(_packed(got))
+            out["size"].append(len(out["hashes"][-1]) // 6)
             out["fp"].append(_set_print(got))
-            out["hashes"].append(got.tobytes())
+            out["parity"].append(_parity(got))
         return out
 
     rows = docs.select(*_row_key(), F.col("doc_id").cast("long").alias("doc"), "text")
-    sets = arrow_map(rows, "u1 long, u2 long, doc long, id long, size int, fp long, hashes binary", run)
+    sets = arrow_map(rows, "u1 long, u2 long, doc long, id long, size int, fp long, parity array<long>, hashes binary", run)
     return store(sets.select(F.monotonically_increasing_id().alias("row"), "*"), "shingles")
 
 
@@ -197,7 +216,7 @@ def _frequent(sets: DataFrame, most: int = _LATE, room: int = 1 << 20) -> np.nda
 
         for batch in batches:
             for x in batch.column("hashes").to_pylist():
-                held.append(np.frombuffer(x, np.int64))
+                held.append(_unpacked(x))
                 n += len(held[-1])
                 if n >= room:
                     yield flush()
@@ -216,7 +235,7 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
     def run(batch):
         out = {"id": batch["id"], "size": batch["size"], "hash": []}
         for x in batch["hashes"]:
-            got = np.frombuffer(x, np.int64)
+            got = _unpacked(x)
             at = np.searchsorted(late.value, got).clip(max=max(len(late.value) - 1, 0))
             last = late.value[at] == got if len(late.value) else np.zeros(len(got), bool)
             out["hash"].append(got[np.argsort(last, kind="stable")[: _prefix(len(got), least)]])
@@ -240,7 +259,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def run(batch):
         out = {"u": [], "v": []}
         for a, b, x, y in zip(batch["a"], batch["b"], batch["a_set"], batch["b_set"], strict=True):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            x, y = _unpacked(x), _unpacked(y)
             shared = len(np.intersect1d(x, y, assume_unique=True))
             if shared >= least * (len(x) + len(y) - shared) - 1e-9:
                 out["u"].append(a)
@@ -260,7 +279,7 @@ def _index_links(sets: DataFrame, most: int) -> DataFrame:
     return equal.union(near.select(F.least("u_id", "v_id"), F.greatest("u_id", "v_id"))).distinct()
 
 
-def _neighbours(groups: DataFrame, sets: DataFrame, large: int, turns: int = 8) -> DataFrame:
+def _neighbours(groups: DataFrame, sets: DataFrame, large: int, turns: int = 16) -> DataFrame:
     """Candidates (a, b) in groups of over ``large`` sets: neighbours in Gray order of their fingerprints, turned in several ways.
 
     A set takes part in its largest group only. Rows are range-partitioned, so a large group is spread over many tasks.
@@ -285,27 +304,32 @@ def _neighbours(groups: DataFrame, sets: DataFrame, large: int, turns: int = 8)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _apart(groups: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def _apart(groups: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Candidates (a, b) of different components that share enough of their prefixes to reach ``least``.
 
     In each group all that are outside its largest component, in blocks, meet all members, which are dealt over salts.
+    A pair comes out only if sizes, places in the prefixes and parity bits leave it the similarity.
     """
     rows = groups.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = store(rows.select("hash", "id", "size", "place", "root"), "members")
     parts = rows.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hash")
     main = parts.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max("n").alias("most")).where("roots > 1")
     main = store(main.select("hash", "main", F.ceil((F.col("n") - F.col("most")) / _BLOCK).alias("blocks"), F.ceil(F.col("n") / (8 * _BLOCK)).alias("salts")), "mains")
-    rows = store(rows.join(main, "hash"), "mixed")
+    some = rows.join(main, "hash")
+    bits = sets.select("id", "parity").join(some.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    rows = store(some.join(bits, "id"), "mixed")
     spread = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(c))
-    own = rows.select("hash", "id", "size", "place", "root", spread("salts", "salt").alias("salt"))
-    block = rows.where("root <> main").groupBy("hash", "salts", spread("blocks", "block").alias("block")).agg(F.collect_list(F.struct("id", "size", "place", "root")).alias("others"))
+    own = rows.select("hash", "id", "size", "place", "root", "parity", spread("salts", "salt").alias("salt"))
+    block = rows.where("root <> main").groupBy("hash", "salts", spread("blocks", "block").alias("block")).agg(F.collect_list(F.struct("id", "size", "place", "root", "parity")).alias("others"))
     block = block.select("hash", "others", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     met = own.join(block, ["hash", "salt"])
 
     def fits(x: Column) -> Column:
         small, large = F.least(x["size"], F.col("size")), F.greatest(x["size"], F.col("size"))
         reach = F.least(x["place"], F.col("place")) + F.least(x["size"] - x["place"], F.col("size") - F.col("place"))
-        return (x["root"] != F.col("root")) & (small >= large * least - 1e-9) & (reach >= (small + large) * (least / (1 + least)) - 1e-6)
+        apart = reduce(add, [F.bit_count(x["parity"][i].bitwiseXOR(F.col("parity")[i])) for i in range(4)])
+        near = apart <= (small + large) * ((1 - least) / (1 + least)) + 1e-6
+        return (x["root"] != F.col("root")) & (small >= large * least - 1e-9) & near & (reach >= (small + large) * (least / (1 + least)) - 1e-6)
 
     pairs = met.select("id", "size", F.explode(F.filter("others", fits)).alias("x"), F.col("hash"))
     a = F.struct("id", "size")
@@ -324,7 +348,7 @@ def similar_links(sets: DataFrame, least: float, most: int = 3, large: int = 64)
     groups = _prefixes(sets, least)
     near = near.union(_verified(_neighbours(groups, sets, large), sets, least))
     roots = store(connected_components(near), "roots")
-    return near.union(_verified(_apart(groups, roots, least), sets, least))
+    return near.union(_verified(_apart(groups, sets, roots, least), sets, least))
 
 
 def keep_one_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
