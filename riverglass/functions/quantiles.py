@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nearest_rank(value: str, p: float = 0.95) -> Column:
@@ -12,18 +13,22 @@ def nearest_rank(value: str, p: float = 0.95) -> Column:
 
 
 def floor_index(df: DataFrame, keys: list[str], values: list[str], percent: int = 95) -> DataFrame:
-    """Per group and column the value of rank floor(n * percent / 100) + 1, and n.
+    """Per group and column the value of rank floor(n * percent / 100) + 1, and n, the first column's count.
 
-    Values are counted before they are ranked, so a group's rows shrink to its distinct values; no group is collected.
+    All columns are taken in one pass as (name, value) rows. Values are counted before they are ranked, so a group's
+    rows shrink to its distinct values, and every column of a group is ranked by a task of its own; no group is collected.
     """
-    out = None
-    for v in values:
-        counts = df.where(F.col(v).isNotNull()).groupBy(*keys, F.col(v).alias("x_")).agg(F.count(F.lit(1)).alias("c_"))
-        w = Window.partitionBy(*keys)
-        ranked = counts.withColumn("upto_", F.sum("c_").over(w.orderBy("x_"))).withColumn("n", F.sum("c_").over(w))
-        hit = ranked.where(F.col("upto_") > F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1)).groupBy(*keys, "n").agg(F.min("x_").alias(v))
-        out = hit if out is None else out.join(hit.drop("n"), keys, "left")
-    return out
+    whole = all(isinstance(df.schema[v].dataType, T.IntegralType) for v in values)
+    kind = "long" if whole else "double"
+    long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("col_"), F.col(v).cast(kind).alias("x_")) for i, v in enumerate(values)]))).where("x_ IS NOT NULL")
+    counts = long.groupBy(*keys, "col_", "x_").agg(F.count(F.lit(1)).alias("c_"))
+    w = Window.partitionBy(*keys, "col_")
+    ranked = counts.withColumn("upto_", F.sum("c_").over(w.orderBy("x_"))).withColumn("n_", F.sum("c_").over(w))
+    hit = ranked.where(F.col("upto_") > F.least(F.floor(F.col("n_") * percent / 100), F.col("n_") - 1))
+    of = lambda c, i: F.when(F.col("col_") == i, F.col(c))
+    columns = [F.min(of("x_", i)).cast(df.schema[v].dataType).alias(v) for i, v in enumerate(values)]
+    out = hit.groupBy(*keys).agg(F.max(of("n_", 0)).alias("n"), *columns)
+    return out.where("n IS NOT NULL").select(*keys, "n", *values)
 
 
 def floor_index_small(value: str, percent: int = 95) -> Column:

@@ -113,11 +113,17 @@ def object_class(head: Column) -> Column:
     return F.when(head.contains("retina") | head.contains("movenet"), "people").otherwise("cars")
 
 
-def remove_substring(text: Column, part: str, passes: int = 8) -> Column:
-    """Remove ``part`` again and again, as removals can form it anew; ``passes`` rounds."""
-    for _ in range(passes):
-        text = F.replace(text, F.lit(part), F.lit(""))
-    return text
+def remove_substring(text: Column, part: str) -> Column:
+    """Remove the first ``part`` until there is none, as removals can form it anew: at most one step per length of ``part``."""
+    if not part:
+        return text
+    steps = F.sequence(F.lit(0), F.floor(F.length(text) / len(part)).cast("int"))
+
+    def erase(s: Column, _: Column) -> Column:
+        at = F.instr(s, F.lit(part))
+        return F.when(at > 0, F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + len(part), F.length(s)))).otherwise(s)
+
+    return F.aggregate(steps, text, erase)
 
 
 def fraction(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def queueing_us(rate: Column, service: Column, variant: str = "guarded") -> Column:
     """Mean wait in microseconds from arrival and service rates per second: rho^2 / (1 - rho) / rate.
@@ -27,33 +29,39 @@ def stage_latency(df: DataFrame) -> DataFrame:
     return df.withColumns({"avg_latency": p + i * b + o, "max_latency": (p + i + o) * b, "cost": p + i + o + F.col("transfer")})
 
 
-def by_level(nodes: DataFrame, edges: DataFrame, depth: int, start: str, step: Column, total: str) -> DataFrame:
-    """``total`` of every node of a DAG of at most ``depth`` levels: ``start`` at sources, else the largest ``step`` over its upstreams.
+def by_level(nodes: DataFrame, edges: DataFrame, start: str, step: Column, total: str) -> DataFrame:
+    """``total`` of every node of a DAG of any depth: ``start`` at sources, else the largest ``step`` over its upstreams.
 
-    ``step`` may use the upstream's columns as u_*, ``total`` among them. One join per level; pipelines have a handful.
+    ``step`` may use the upstream's columns as u_*, ``total`` among them. One join per level, written down; it ends when
+    no total changes. A pipeline with a cycle is refused.
     """
-    state = nodes.withColumn(total, F.col(start))
     names = [*nodes.columns, total]
-    for _ in range(depth):
+    state = stored(nodes.withColumn(total, F.col(start)), "levels")
+    most = state.groupBy("pipeline").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most + 1):
         up = state.select(*[F.col(c).alias(f"u_{c}") for c in names])
         into = edges.join(up, (F.col("u_pipeline") == F.col("pipeline")) & (F.col("u_node") == F.col("src"))).groupBy("pipeline", F.col("dst").alias("node")).agg(F.max(step).alias("next_"))
-        state = state.drop(total).join(into, ["pipeline", "node"], "left").withColumn(total, F.coalesce("next_", F.col(start))).select(*names)
-    return state
+        both = state.withColumnRenamed(total, "before_").join(into, ["pipeline", "node"], "left").withColumn(total, F.coalesce("next_", F.col(start)))
+        after = stored(both.select(*names, (~F.col(total).eqNullSafe(F.col("before_"))).alias("moved_")), "levels")
+        state = after.drop("moved_")
+        if after.where("moved_").isEmpty():
+            return state
+    raise ValueError("the edges of a pipeline form a cycle")
 
 
-def start_to_here(nodes: DataFrame, edges: DataFrame, depth: int = 6) -> DataFrame:
+def start_to_here(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds start2here: the longest time from the source to a node's start."""
     step = F.col("u_start2here") + F.col("u_max_proc") + F.col("u_transfer") + F.col("u_queue")
-    return by_level(nodes.withColumn("zero_", F.lit(0.0)), edges, depth, "zero_", step, "start2here").drop("zero_")
+    return by_level(nodes.withColumn("zero_", F.lit(0.0)), edges, "zero_", step, "start2here").drop("zero_")
 
 
-def time_left(nodes: DataFrame, edges: DataFrame, depth: int = 6) -> DataFrame:
+def time_left(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds time_left: 0 at sinks, else 1.2 times the largest child's plus 1.2 times the node's own queueing and processing."""
     back = edges.select("pipeline", F.col("dst").alias("src"), F.col("src").alias("dst"))
     own = F.lit(1.2) * (F.col("queue") + F.col("max_proc"))
     rows = nodes.withColumn("own_", own).join(edges.select("pipeline", F.col("src").alias("node"), F.lit(True).alias("inner_")).distinct(), ["pipeline", "node"], "left")
     rows = rows.withColumn("zero_", F.lit(0.0)).withColumn("own_", F.when(F.col("inner_"), F.col("own_")).otherwise(0.0)).drop("inner_")
-    out = by_level(rows, back, depth, "zero_", F.col("u_below_") * 1.2 + F.col("u_own_"), "below_")
+    out = by_level(rows, back, "zero_", F.col("u_below_") * 1.2 + F.col("u_own_"), "below_")
     return out.withColumn("time_left", F.col("below_") * F.when(F.col("own_") > 0, 1.2).otherwise(1.0) + F.col("own_")).drop("below_", "own_", "zero_")
 
 

@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def tiles(spark, height: int, width: int, pad: int = 0, most: int = 4) -> DataFrame:
-    """(num_imgs, idx, x, y, w, h): where each of 1 to ``most`` packed images stands: whole, stacked, or two by two."""
-    n, idx = F.col("num_imgs"), F.col("idx")
-    base = spark.range(1, most + 1).select(F.col("id").alias("num_imgs")).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    cols = F.when(n == 4, 2).otherwise(1)
-    rows = F.when(n == 4, 2).otherwise(n)
-    w = F.floor((width - pad * (cols - 1)) / cols)
-    h = F.floor((height - pad * (rows - 1)) / rows)
-    x, y = (idx % cols) * (w + pad), F.floor(idx / cols) * (h + pad)
-    return base.select("num_imgs", "idx", *[c.cast("long").alias(k) for k, c in (("x", x), ("y", y), ("w", w), ("h", h))])
+def tile_layout(num_imgs: Column, height: int, width: int, pad: int = 0) -> Column:
+    """Array of (idx, x, y, w, h): where each of 0 to 4 packed images stands: whole, stacked, or two by two."""
+    n = num_imgs.cast("long")
+    cols, rows = F.when(n == 4, 2).otherwise(1), F.when(n == 4, 2).otherwise(n)
+    w, h = F.floor((width - pad * (cols - 1)) / cols), F.floor((height - pad * (rows - 1)) / rows)
+    index = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    place = lambda i: {"idx": i, "x": (i % cols) * (w + pad), "y": F.floor(i / cols) * (h + pad), "w": w, "h": h}
+    return F.transform(index, lambda i: F.struct(*[v.cast("long").alias(k) for k, v in place(i).items()]))
 
 
 def overlap(a: tuple[str, ...], b: tuple[str, ...], plus: int = 0) -> Column:
@@ -42,17 +40,16 @@ def iof(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
     return F.coalesce(F.try_divide(overlap(a, b).cast("double"), area(a).cast("double")), F.lit(0.0))
 
 
-def assign_tile(detections: DataFrame, layout: DataFrame, num_imgs: int) -> DataFrame:
+def assign_tile(detections: DataFrame, layout: Column) -> DataFrame:
     """Every detection in the tile it overlaps most (the first of equals), in the tile's coordinates; without overlap it is dropped.
 
-    The layout is a literal of at most four rows, so it joins as a broadcast.
+    The choice is made row by row from the tiles of ``layout`` (see ``tile_layout``): no join, no shuffle, equal rows stay.
     """
-    t = layout.where(F.col("num_imgs") == num_imgs).select("idx", F.col("x").alias("a1"), F.col("y").alias("b1"), (F.col("x") + F.col("w")).alias("a2"), (F.col("y") + F.col("h")).alias("b2"))
-    shared = overlap(BOX, ("a1", "b1", "a2", "b2"))
-    pick = F.max_by(F.struct("idx", "a1", "b1"), F.struct(shared, -F.col("idx")))
     keys = [c for c in detections.columns if c not in BOX]
-    hit = detections.crossJoin(F.broadcast(t)).where(shared > 0).groupBy(*keys, *BOX).agg(pick.alias("t"))
-    return hit.select(*keys, F.col("t.idx").alias("tile"), *[(F.col(c) - F.col("t.a1" if c[0] == "x" else "t.b1")).alias(c) for c in BOX])
+    side = lambda low, high, at, size: F.greatest(F.least(F.col(high), at + size) - F.greatest(F.col(low), at), F.lit(0))
+    shared = F.transform(layout, lambda t: F.struct((side("x1", "x2", t["x"], t["w"]) * side("y1", "y2", t["y"], t["h"])).alias("shared"), (-t["idx"]).alias("first"), t["x"].alias("x"), t["y"].alias("y")))
+    hit = detections.withColumn("tile_", F.array_max(shared)).where("tile_.shared > 0")
+    return hit.select(*keys, (-F.col("tile_.first")).alias("tile"), *[(F.col(c) - F.col(f"tile_.{c[0]}")).alias(c) for c in BOX])
 
 
 def rescale(df: DataFrame, infer_h: int, infer_w: int, height: int, width: int) -> DataFrame:
@@ -124,13 +121,15 @@ def filter_chain(boxes: DataFrame, key: str, order: tuple[str, ...], least: floa
     return out.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= keep).drop("rn_")
 
 
-def priors(spark, height: int, width: int, sizes: list[list[int]], steps: list[int], clip: bool = False) -> DataFrame:
-    """(k, i, j, s, cx, cy, w, h): prior boxes of every cell of every feature map, relative to the image."""
-    levels = spark.createDataFrame([(k, step, [float(x) for x in s]) for k, (step, s) in enumerate(zip(steps, sizes, strict=True))], "k int, step int, sizes array<double>")
-    cells = levels.withColumn("i", F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(height) / F.col("step")) - 1).cast("int")))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(width) / F.col("step")) - 1).cast("int"))))
-    out = cells.select("k", "step", "i", "j", F.posexplode("sizes").alias("s", "size"))
-    values = {"cx": (F.col("j") + 0.5) * F.col("step") / width, "cy": (F.col("i") + 0.5) * F.col("step") / height, "w": F.col("size") / width, "h": F.col("size") / height}
-    return out.select("k", "i", "j", "s", *[(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)) if clip else v).alias(n) for n, v in values.items()])
+def priors(images: DataFrame, height: Column, width: Column, sizes: list[list[int]], steps: list[int], clip: bool = False) -> DataFrame:
+    """Adds k, i, j, s, cx, cy, w, h: the prior boxes of every cell of every feature map of every image, relative to its size."""
+    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(step).alias("step"), F.array(*[F.lit(float(x)) for x in s]).alias("sizes")) for k, (step, s) in enumerate(zip(steps, sizes, strict=True))])
+    out = images.withColumns({"h_": height, "w_": width}).select("*", F.inline(levels))
+    for name, side in (("i", "h_"), ("j", "w_")):
+        out = out.withColumn(name, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(side) / F.col("step")) - 1).cast("int"))))
+    out = out.select(*images.columns, "h_", "w_", "k", "step", "i", "j", F.posexplode("sizes").alias("s", "size"))
+    values = {"cx": (F.col("j") + 0.5) * F.col("step") / F.col("w_"), "cy": (F.col("i") + 0.5) * F.col("step") / F.col("h_"), "w": F.col("size") / F.col("w_"), "h": F.col("size") / F.col("h_")}
+    return out.select(*images.columns, "k", "i", "j", "s", *[(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)) if clip else v).alias(n) for n, v in values.items()])
 
 
 def encode(df: DataFrame, v0: float = 0.1, v1: float = 0.2) -> DataFrame:

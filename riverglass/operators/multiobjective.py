@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pareto(points: DataFrame, key: str, objectives: list[str], buckets: int = 16) -> DataFrame:
+def pareto(points: DataFrame, key: str, objectives: list[str], parts: tuple[int, ...] = (256, 16)) -> DataFrame:
     """Points that no other of their key dominates.
 
-    Fronts of hashed parts come first, so only the parts' fronts meet in the anti-join; a point dominated in its part is dominated.
+    Fronts of hashed parts are merged as a tree: those of many small parts first, then of fewer, then of the key. A point
+    dominated in its part is dominated, so each level compares only what the one before left.
     """
-    part = F.pmod(F.xxhash64(*objectives), F.lit(buckets)).alias("p_")
-    first = _undominated(points.select("*", part), [key, "p_"], objectives)
-    return _undominated(first.drop("p_"), [key], objectives)
+    for n in parts:
+        part = F.pmod(F.xxhash64(*objectives), F.lit(n)).alias("p_")
+        points = _undominated(points.select("*", part), [key, "p_"], objectives).drop("p_")
+    return _undominated(points, [key], objectives)
 
 
 def _undominated(points: DataFrame, keys: list[str], objectives: list[str]) -> DataFrame:
@@ -64,10 +66,21 @@ def hypervolume(front: DataFrame, key: str, objectives: list[str], ref: list[flo
     return front.select(key, *objectives).groupBy(key).applyInPandas(run, f"{key} {front.schema[key].dataType.simpleString()}, hypervolume double")
 
 
-def hypervolume_sampled(front: DataFrame, key: str, objectives: list[str], ref: list[float], top: list[float], samples: int = 20_000, seed: int = 0) -> DataFrame:
-    """Monte-Carlo volume: the share of seeded random points of the box that some front point dominates."""
-    spark = front.sparkSession
-    points = spark.range(samples).select("id", *[(F.lit(float(low)) + F.rand(seed + i) * (high - low)).alias(f"r_{o}") for i, (o, low, high) in enumerate(zip(objectives, ref, top, strict=True))])
+def spread(dimensions: int) -> list[int]:
+    """Steps, in 1 / 2**32, of an evenly spread sequence of points: powers of the root of x ** (d + 1) = x + 1."""
+    root = 2.0
+    for _ in range(60):
+        root = (1 + root) ** (1 / (dimensions + 1))
+    return [int(root ** -(i + 1) % 1 * 2**32) | 1 for i in range(dimensions)]
+
+
+def hypervolume_sampled(front: DataFrame, key: str, objectives: list[str], ref: list[float], top: list[float], samples: int = 20_000) -> DataFrame:
+    """Sampled volume: the share of evenly spread points of the box that some front point dominates.
+
+    A point follows from its number, so the answer does not depend on how the sample is dealt out.
+    """
+    at = lambda step: ((F.col("id") + 1) * step % 2**32) / F.lit(float(2**32))
+    points = front.sparkSession.range(samples).select("id", *[(F.lit(float(low)) + at(step) * (high - low)).alias(f"r_{o}") for o, low, high, step in zip(objectives, ref, top, spread(len(objectives)), strict=True)])
     inside = reduce(and_, [F.col(o) >= F.col(f"r_{o}") for o in objectives])
     hits = front.join(F.broadcast(points), inside).select(key, "id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"))  # the sample is of a set size
     volume = float(np.prod([h - low for low, h in zip(ref, top, strict=True)]))
@@ -85,10 +98,19 @@ def sparsity(front: DataFrame, key: str, point: str, objectives: list[str]) -> D
     return front.select(key).distinct().join(mean, key, "left").fillna(0.0, ["sparsity"])
 
 
-def front_distances(fronts: DataFrame, key: str, point: str, objectives: list[str]) -> DataFrame:
-    """(a, b, hausdorff, avg_min, centroid) for every ordered pair of keys; fronts are small next to the table they come from."""
-    a, b = (fronts.select(F.col(key).alias(n), F.col(point).alias(f"{s}i"), *[F.col(o).alias(f"{s}{o}") for o in objectives]) for n, s in (("a", "a_"), ("b", "b_")))
-    least = a.crossJoin(b).groupBy("a", "b", "a_i").agg(F.min(_distance(objectives)).alias("d"))
+def front_distances(fronts: DataFrame, key: str, point: str, objectives: list[str], block: int = 512) -> DataFrame:
+    """(a, b, hausdorff, avg_min, centroid) for every ordered pair of keys.
+
+    A point meets blocks of other fronts, packed as arrays of up to ``block`` points, and keeps its least distance to
+    each: no row per pair of points.
+    """
+    place = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(point)) - 1) / block)
+    packed = fronts.select(F.col(key).alias("b"), place.alias("block_"), F.array(*objectives).alias("x_")).groupBy("b", "block_").agg(F.collect_list("x_").alias("others_"))
+    own = F.array(*[F.col(f"a_{o}") for o in objectives])
+    apart = lambda x: F.sqrt(F.aggregate(F.zip_with(own, x, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    a = fronts.select(F.col(key).alias("a"), F.col(point).alias("a_i"), *[F.col(o).cast("double").alias(f"a_{o}") for o in objectives])
+    met = a.crossJoin(packed).select("a", "a_i", "b", F.array_min(F.transform("others_", apart)).alias("d"))
+    least = met.groupBy("a", "b", "a_i").agg(F.min("d").alias("d"))
     one_way = least.groupBy("a", "b").agg(F.max("d").alias("far"), F.avg("d").alias("avg_min"))
     back = one_way.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("far").alias("far_back"))
     ca, cb = (fronts.groupBy(F.col(key).alias(n)).agg(*[F.avg(o).alias(f"{s}{o}") for o in objectives]) for n, s in (("a", "a_"), ("b", "b_")))
@@ -111,5 +133,5 @@ def wasserstein(points: DataFrame, key: str, objectives: list[str]) -> DataFrame
 
 
 def matrix(pairs: DataFrame, value: str, keys: list) -> DataFrame:
-    """K by K table of a symmetric or one-way measure, rounded to six digits."""
+    """K by K table of a measure of ordered pairs, rounded to six digits."""
     return pairs.groupBy("a").pivot("b", keys).agg(F.round(F.first(value), 6))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import PERIODS
 from ..functions.quantiles import nearest_rank
-from .joins import with_fallback
+from .joins import as_of, with_fallback
 
 
 def greatest_of(prefix: str, agg, periods: tuple[int, ...] = PERIODS) -> Column:
@@ -56,18 +56,21 @@ def resource_requirements(hw: DataFrame, keys: list[str]) -> DataFrame:
     return hw.groupBy(*keys, "batch_size").agg(*[F.max(c).alias(c) for c in ("cpu_usage", "mem_usage", "rss_mem_usage", "gpu_usage", "gpu_mem_usage")])
 
 
-def estimate_latency(sizes: DataFrame, entries: DataFrame, size: str, mode: str = "max") -> DataFrame:
-    """Adds latency of a package size from (pkg_size, latency) entries: clamped at the ends; between two, the larger (or linear)."""
+def estimate_latency(sizes: DataFrame, entries: DataFrame, size: str, mode: str = "max", width: int = 1024) -> DataFrame:
+    """Adds latency of a package size from (pkg_size, latency) entries: clamped at the ends; between two, the larger (or linear).
+
+    Every size takes the last entry at or below it by an as-of join in buckets of ``width`` bytes.
+    """
     w = Window.orderBy("pkg_size")  # entries: one row per distinct size of a link
-    steps = entries.select("pkg_size", "latency", F.lead("pkg_size").over(w).alias("next_size"), F.lead("latency").over(w).alias("next_latency"), F.row_number().over(w).alias("rn_"))
-    low = F.when(F.col("rn_") == 1, F.lit(float("-inf"))).otherwise(F.col("pkg_size").cast("double"))
-    high = F.coalesce(F.col("next_size").cast("double"), F.lit(float("inf")))
-    steps = steps.withColumns({"low_": low, "high_": high})
-    s = F.col(size)
-    share = (s - F.col("pkg_size")) / (F.col("next_size") - F.col("pkg_size"))
-    inside = F.greatest("latency", "next_latency") if mode == "max" else F.col("latency") + share * (F.col("next_latency") - F.col("latency"))
-    value = F.when(F.col("next_size").isNull() | (s <= F.col("pkg_size")), F.col("latency")).otherwise(inside)
-    return sizes.join(F.broadcast(steps), (s >= F.col("low_")) & (s < F.col("high_")), "left").select(*sizes.columns, value.alias("latency"))  # a link's table of sizes
+    step = F.struct("pkg_size", "latency", F.lead("pkg_size").over(w).alias("next_size"), F.lead("latency").over(w).alias("next_latency"))
+    steps = entries.select(F.col("pkg_size").alias(size), step.alias("step_"))
+    first = entries.agg(F.min_by("latency", "pkg_size").alias("first_"))  # one row
+    s, at = F.col(size), lambda name: F.col(f"step_.{name}")
+    share = (s - at("pkg_size")) / (at("next_size") - at("pkg_size"))
+    inside = F.greatest(at("latency"), at("next_latency")) if mode == "max" else at("latency") + share * (at("next_latency") - at("latency"))
+    value = F.when(F.col("step_").isNull(), F.col("first_")).when(at("next_size").isNull() | (s <= at("pkg_size")), at("latency")).otherwise(inside)
+    found = as_of(sizes, steps, [], size, "step_", width)
+    return found.crossJoin(F.broadcast(first)).select(*sizes.columns, value.alias("latency"))
 
 
 def network_entries(samples: DataFrame, size: str, latency: str, longest: int = 10_000_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -91,12 +92,16 @@ def late(requests: DataFrame, budget: int = 0) -> Column:
     return (F.col("t3") - F.col("t0")) > (F.col("slo") - budget)
 
 
-def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, up: float, down: float, start: float | None = None, rows: int = 256) -> DataFrame:
+def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, up: float, down: float, start: float | None = None) -> DataFrame:
     """Last value of s := keep * s + (1 - keep) * x per group, where ``keep`` is ``up`` for a rise and ``down`` else.
 
-    Each step shrinks what came before by at most ``max(up, down)``, so the last ``rows`` rows give the full fold to double
-    precision; only those are gathered (0.8 ** 256 is below 1e-24).
+    Each step shrinks what came before by at most ``max(up, down)``, which must be below 1, so the last rows, as many as
+    shrink it to 1e-24, give the full fold to double precision; only those are gathered (248 at 0.8).
     """
+    most = max(up, down)
+    if not 0 <= min(up, down) <= most < 1:
+        raise ValueError("up and down must be at least 0 and below 1")
+    rows = math.ceil(math.log(1e-24) / math.log(most)) + 1 if most > 0 else 1
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     last = df.select(*keys, *order, value).withColumn("rn_", F.row_number().over(newest)).where(F.col("rn_") <= rows)
     xs = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("x_")))), lambda s: s["x_"])

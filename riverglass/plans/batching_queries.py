@@ -59,10 +59,10 @@ def g6(d):
     return G.run_segments(d.request.withColumn("frame", F.col("v") % 100), K, O, "frame").select("event_id", "segment")
 
 
-@query("g7_warm_up", f"SELECT event_id FROM (SELECT event_id, rn // 8 AS batch FROM (SELECT event_id, {RN} AS rn FROM request)) WHERE batch >= 3")
+@query("g7_warm_up", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY stream ORDER BY t0, event_id) - 1 AS rn FROM request) WHERE rn // 8 >= CASE WHEN 2 * 8 >= 120 THEN 2 ELSE 120 // 8 + 1 END")
 def g7(d):
-    first = min(G.warm_up_batches(2, 8), 3)
-    return G.fixed_batches(d.request, K, O, 8).where(F.col("batch") >= first).select("event_id")
+    rows = d.request.select("event_id", "stream", "t0")
+    return G.fixed_batches(rows, ["stream"], O, 8).where(F.col("batch") >= G.warm_up_batches(2, 8)).select("event_id")
 
 
 @query("g8_trim_streams", f"SELECT event_id FROM (SELECT event_id, {RN} AS rn FROM request) WHERE rn < (SELECT min(n) FROM (SELECT count(*) AS n FROM request GROUP BY user_id))")

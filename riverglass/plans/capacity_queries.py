@@ -130,9 +130,10 @@ def e29(d):
     return d.request.select("event_id", F.rank().over(w).cast("long").alias("place"))
 
 
-@query("e30_pipeline_utilisation", "WITH u AS (SELECT device_type AS device, model AS subgraph, round(sum(rate / round(1000000.0::DOUBLE / (infer * batch_size * 10))), 9) AS utilisation FROM model_profile WHERE part_id % 20 = 0 GROUP BY ALL), f AS (SELECT * FROM u WHERE utilisation <= 1.0) SELECT device, subgraph, round(utilisation, 6) AS utilisation FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY utilisation DESC, subgraph) AS rn FROM f) WHERE rn = 1")
+@query("e30_pipeline_utilisation", "WITH u AS (SELECT device_type AS device, model || '/' || CAST(part_id // 50 AS VARCHAR) AS subgraph, round(sum(rate / round(1000000.0::DOUBLE / (infer * batch_size * 10))), 9) AS utilisation FROM model_profile GROUP BY ALL), f AS (SELECT * FROM u WHERE utilisation <= 1.0) SELECT device, subgraph, round(utilisation, 6) AS utilisation FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY utilisation DESC, subgraph) AS rn FROM f) WHERE rn = 1")
 def e30(d):
-    df = d.model_profile.where("part_id % 20 = 0").select(F.col("device_type").alias("device"), F.col("model").alias("subgraph"), F.col("rate").alias("fps"), (F.col("infer") * F.col("batch_size") * 10).alias("latency"))
+    subgraph = F.concat_ws("/", "model", F.floor(F.col("part_id") / 50))
+    df = d.model_profile.select(F.col("device_type").alias("device"), subgraph.alias("subgraph"), F.col("rate").alias("fps"), (F.col("infer") * F.col("batch_size") * 10).alias("latency"))
     return C.pipeline_utilisation(df).withColumn("utilisation", F.round("utilisation", 6))
 
 

@@ -18,15 +18,15 @@ def iou_sql(p: int) -> str:
     return f"CAST({both} AS DOUBLE) / ({AREA.format('d', p)} + {AREA.format('g', p)} - {both})"
 
 
-@query("f1_tile_layouts", "WITH n AS (SELECT unnest(range(1, 5)) AS num_imgs), t AS (SELECT num_imgs, unnest(range(0, num_imgs)) AS idx, CASE WHEN num_imgs = 4 THEN 2 ELSE 1 END AS c, CASE WHEN num_imgs = 4 THEN 2 ELSE num_imgs END AS r FROM n), s AS (SELECT *, CAST((320 - 2 * (c - 1)) // c AS BIGINT) AS w, CAST((240 - 2 * (r - 1)) // r AS BIGINT) AS h FROM t), used AS (SELECT DISTINCT 1 + x1 % 4 AS num_imgs FROM detections) SELECT num_imgs, idx, (idx % c) * (w + 2) AS x, (idx // c) * (h + 2) AS y, w, h FROM s SEMI JOIN used USING (num_imgs)")
+@query("f1_tile_layouts", "WITH n AS (SELECT det_id, sort_key, x1 % 5 AS num_imgs FROM detections), t AS (SELECT *, unnest(range(0, num_imgs)) AS idx, CASE WHEN num_imgs = 4 THEN 2 ELSE 1 END AS c, CASE WHEN num_imgs = 4 THEN 2 ELSE num_imgs END AS r FROM n), s AS (SELECT *, CAST((320 - 2 * (c - 1)) // c AS BIGINT) AS w, CAST((240 - 2 * (r - 1)) // r AS BIGINT) AS h FROM t) SELECT det_id, sort_key, num_imgs, idx, (idx % c) * (w + 2) AS x, (idx // c) * (h + 2) AS y, w, h FROM s")
 def f1(d):
-    used = d.detections.select((1 + F.col("x1") % 4).alias("num_imgs")).distinct()
-    return D.tiles(d.spark, 240, 320, pad=2).join(used, "num_imgs", "left_semi")
+    rows = d.detections.select("det_id", "sort_key", (F.col("x1") % 5).alias("num_imgs"))  # 0 to 4 images share a frame
+    return rows.select("*", F.inline(D.tile_layout(F.col("num_imgs"), 240, 320, pad=2)))
 
 
 @query("f2_assign_tile", f"WITH {LAYOUT}, o AS (SELECT det_id, sort_key, idx, x1 - x AS x1, y1 - y AS y1, {OV} AS ov, row_number() OVER (PARTITION BY det_id, sort_key ORDER BY {OV} DESC, idx) AS rn FROM detections, lay WHERE {OV} > 0) SELECT det_id, sort_key, CAST(idx AS BIGINT) AS tile, x1, y1 FROM o WHERE rn = 1")
 def f2(d):
-    return D.assign_tile(d.detections, D.tiles(d.spark, 240, 320, pad=2), 4).select("det_id", "sort_key", "tile", "x1", "y1")
+    return D.assign_tile(d.detections, D.tile_layout(F.lit(4), 240, 320, pad=2)).select("det_id", "sort_key", "tile", "x1", "y1")
 
 
 @query("f3_rescale", "SELECT det_id, sort_key, " + ", ".join(f"CAST(floor(greatest(0.0, least({top - 1}.0, {c} / 0.5::DOUBLE))) AS BIGINT) AS {c}" for c, top in (("x1", 640), ("y1", 480), ("x2", 640), ("y2", 480))) + " FROM detections")
@@ -82,26 +82,36 @@ def f10(d):
     return pairs.select("det_id", "sort_key", "gt_id", F.round(D.iou(D.BOX, g, 1), 9).alias("iou"))
 
 
-@query("f11_nms")
+def nms_sql(threshold: float, plus: int, where: str = "TRUE", top: int | None = None, keep: int | None = None) -> str:
+    """Greedy suppression as a recursion over each image's list of boxes in order: the first stays, what it covers goes."""
+    size = lambda b: f"({b}.x2 - {b}.x1 + {plus}) * ({b}.y2 - {b}.y1 + {plus})"
+    both = f"greatest(0, least(rest[1].x2, b.x2) - greatest(rest[1].x1, b.x1) + {plus}) * greatest(0, least(rest[1].y2, b.y2) - greatest(rest[1].y1, b.y1) + {plus})"
+    goes_on = f"list_filter(rest[2:], lambda b: {both} <= {threshold}::DOUBLE * ({size('rest[1]')} + {size('b')} - {both}))"
+    first = f"SELECT image_id, 1 AS n, list({{'d': det_id, 'k': sort_key, 's': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY score DESC, det_id, sort_key){f'[:{top}]' if top else ''} AS rest FROM detections WHERE {where} GROUP BY image_id"
+    limit = f" AND n <= {keep}" if keep else ""
+    return f"WITH RECURSIVE s(image_id, n, rest) AS ({first} UNION ALL SELECT image_id, n + 1, {goes_on} FROM s WHERE len(rest) > 1) SELECT rest[1].d AS det_id, rest[1].k AS sort_key, rest[1].s AS score FROM s WHERE len(rest) > 0{limit}"
+
+
+@query("f11_nms", nms_sql(0.4, 1))
 def f11(d):
     return D.suppress(d.detections, ["image_id"], 0.4, plus=1, order=("det_id", "sort_key")).select("det_id", "sort_key", "score")
 
 
-@query("f12_nms_top_k")
+@query("f12_nms_top_k", nms_sql(0.5, 0, top=200))
 def f12(d):
     return D.suppress(d.detections, ["image_id"], 0.5, top=200, order=("det_id", "sort_key")).select("det_id", "sort_key", "score")
 
 
-@query("f13_filter_chain")
+@query("f13_filter_chain", nms_sql(0.4, 1, "score > 0.02", 5000, 750))
 def f13(d):
     return D.filter_chain(d.detections, "image_id", ("det_id", "sort_key"), 0.02, 5000, 0.4, 750).select("det_id", "sort_key", "score")
 
 
-@query("f14_prior_boxes", "WITH l(k, step, size, s) AS (VALUES (0, 32, 16, 0), (0, 32, 32, 1), (1, 64, 64, 0)), c AS (SELECT k, step, size, s, unnest(range(0, CAST(ceil(240.0 / step) AS BIGINT))) AS i FROM l), g AS (SELECT *, unnest(range(0, CAST(ceil(320.0 / step) AS BIGINT))) AS j FROM c), u AS (SELECT DISTINCT class_id % 2 AS k FROM detections) SELECT k, i::INT AS i, j::INT AS j, s, round((j + 0.5::DOUBLE) * step / 320, 9) AS cx, round((i + 0.5::DOUBLE) * step / 240, 9) AS cy, round(size / 320.0::DOUBLE, 9) AS w, round(size / 240.0::DOUBLE, 9) AS h FROM g SEMI JOIN u USING (k)")
+@query("f14_prior_boxes", "WITH m AS (SELECT DISTINCT image_id, 32 * (1 + image_id % 2) AS hh, 32 * (1 + image_id % 3) AS ww FROM detections), l(k, step, size, s) AS (VALUES (0, 32, 16, 0), (0, 32, 32, 1), (1, 64, 64, 0)), c AS (SELECT *, unnest(range(0, CAST(ceil(hh / step::DOUBLE) AS BIGINT))) AS i FROM m, l), g AS (SELECT *, unnest(range(0, CAST(ceil(ww / step::DOUBLE) AS BIGINT))) AS j FROM c) SELECT image_id, k, i::INT AS i, j::INT AS j, s, round((j + 0.5::DOUBLE) * step / ww, 9) AS cx, round((i + 0.5::DOUBLE) * step / hh, 9) AS cy, round(size / ww::DOUBLE, 9) AS w, round(size / hh::DOUBLE, 9) AS h FROM g")
 def f14(d):
-    used = d.detections.select((F.col("class_id") % 2).cast("int").alias("k")).distinct()
-    out = D.priors(d.spark, 240, 320, [[16, 32], [64]], [32, 64]).join(used, "k", "left_semi")
-    return out.select("k", "i", "j", "s", *[F.round(c, 9).alias(c) for c in ("cx", "cy", "w", "h")])
+    images = d.detections.select("image_id").distinct()
+    out = D.priors(images, 32 * (1 + F.col("image_id") % 2), 32 * (1 + F.col("image_id") % 3), [[16, 32], [64]], [32, 64])
+    return out.select("image_id", "k", "i", "j", "s", *[F.round(c, 9).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 def _on_priors(d):

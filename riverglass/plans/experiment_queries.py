@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import experiment as X
 from ..operators import joins as J
+from ..session import scratch
+from ..sources import readers as R
 from .registry import query
 
 HOUR = 3_600_000_000
@@ -173,9 +175,15 @@ def h22(d):
     return X.moving_average(d.request, ["user_id"], ["t0", "event_id"], "v", 10).select("event_id", F.round("average", 6).alias("average"))
 
 
-@query("h22_average_tail")
+TAIL = """WITH RECURSIVE o AS (SELECT user_id, list(v ORDER BY t0, event_id) AS a FROM request GROUP BY user_id HAVING count(*) >= 5),
+t(user_id, i, a, avs) AS (SELECT user_id, 0, a, list_transform(range(greatest(len(a) - 14, 0), len(a) - 4), lambda j: list_avg(a[j + 1 : j + 5])) FROM o
+UNION ALL SELECT user_id, i + 1, a, list_append(avs, (list_avg(a[len(a) - (5 - i) + 1 :]) + list_sum(avs[greatest(len(avs) - 9, 1) :])) / (least(len(avs), 10) + 1)) FROM t WHERE i < 4)
+SELECT user_id, CAST(i AS BIGINT) AS i, round(avs[len(avs)], 6) AS average FROM t WHERE i > 0"""
+
+
+@query("h22_average_tail", TAIL)
 def h22_tail(d):
-    return X.average_tail(d.request, ["user_id"], ["t0", "event_id"], "v", 5)
+    return X.average_tail(d.request, ["user_id"], ["t0", "event_id"], "v", 5).withColumn("average", F.round("average", 6))
 
 
 @query("h23_bandwidth_mean", "WITH s AS (SELECT trace, mbps, row_number() OVER (PARTITION BY trace ORDER BY tm) AS i FROM bandwidth) SELECT CAST(i AS BIGINT) AS i, round(avg(mbps), 2) AS mean FROM s GROUP BY i")
@@ -209,10 +217,15 @@ def h27(d):
     return out.select("l_linenumber", F.col("i").cast("long").alias("i"), "difference")
 
 
-@query("h28_federated_latency", "SELECT pipeline, round(median(latency_us / 1000000.0::DOUBLE), 9) AS med, round(max(latency_us) / 1000000.0::DOUBLE, 9) AS longest FROM sink_log WHERE event_id % 10 = 0 GROUP BY 1")
+@query("h28_federated_latency", "SELECT CAST(floor(t0 / 86400000000) AS BIGINT) AS day, round(median(v / 100.0::DOUBLE), 9) AS med, round(max(v) / 100.0::DOUBLE, 9) AS longest FROM request WHERE event_type = 'signup' GROUP BY 1")
 def h28(d):
-    rows = d.sink_log.where("event_id % 10 = 0").withColumn("seconds", F.col("latency_us") / 1e6)
-    return rows.groupBy("pipeline").agg(F.round(F.median("seconds"), 9).alias("med"), F.round(F.max("seconds"), 9).alias("longest"))
+    """Rows of one kind of the decision log, which holds all requests: sign-ups stand for federated aggregations."""
+    kind = F.when(F.col("event_type") == "signup", "federatedAggregation").otherwise("step")
+    path = scratch(d.spark, "federated")
+    d.request.select(F.concat_ws(",", kind, "t0", F.lit("0"), F.lit("0"), F.lit("0"), F.col("v") / 100, F.lit("0")).alias("value")).write.text(path)
+    rows = R.rl_log(d.spark, path, kind="federatedAggregation")
+    day = F.floor(F.col("us") / 86_400_000_000).alias("day")
+    return rows.groupBy(day).agg(F.round(F.median("reward"), 9).alias("med"), F.round(F.max("reward"), 9).alias("longest"))
 
 
 @query("h29_parameter_surface", "WITH x AS (SELECT DISTINCT prep % 5 AS x FROM model_profile), y AS (SELECT DISTINCT cpu % 7 AS y FROM model_profile), g AS (SELECT prep % 5 AS x, cpu % 7 AS y, sum(infer) AS v FROM model_profile GROUP BY ALL) SELECT x, y, CAST(coalesce(v, 0) AS BIGINT) AS v FROM x CROSS JOIN y LEFT JOIN g USING (x, y)")

@@ -84,9 +84,9 @@ def d10(d):
     return d.customer.select("c_custkey").distinct().join(d.orders.where("o_orderkey % 10 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
-@query("d12_grid_join", "WITH x AS (SELECT DISTINCT infer_batch_size FROM request), y AS (SELECT DISTINCT day FROM request), g AS (SELECT infer_batch_size, day, sum(v) AS v FROM request WHERE event_id % 40 = 0 GROUP BY ALL), m AS (SELECT DISTINCT infer_batch_size FROM g), n AS (SELECT DISTINCT day FROM g) SELECT infer_batch_size, day, CAST(coalesce(v, 0) AS BIGINT) AS v FROM m CROSS JOIN n LEFT JOIN g USING (infer_batch_size, day)")
+@query("d12_grid_join", "WITH g AS (SELECT user_id, day, sum(v) AS v FROM request GROUP BY ALL), m AS (SELECT DISTINCT user_id FROM g), n AS (SELECT DISTINCT day FROM g) SELECT user_id, day, CAST(coalesce(v, 0) AS BIGINT) AS v FROM m CROSS JOIN n LEFT JOIN g USING (user_id, day)")
 def d12(d):
-    return J.full_grid(d.request.where("event_id % 40 = 0"), "infer_batch_size", "day", "v").select("infer_batch_size", "day", "v")
+    return J.full_grid(d.request, "user_id", "day", "v").select("user_id", "day", "v")
 
 
 @query("d13_distinct_by_priority", "SELECT user_id, stream, v FROM (SELECT user_id, stream, v, row_number() OVER (PARTITION BY user_id, stream ORDER BY v DESC, event_id) AS rn FROM request) WHERE rn = 1")

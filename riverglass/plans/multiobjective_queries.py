@@ -33,14 +33,24 @@ def i19(d):
     return M.hypervolume_2d(d.rollouts, "agent", "obj1", "obj2", (-1.0, -1.0)).select("agent", F.round("hypervolume", 6).alias("hypervolume"))
 
 
-@query("i19_hypervolume_3d")
+VOLUME = f"""WITH {FRONT}, ins AS (SELECT * FROM fr WHERE obj1 > -1 AND obj2 > -1 AND obj3 > -1),
+sl AS (SELECT agent, z, z - coalesce(lag(z) OVER (PARTITION BY agent ORDER BY z), -1) AS thick FROM (SELECT DISTINCT agent, obj3 AS z FROM ins)),
+pt AS (SELECT DISTINCT sl.agent, z, thick, obj1 AS x, obj2 AS y FROM sl JOIN ins ON ins.agent = sl.agent AND obj3 >= z),
+st AS (SELECT agent, thick, (x + 1) * greatest(y - coalesce(max(y) OVER (PARTITION BY agent, z ORDER BY x DESC, y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), 0) AS strip FROM pt)
+SELECT agent, round(sum(strip * thick), 6) AS hypervolume FROM st GROUP BY agent"""
+
+
+@query("i19_hypervolume_3d", VOLUME)
 def i19_3d(d):
     return M.hypervolume(_front(d), "agent", O, [-1.0, -1.0, -1.0]).select("agent", F.round("hypervolume", 6).alias("hypervolume"))
 
 
-@query("i20_hypervolume_sampled")
+SAMPLE = "sm AS (SELECT id, " + ", ".join(f"-1 + ((id + 1) * {step} % 4294967296) / 4294967296.0::DOUBLE * 2 AS r{i}" for i, step in enumerate(M.spread(3))) + " FROM (SELECT unnest(range(20000)) AS id))"
+
+
+@query("i20_hypervolume_sampled", f"WITH {FRONT}, {SAMPLE} SELECT agent, round(count(DISTINCT id) / 20000.0::DOUBLE * 8, 9) AS hypervolume FROM fr JOIN sm ON obj1 >= r0 AND obj2 >= r1 AND obj3 >= r2 GROUP BY agent")
 def i20(d):
-    return M.hypervolume_sampled(_front(d), "agent", O, [-1.0] * 3, [1.0] * 3)
+    return M.hypervolume_sampled(_front(d), "agent", O, [-1.0] * 3, [1.0] * 3).withColumn("hypervolume", F.round("hypervolume", 9))
 
 
 @query("i21_sparsity", f"WITH {FRONT}, m AS (SELECT a.agent AS agent, avg({DIST}) AS s FROM fr a JOIN fr b ON a.agent = b.agent AND a.rollout_id < b.rollout_id GROUP BY 1) SELECT DISTINCT fr.agent, round(coalesce(s, 0), 6) AS sparsity FROM fr LEFT JOIN m ON fr.agent = m.agent")
@@ -84,6 +94,31 @@ def i26(d):
     return apart.crossJoin(spread).select(F.round(F.col("c") / (F.col("s") + 1e-12), 6).alias("specialization"))
 
 
-@query("i27_distance_matrix", f"WITH {PAIRS} SELECT a, " + ", ".join(f"max(round(avg_min, 6)) FILTER (b = {k}) AS \"{k}\"" for k in range(10)) + " FROM one GROUP BY a")
+def _matrix_sql(source: str, value: str) -> str:
+    """One column per agent: embeddings carry ten labels."""
+    return "SELECT a, " + ", ".join(f"max(round({value}, 6)) FILTER (b = {k}) AS \"{k}\"" for k in range(10)) + f" FROM {source} GROUP BY a"
+
+
+def _agents(d) -> list:
+    return [r.agent for r in d.rollouts.select("agent").distinct().orderBy("agent").collect()]  # the columns of the result
+
+
+@query("i27_distance_matrix", f"WITH {PAIRS} {_matrix_sql('one', 'avg_min')}")
 def i27(d):
-    return M.matrix(_distances(d), "avg_min", list(range(10)))
+    return M.matrix(_distances(d), "avg_min", _agents(d))
+
+
+@query("i27_hausdorff_matrix", f"WITH {PAIRS}, hd AS (SELECT x.a, x.b, greatest(x.far, y.far) AS hausdorff FROM one x JOIN one y ON x.a = y.b AND x.b = y.a) {_matrix_sql('hd', 'hausdorff')}")
+def i27_hausdorff(d):
+    return M.matrix(_distances(d), "hausdorff", _agents(d))
+
+
+@query("i27_centroid_matrix", f"WITH {FRONT}, c AS (SELECT agent, avg(obj1) AS obj1, avg(obj2) AS obj2, avg(obj3) AS obj3 FROM fr GROUP BY agent), cd AS (SELECT a.agent AS a, b.agent AS b, {DIST} AS centroid FROM c a, c b) {_matrix_sql('cd', 'centroid')}")
+def i27_centroid(d):
+    return M.matrix(_distances(d), "centroid", _agents(d))
+
+
+@query("i27_wasserstein_matrix", f"WITH {WASS}, sym AS (SELECT a, b, wasserstein FROM ws UNION ALL SELECT b, a, wasserstein FROM ws) {_matrix_sql('sym', 'wasserstein')}")
+def i27_wasserstein(d):
+    one = M.wasserstein(d.rollouts, "agent", O)
+    return M.matrix(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "wasserstein")), "wasserstein", _agents(d))

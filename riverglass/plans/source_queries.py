@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from ..sources import readers as R
 from ..sources import sinks as S
 from .registry import query
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-riverglass-")
-    return f"{base.rstrip('/')}/sources/{name}-{uuid.uuid4().hex}"
-
-
 def _text(df, value, name):
     path = scratch(df.sparkSession, name)
     df.select(value.alias("value")).write.text(path)
@@ -30,7 +20,15 @@ def _text(df, value, name):
 
 @query("a1_load_fact", "SELECT stream, count(*) AS n FROM arrival WHERE stream LIKE '%stream1%' AND model_name LIKE '%i%' GROUP BY stream")
 def a1(d):
-    return R.load_fact(d.arrival, stream="stream1", model_name="i").groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
+    tables = {"arrival": f"facts{uuid.uuid4().hex}_arrival", "process": f"facts{uuid.uuid4().hex}_process"}
+    for name, view in tables.items():
+        getattr(d, name).createOrReplaceTempView(view)
+    found = R.find_tables(d.spark, tables["arrival"].split("_")[0])
+    try:
+        return R.load_fact(d.spark.table(found[0]), stream="stream1", model_name="i").groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
+    finally:
+        for view in tables.values():
+            d.spark.catalog.dropTempView(view)
 
 
 @query("a2_scan_fact", "SELECT event_id, late_requests FROM arrival")
@@ -89,8 +87,7 @@ def a8(d):
     traces = d.bandwidth.groupBy("trace", block).agg(F.collect_list(F.struct(F.col("tm").alias("time"), "mbps")).alias("bandwidth_limits"))
     path = scratch(d.spark, "bandwidth")
     traces.select(F.to_json(F.struct("bandwidth_limits")).alias("value"), (F.col("trace") * 1000 + F.col("b") % 1000).alias("f")).repartition("f").write.partitionBy("f").text(path)
-    text = d.spark.read.text(path)  # one JSON text per line here
-    return text.select(F.inline(F.from_json("value", "struct<bandwidth_limits:array<struct<time:bigint,mbps:double>>>")["bandwidth_limits"]))
+    return R.bandwidth(d.spark, path).drop("file")
 
 
 @query("a9_frame_objects", "SELECT stream, 'v' AS object, CAST(row_number() OVER (PARTITION BY stream, user_id, day ORDER BY event_id) - 1 AS BIGINT) AS frame, v AS objects FROM request")
@@ -100,10 +97,7 @@ def a9(d):
     text = per.select(F.to_json(F.create_map("stream", F.create_map(F.lit("v"), "xs"))).alias("value"))
     path = scratch(d.spark, "frames")
     text.write.text(path)
-    lines = d.spark.read.text(path)
-    streams = lines.select(F.explode(F.from_json("value", "map<string,map<string,array<bigint>>>")).alias("stream", "m"))
-    out = streams.select("stream", F.explode("m").alias("object", "xs")).select("stream", "object", F.posexplode("xs").alias("frame", "objects"))
-    return out.withColumn("frame", F.col("frame").cast("long"))
+    return R.frame_objects(d.spark, path).withColumn("frame", F.col("frame").cast("long"))
 
 
 @query("a10_rl_log", "SELECT t0 AS us, v / 100.0::DOUBLE AS reward, event_id / 1000.0::DOUBLE AS loss FROM request WHERE event_id % 2 = 0")
@@ -126,11 +120,9 @@ BOXES = "SELECT CAST(image_id AS VARCHAR) AS image, CAST(x1 AS DOUBLE) AS x, CAS
 
 @query("a12_predictions", BOXES)
 def a12(d):
-    text = S.detection_text(d.detections)
-    lines = F.split("value", "\n")
-    rows = text.select("image", F.explode(F.slice(lines, 3, F.size(lines) - 2)).alias("line"))
-    p = F.split("line", " ")
-    return rows.select("image", *[F.get(p, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("x", "y", "w", "h", "score"))])
+    path = scratch(d.spark, "predictions")
+    S.detection_text(d.detections).select("value").write.text(path)
+    return R.predictions(d.spark, path).drop("idx")
 
 
 @query("a13_ground_truth", "SELECT CAST(image_id AS VARCHAR) AS image, CAST(x1 AS DOUBLE) AS x, CAST(y1 AS DOUBLE) AS y, CAST(x2 - x1 AS DOUBLE) AS w, CAST(y2 - y1 AS DOUBLE) AS h FROM ground_truth")

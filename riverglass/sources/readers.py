@@ -67,17 +67,25 @@ def total_objects(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(streams).alias("stream", "v")).select("stream", "v.people", "v.cars")
 
 
+def _json_texts(spark: SparkSession, path: str, field: str = "") -> DataFrame:
+    """(file, value): every JSON object at the top level of the files; a file holds one, over any number of lines, or one on each line."""
+    lines = _lines(spark, path)
+    alone = F.col("value").rlike(r"^\s*\{.*\}\s*$")
+    split_up = lines.where(~alone & (F.trim("value") != "")).select("file").distinct()
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path")).join(split_up, "file", "left_semi")
+    return lines.where(alone).join(split_up, "file", "left_anti").select("file", "value").unionByName(whole.select("file", "value"))
+
+
 def bandwidth(spark: SparkSession, path: str) -> DataFrame:
-    """``{bandwidth_limits: [{time, mbps}]}`` of every file: file, time, mbps."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    """``{bandwidth_limits: [{time, mbps}]}``, a JSON text on one line or more: file, time, mbps."""
+    text = _json_texts(spark, path, "bandwidth_limits")
     steps = F.from_json("value", "struct<bandwidth_limits:array<struct<time:bigint,mbps:double>>>")["bandwidth_limits"]
     return text.select("file", F.inline(steps))
 
 
 def frame_objects(spark: SparkSession, path: str) -> DataFrame:
-    """``{stream: {object: [count per frame]}}``: stream, object, frame, objects."""
-    text = spark.read.text(path, wholetext=True)
-    streams = text.select(F.explode(F.from_json("value", "map<string,map<string,array<bigint>>>")).alias("stream", "m"))
+    """``{stream: {object: [count per frame]}}``, a JSON text on one line or more: stream, object, frame, objects."""
+    streams = _json_texts(spark, path).select(F.explode(F.from_json("value", "map<string,map<string,array<bigint>>>")).alias("stream", "m"))
     return streams.select("stream", F.explode("m").alias("object", "xs")).select("stream", "object", F.posexplode("xs").alias("frame", "objects"))
 
 
@@ -99,11 +107,13 @@ def rollouts(spark: SparkSession, path: str, first: int | None = None) -> DataFr
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Files of an image's name, a count, and ``x y w h score`` lines."""
-    lines = F.split(F.rtrim("value"), r"\r?\n")
-    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.get(lines, F.lit(0)).alias("image"), F.posexplode(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))).alias("idx", "line"))
+    """An image's name, a count, and ``x y w h score`` lines, once or more in a file: image, idx, x, y, w, h, score."""
+    record = r"\r?\n(?=\S+\r?\n(?:0(?:\r?\n|$)|[1-9]\d*\r?\n\S+ \S))"
+    lines = F.split("record", r"\r?\n")
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", r"\s+$", ""), record)).alias("record"))
+    rows = text.select(F.get(lines, F.lit(0)).alias("image"), F.posexplode(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))).alias("idx", "line"))
     p = F.split("line", " ")
-    return text.select("image", "idx", *[F.get(p, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("x", "y", "w", "h", "score"))])
+    return rows.select("image", "idx", *[F.get(p, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("x", "y", "w", "h", "score"))])
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -180,3 +180,53 @@ def test_pair_operators_have_no_cartesian_product(spark):
     for build in (P.f9, P.f17, P.f19):
         plan = build(d)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_removal_goes_on_until_nothing_is_left(spark):
+    row = spark.range(1).select(S.remove_substring(F.lit("a" * 12 + "b" * 12), "ab"), S.remove_substring(F.lit("xaabby"), "ab"), S.remove_substring(F.lit(""), "ab"), S.remove_substring(F.lit(None).cast("string"), "ab"), S.remove_substring(F.lit("ababaXX"), "aba")).first()
+    assert list(row) == ["", "xy", "", None, "baXX"]
+
+
+def test_equal_detections_stay_apart_in_their_tile(spark):
+    df = spark.createDataFrame([(1, 10, 10, 50, 50)] * 2 + [(2, 150, 100, 200, 140), (3, 400, 400, 410, 410)], "id long, x1 long, y1 long, x2 long, y2 long")
+    out = D.assign_tile(df, D.tile_layout(F.lit(4), 240, 320, pad=2))
+    assert sorted(tuple(r) for r in out.select("id", "tile", "x1", "y1").collect()) == [(1, 0, 10, 10), (1, 0, 10, 10), (2, 1, -11, 100)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert spark.range(1).select(F.size(D.tile_layout(F.lit(0), 240, 320))).first()[0] == 0
+
+
+def test_levels_of_a_deep_chain(spark):
+    from riverglass.operators import capacity as C
+
+    n = 15
+    nodes = spark.createDataFrame([("p", f"n{i:02d}", 1.0, 2.0, 3.0) for i in range(n)], "pipeline string, node string, max_proc double, transfer double, queue double")
+    edges = spark.createDataFrame([("p", f"n{i:02d}", f"n{i + 1:02d}") for i in range(n - 1)], "pipeline string, src string, dst string")
+    assert {r.node: r.start2here for r in C.start_to_here(nodes, edges).collect()}[f"n{n - 1}"] == 6.0 * (n - 1)
+    with pytest.raises(ValueError):
+        C.start_to_here(nodes, edges.union(spark.createDataFrame([("p", "n14", "n00")], edges.schema)))
+
+
+def test_slow_smoothing_takes_more_rows(spark):
+    xs = [float(i % 7) for i in range(3000)]
+    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(xs)], "k string, i long, v double")
+    s = xs[0]
+    for x in xs[1:]:
+        s = s * 0.99 + x * 0.01
+    assert R.smoothed(df, ["k"], ["i"], "v", 0.99, 0.99).first().smoothed == pytest.approx(s, rel=1e-12)
+    with pytest.raises(ValueError):
+        R.smoothed(df, ["k"], ["i"], "v", 1.0, 0.5)
+
+
+def test_json_texts_on_one_line_or_several(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"bandwidth_limits": [\n {"time": 1, "mbps": 2.5},\n {"time": 3, "mbps": 4.0}]}')
+    (tmp_path / "b.json").write_text('{"bandwidth_limits": [{"time": 5, "mbps": 1.0}]}\n{"bandwidth_limits": [{"time": 6, "mbps": 2.0}]}\n')
+    assert sorted((r.time, r.mbps) for r in readers.bandwidth(spark, f"file://{tmp_path}").collect()) == [(1, 2.5), (3, 4.0), (5, 1.0), (6, 2.0)]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "c.json").write_text('{"s": {"car":\n [1, 0]}}')
+    assert sorted((r.stream, r.frame, r.objects) for r in readers.frame_objects(spark, f"file://{tmp_path}/f").collect()) == [("s", 0, 1), ("s", 1, 0)]
+
+
+def test_predictions_of_several_images_in_a_file(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("7\n0\n8\n2\n1 2 3 4 0.5\n2 2 3 4 0.25\nimg\n1\n9 9 1 1 1.0\n")
+    got = sorted((r.image, r.idx, r.x) for r in readers.predictions(spark, f"file://{tmp_path}").collect())
+    assert got == [("8", 0, 1.0), ("8", 1, 2.0), ("img", 0, 9.0)]
