@@ -13,7 +13,7 @@ BOX = ("x1", "y1", "x2", "y2")
 def tile_layout(num_imgs: Column, height: int, width: int, pad: int = 0) -> Column:
     """Array of (idx, x, y, w, h): where each of 0 to 4 packed images stands: whole, stacked, or two by two."""
     n = num_imgs.cast("long")
-    cols, rows = F.when(n == 4, 2).otherwise(1), F.when(n == 4, 2).otherwise(n)
+    cols, rows = F.when(n == 4, 2).otherwise(1), F.when(n == 4, 2).otherwise(F.greatest(n, F.lit(1)))
     w, h = F.floor((width - pad * (cols - 1)) / cols), F.floor((height - pad * (rows - 1)) / rows)
     index = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
     place = lambda i: {"idx": i, "x": (i % cols) * (w + pad), "y": F.floor(i / cols) * (h + pad), "w": w, "h": h}
