@@ -74,10 +74,19 @@ class Vocabulary:
         prefixes = {p[:n] for p in pieces for n in range(1, len(p))}
         self.starts[(np.array([self.hash(p) for p in prefixes], np.uint64) >> np.uint64(_SHIFT)).astype(np.int64)] = 1
         self.starts[(self.hashes >> np.uint64(_SHIFT)).astype(np.int64)] |= 2
+        spelt = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode() for i in range(sp.get_piece_size())]
+        self.spelling, self.spelt_len = np.frombuffer(b"".join(spelt), np.uint8), np.array([len(x) for x in spelt])
+        self.spelt_at = np.cumsum(self.spelt_len) - self.spelt_len
         # where no piece joins a letter to another character, words fall apart into runs of either
         self.units = _RUNS if any(map(_CROSSING.search, pieces)) else _FINE
         self.lattices = Lattices(self)
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of the pieces, one after another."""
+        n = self.spelt_len[ids]
+        ends = np.cumsum(n)
+        return self.spelling[np.repeat(self.spelt_at[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
     @staticmethod
     def hash(piece: str) -> int:
         h = 0
@@ -94,7 +103,7 @@ class Lattices:
     cumulated ones serve the walk only, which draws with 24 bits.
     """
 
-    def __init__(self, vocab: Vocabulary, room: int = 1 << 17):
+    def __init__(self, vocab: Vocabulary, room: int = 1 << 18):
         self.vocab, self.room, self.wide = vocab, room, vocab.longest
         self.names: dict[str, int] = {}
         self.size, self.start, self.uses, self.rows = (*np.zeros((3, 0), np.int64), 0)
@@ -430,7 +439,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.25, seed:
     """(key, rank, ids, n_pieces, log_prob, inclusion): ``k`` distinct segmentations of every text, best first.
 
     With ``digest`` the ids are replaced by their SHA-256 over little-endian 32-bit integers, as ids_sha256, and
-    ``decodes`` tells whether the tokenizer decodes them to the text as it reads it.
+    ``decodes`` tells whether the pieces spell the text as the tokenizer reads it.
     """
     from hashlib import sha256
 
@@ -444,8 +453,8 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.25, seed:
         done = itertools.chain.from_iterable(sample(vocab, batch["text"][a:b], keys[a:b], k) for a, b in _shares(batch["text"]))
         for row, text, found in zip(batch[key], batch["text"], done, strict=True):
             if digest:
-                read = (text or "").replace(_MARK, " ")
-                out["decodes"] += [back == read for back in vocab.sp.decode([f[0].tolist() for f in found], num_threads=1)]
+                read = (_MARK + text.replace(" ", _MARK)).encode("utf-8", "replace") if text else b""
+                out["decodes"] += [vocab.spell(f[0]) == read for f in found]
             for rank, (ids, logp, _, score) in enumerate(found, 1):
                 out[key].append(row)
                 out["rank"].append(rank)

@@ -521,3 +521,12 @@ def test_operators_leave_columns_of_any_name_alone(make):
         rows = out.collect()
         assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
     assert {r.doc_id: r.text for r in lines.clean(docs).collect()} == {1: "a line of text\nand one more of it\nthird", 2: "other", 3: None, 4: ""}
+
+
+def test_pieces_spell_what_the_tokenizer_decodes():
+    v = vocabulary()
+    texts = ["the cat\nsat", "  two  spaces ", "日本 é 😀", "", "a▁b", "tab\tand 123.45"]
+    for text, found in zip(texts, sentencepiece.sample(v, texts, list(range(6)), k=2), strict=True):
+        for ids, *_ in found:
+            assert v.sp.decode(ids.tolist()) == text.replace("▁", " ")
+            assert v.spell(ids).decode() == ("▁" + text.replace(" ", "▁") if text else "")
