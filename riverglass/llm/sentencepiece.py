@@ -96,9 +96,10 @@ class Vocabulary:
 
 
 class Lattices:
-    """Word lattices: row (word, distance from its end) holds the edges that start there, by length.
+    """Word lattices: row (end of a word) holds the edges that start where it starts, by length.
 
-    Words stay between batches, as a corpus repeats most of them; beyond ``room`` rows the most used half of it stays.
+    What follows a place in a word decides its edges, so words with one ending share its rows: ``row_at`` holds the row
+    of every (word, distance from its end). Words stay between batches, as a corpus repeats most of them; beyond ``room`` rows the most used half of it stays.
     Probabilities are conditional on the row and kept as logarithms, so that an alternative of any mass is queued; the
     cumulated ones serve the walk only, which draws with 24 bits.
     """
@@ -107,6 +108,7 @@ class Lattices:
         self.vocab, self.room, self.wide = vocab, room, vocab.longest
         self.names: dict[str, int] = {}
         self.size, self.start, self.uses, self.rows = (*np.zeros((3, 0), np.int64), 0)
+        self.row_at = np.empty(0, np.int32)
         self.cum, self.logp, self.ids = (np.empty((0, self.wide), t) for t in (np.float32, np.float32, np.int32))
         self.used = np.empty(0, np.int32)  # columns of logp and ids that a row has filled
 
@@ -114,7 +116,7 @@ class Lattices:
         """The words of each text by number."""
         words = set().union(*texts)
         new = [w for w in words if w not in self.names]
-        if self.rows and self.rows + sum(map(len, new)) > self.room:
+        if self.rows + sum(map(len, new)) > self.room and self.rows > self.room // 2:
             self._forget()
             new = [w for w in words if w not in self.names]
         if new:
@@ -125,15 +127,23 @@ class Lattices:
 
     def _forget(self) -> None:
         order = np.argsort(-self.uses, kind="stable")
-        kept = np.sort(order[np.cumsum(self.size[order]) <= self.room // 2])
-        words, size = list(self.names), self.size[kept]
-        ends = np.cumsum(size)
-        self.rows = int(size.sum())
-        cells = np.repeat(self.start[kept] - (ends - size), size) + np.arange(self.rows)
+        room = self.room // 2 * len(self.row_at) // self.rows  # in characters, of which several share a row
+        kept = np.sort(order[np.cumsum(self.size[order]) <= room])
+        words, size, cells = list(self.names), self.size[kept], self.row_at[self._places(kept)]
+        needed = np.zeros(self.rows, bool)
+        needed[cells] = True
+        rows = np.flatnonzero(needed)
+        self.row_at, self.rows = (np.cumsum(needed, dtype=np.int32) - 1)[cells], len(rows)
         for name in ("cum", "logp", "ids", "used"):
-            setattr(self, name, getattr(self, name)[cells])
+            setattr(self, name, getattr(self, name)[rows])
         self.names = {words[i]: j for j, i in enumerate(kept.tolist())}
-        self.size, self.start, self.uses = size, ends - size, self.uses[kept]
+        self.size, self.start, self.uses = size, np.cumsum(size) - size, self.uses[kept]
+
+    def _places(self, words: np.ndarray) -> np.ndarray:
+        """Where in ``row_at`` the words' rows are, one word after another."""
+        size = self.size[words]
+        ends = np.cumsum(size)
+        return np.repeat(self.start[words] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
     def _grow(self, rows: int) -> None:
         if rows > len(self.cum):
@@ -145,28 +155,39 @@ class Lattices:
                 setattr(self, name, now)
 
     def _build(self, words: list[str]) -> None:
-        vocab, size = self.vocab, np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-size, kind="stable")
-        words, size = [words[i] for i in order.tolist()], size[order]
-        ends = np.cumsum(size)
-        start = self.rows + ends - size
-        self._grow(self.rows + int(ends[-1]))
+        vocab, size, base = self.vocab, np.fromiter(map(len, words), np.int64, len(words)), len(self.row_at)
+        ends, flat = np.cumsum(size), np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        tails = [np.where(size >= d, flat[np.maximum(ends - d, 0)], 0) for d in range(6, 0, -1)]
+        order = np.lexsort(tails)  # words with one ending become neighbours
+        words, size, ends = [words[i] for i in order.tolist()], size[order], ends[order]
+        start = base + np.cumsum(size) - size
         self.names.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
         self.size, self.start, self.uses = np.concatenate((self.size, size)), np.concatenate((self.start, start)), np.concatenate((self.uses, 0 * size))
-        self.cum[self.rows : self.rows + int(ends[-1])] = 1.0
-        self.rows += int(ends[-1])
-        live = len(size) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1))  # words of at least d characters
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        beta, chars = [np.zeros(len(size))], [None]
-        for d, n in enumerate(live.tolist(), 1):
-            chars.append(flat[ends[:n] - d].astype(np.uint64))
-            values: list[np.ndarray | None] = [None] * min(self.wide, d)  # by length, where any word has such a piece
-            at = start[:n] + d - 1
-            open_ = np.arange(n)  # words whose characters so far begin some piece
+        self.row_at = np.concatenate((self.row_at, np.empty(len(flat), np.int32)))
+        self._grow(self.rows + len(flat))
+        beta, chars = [np.zeros(1)], [None]  # by distance and ending: log-sums, and the characters there
+        live, ending = np.arange(len(size)), np.zeros(len(size), np.int64)  # words of at least d characters, and their endings of d - 1
+        above: list[np.ndarray] = []  # by shorter length, the last 16 of them: each ending's own ending
+        for d in range(1, int(size.max()) + 1):
+            long = size[live] >= d
+            live, ending = live[long], ending[long]
+            c = flat[ends[live] - d]
+            new = np.ones(len(live), bool)
+            new[1:] = (ending[1:] != ending[:-1]) | (c[1:] != c[:-1])
+            first = np.flatnonzero(new)
+            shorter, n = ending[first], len(first)
+            above = [shorter, *(x[shorter] for x in above[: self.wide - 1])]
+            ending = np.cumsum(new) - 1
+            chars.append(c[first].astype(np.uint64))
+            at = np.arange(self.rows, self.rows + n)
+            self.rows += n
+            self.row_at[start[live] + d - 1] = at[ending]
+            values: list[np.ndarray | None] = [None] * min(self.wide, d)  # by length, where any ending has such a piece
+            open_ = np.arange(n)  # endings whose characters so far begin some piece
             h = np.zeros(n, np.uint64)
             for length in range(1, len(values) + 1):
                 with np.errstate(over="ignore"):
-                    h = h * _M + (chars[d - length + 1][open_] + np.uint64(1))
+                    h = h * _M + (chars[d - length + 1][above[length - 2][open_] if length > 1 else open_] + np.uint64(1))
                 kind = vocab.starts[(h >> np.uint64(_SHIFT)).astype(np.int64)]
                 maybe = np.flatnonzero(kind & 2)
                 if len(maybe):
@@ -176,7 +197,7 @@ class Lattices:
                     if len(true):
                         maybe, hit = open_[maybe[true]], hit[true]
                         values[length - 1] = found = np.full(n, -np.inf)
-                        found[maybe] = vocab.logp[hit] + beta[d - length][maybe]
+                        found[maybe] = vocab.logp[hit] + beta[d - length][above[length - 1][maybe]]
                         self.ids[at[maybe], length - 1] = vocab.ids[hit]
                 on = np.flatnonzero(kind & 1)
                 open_, h = open_[on], h[on]
@@ -188,7 +209,7 @@ class Lattices:
             if len(lone):
                 c = chars[d][lone].astype(np.int64)
                 n_bytes = 1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF)
-                values[0][lone] = n_bytes * vocab.byte_logp + beta[d - 1][lone]
+                values[0][lone] = n_bytes * vocab.byte_logp + beta[d - 1][above[0][lone]]
                 self.ids[at[lone], 0] = np.where(c > 0x7F, -2 - c, vocab.byte0 + c)  # one byte, or to be spelt in bytes
             there = [j for j, v in enumerate(values) if v is not None]
             used = there[-1] + 1
@@ -235,7 +256,7 @@ class Lattices:
                 base, left, noise, index = base[alive], left[alive], noise[alive], index[alive]
             with np.errstate(over="ignore"):
                 u = (_mix(noise + left.astype(np.uint64) * _M) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-            row = (base + left) * self.wide
+            row = self.row_at[base + left].astype(np.int64) * self.wide
             cell = row - 1  # binary search for the first cell whose cumulated probability is above u
             for step in steps:
                 further = np.minimum(cell + step, row + self.wide - 1)
