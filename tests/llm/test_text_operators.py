@@ -466,6 +466,17 @@ def test_inclusion_is_exact_where_the_lattice_is_small():
     small = [[f[0].tolist() for f in sentencepiece.sample(v, [w], [i], k=2)[0]] for i, w in enumerate(words)]
     v.lattices = sentencepiece.Lattices(v)
     assert small == [[f[0].tolist() for f in found] for found in sentencepiece.sample(v, words, list(range(5)), k=2)]
+    shared = sentencepiece.Lattices(v)  # words with one ending share its rows, whose edges are those of a word alone
+    names = ["▁the", "▁bathe", "▁clothe", "the", "e", "▁cat", "▁xat"]
+    shared.look_up([names])
+    assert shared.rows < sum(map(len, names)) == len(shared.row_at)
+    for name in names:
+        alone = sentencepiece.Lattices(v)
+        alone.look_up([[name]])
+        at = shared.start[shared.names[name]]
+        for d in range(len(name)):
+            one, other = shared.edges(int(shared.row_at[at + d])), alone.edges(int(alone.row_at[d]))
+            assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(one, other, strict=True))
 
 
 def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2, least_rows):
