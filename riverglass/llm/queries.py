@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lines, mips, mixing, pii, repeats, sentencepiece, simhash, toxicity, warc
-from .common import read
+from . import ann, lines, mips, mixing, periodic, pii, repeats, sentencepiece, simhash, toxicity, warc
+from .common import WORD, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,28 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.summary(read(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; where crc32 of the id ends in 0, the text's words first repeat with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(w):
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        cycle = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), F.slice(cycle, 1, n - a)), " "))
+
+    words = F.array(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    text = F.when(h % 10 == 0, F.transform(words, planted)[0]).otherwise(F.col("text"))
+    found = periodic.runs(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    best = found.withColumn("best", periodic.longest("runs"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.l") / F.col("best.period")).alias("exponent_milli"), F.sha2(periodic.listing("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP1_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS line,
@@ -107,6 +129,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+# the words of a text after planting, joined with themselves on equal words at distances of up to a quarter of the text
+_CRC32 = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, ch: list_reduce(list_concat([xor(c, ch)], range(8)), lambda r, k: xor(r >> 1, 3988292384::BIGINT * (r & 1)))))"
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC32.format("CAST(doc_id AS VARCHAR)")} AS h,
+                  coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+e AS (SELECT rid, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, 3 + (h // 10) % 8 AS parts FROM d),
+f AS (SELECT *, 1 + (n - a) // parts AS p FROM e),
+t AS (SELECT rid, n, unnest(range(n)) AS i, unnest(list_transform(range(n), lambda j: CASE WHEN planted AND j >= a THEN w[1 + a + (j - a) % p] ELSE w[j + 1] END)) AS word FROM f),
+m AS (SELECT x.rid, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+island AS (SELECT rid, q, min(i) AS s, count(*) AS k FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS part FROM m) GROUP BY rid, q, part HAVING count(*) >= greatest(3 * q, 6 - q)),
+r AS (SELECT rid, s, k + q AS length, min(q) AS period FROM island GROUP BY rid, s, k + q),
+best AS (SELECT rid, count(*) AS n_runs, arg_min(s, (-length, s, period)) AS start, arg_min(length, (-length, s, period)) AS length, arg_min(period, (-length, s, period)) AS period,
+                sha256(string_agg(s || ',' || length || ',' || period || chr(10), '' ORDER BY s, period)) AS listing FROM r GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + period, s + length)) AS i FROM r),
+kept AS (SELECT rid, sha256(string_agg(word, ' ' ORDER BY i)) AS h FROM t ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       coalesce(listing, sha256('')) AS runs_sha256, coalesce(kept.h, sha256('')) AS collapsed_sha256
+FROM f LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
@@ -118,5 +160,6 @@ QUERIES: dict[str, Query] = {
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_repeats": op10_repeats,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op8_inner_products": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op8_inner_products": OP8_SQL, "op13_periodic_runs": OP13_SQL}
