@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lines, mips, mixing, periodic, pii, repeats, sentencepiece, simhash, toxicity, warc
+from . import ann, lines, metric, mips, mixing, periodic, pii, repeats, sentencepiece, simhash, toxicity, warc
 from .common import WORD, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.summary(read(spark, sf_dir, "documents"))
 
 
+def op11_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.link(read(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every text; where crc32 of the id ends in 0, the text's words first repeat with a period from some word on."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -129,6 +133,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+part AS (SELECT u, min(w) AS least FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS k FROM links GROUP BY u)
+SELECT vec_id, coalesce(k, 0) AS n_links, least AS component_id, vec_id = least AS kept
+FROM embeddings JOIN part ON vec_id = part.u LEFT JOIN n ON vec_id = n.u
+"""
+
 # the words of a text after planting, joined with themselves on equal words at distances of up to a quarter of the text
 _CRC32 = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, ch: list_reduce(list_concat([xor(c, ch)], range(8)), lambda r, k: xor(r >> 1, 3988292384::BIGINT * (r & 1)))))"
 OP13_SQL = rf"""
@@ -160,6 +178,7 @@ QUERIES: dict[str, Query] = {
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_repeats": op10_repeats,
+    "op11_metric_join": op11_metric_join,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op8_inner_products": OP8_SQL, "op13_periodic_runs": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op8_inner_products": OP8_SQL, "op11_metric_join": OP11_SQL, "op13_periodic_runs": OP13_SQL}

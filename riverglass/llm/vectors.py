@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def sound(v: Column, zeros: bool) -> Column:
+    """Whether ``v`` is a non-empty vector of finite numbers, not all of them zero unless ``zeros``."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    ok = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad)
+    return F.coalesce(ok if zeros else ok & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def usable(table: DataFrame, zeros: bool) -> DataFrame:
     """(vec_id, v): rows with an id and a non-empty vector of finite numbers; without ``zeros`` the zero vector is left out.
 
     Of rows that share an id, the one with the smallest vector counts.
     """
     v = F.col("embedding")
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    ok = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.col("vec_id").isNotNull()
-    if not zeros:
-        ok = ok & F.exists(v, lambda x: x != 0)
-    return table.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return table.where(sound(v, zeros) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def element_type(df: DataFrame) -> str:
