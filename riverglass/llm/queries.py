@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lines, metric, mips, mixing, periodic, pii, repeats, sentencepiece, simhash, toxicity, warc
+from . import ann, conversations, lines, metric, mips, mixing, periodic, pii, repeats, sentencepiece, simhash, toxicity, warc
 from .common import WORD, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,23 @@ def op11_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric.link(read(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows damaged by crc32 of ``conv_id:turn`` modulo 20, then repaired; a row for each conversation of the table, whatever is left of it."""
+    rows = read(spark, sf_dir, "conversations")
+    space = F.lit(" ")
+    damage = F.crc32(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    damaged = rows.where(damage != 0).select(
+        "conv_id", "turn", F.when(damage == 4, "user").otherwise(role).alias("role"),
+        F.when(damage == 1, "").when(damage == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(damage == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    fixed = conversations.repair(damaged).withColumnRenamed("conv_id", "of")
+    whole = rows.select("conv_id").distinct().join(fixed, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every text; where crc32 of the id ends in 0, the text's words first repeat with a period from some word on."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -147,8 +164,58 @@ SELECT vec_id, coalesce(k, 0) AS n_links, least AS component_id, vec_id = least
 FROM embeddings JOIN part ON vec_id = part.u LEFT JOIN n ON vec_id = n.u
 """
 
-# the words of a text after planting, joined with themselves on equal words at distances of up to a quarter of the text
 _CRC32 = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, ch: list_reduce(list_concat([xor(c, ch)], range(8)), lambda r, k: xor(r >> 1, 3988292384::BIGINT * (r & 1)))))"
+_SPEAKERS = ("user", "assistant")
+_MOVES = ", ".join(
+    f"('{code}', {state}, '{'I' * k}{letter}', {5 * k + cost}, {after}, '{''.join(f'{_SPEAKERS[j % 2]}:~' for j in range(first, first + k))}', {repr(_SPEAKERS[(first + k) % 2]) if letter == 'R' else 'NULL'})"
+    for code, state, k, first, (letter, cost, after) in (
+        (code, state, k, int(state == 2), edit)
+        for code in conversations.EDITS
+        for state in range(4)
+        for k in range(3)
+        for edit in conversations.EDITS[code][[state, 3 if state == 2 else 2, 2 if state == 2 else 3][k]]
+    )
+)
+_ENDS = "(0, '', 0, ''), (3, '', 0, ''), (2, 'I', 5, 'assistant:~'), (1, 'II', 10, 'user:~assistant:~')"
+# the same edits as shortest ways over (row, state), all of a row's ways at once; moves are up to two insertions and one edit of the row
+OP12_SQL = rf"""
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC32.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS d FROM conversations),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS c
+  FROM h WHERE d <> 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i FROM dam),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS prev,
+                rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM pos),
+judged AS (SELECT *, CASE WHEN cut = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN cut[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                  CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS known FROM seen),
+coded AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'X' WHEN fault = 'truncated' THEN upper(known) ELSE known END AS code FROM judged),
+moves(code, s, letters, cost, t, pre, say) AS (VALUES {_MOVES}),
+ends(s, letters, cost, pre) AS (VALUES {_ENDS}),
+walk(conv_id, i, s, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': '', 'said': ''}} FROM coded
+  UNION ALL
+  SELECT w.conv_id, r.i, m.t, min({{'cost': w.best.cost + m.cost, 'audit': w.best.audit || m.letters,
+    'said': w.best.said || replace(m.pre, '~', chr(10)) || CASE WHEN m.letters LIKE '%D' THEN '' ELSE coalesce(m.say, r.role) || ':' || r.text || chr(10) END}})
+  FROM walk w JOIN coded r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN moves m ON m.code = r.code AND m.s = w.s
+  GROUP BY w.conv_id, r.i, m.t),
+sums AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (prev IS NOT NULL AND prev || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM coded GROUP BY conv_id),
+done AS (
+  SELECT w.conv_id, min({{'cost': w.best.cost + e.cost, 'audit': w.best.audit || e.letters, 'said': w.best.said || replace(e.pre, '~', chr(10))}}) AS best
+  FROM walk w JOIN sums u ON u.conv_id IS NOT DISTINCT FROM w.conv_id AND u.n = w.i JOIN ends e ON e.s = w.s GROUP BY w.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(done.best.cost, 0) AS cost, coalesce(done.best.audit, '') AS audit,
+       sha256(coalesce(left(done.best.said, length(done.best.said) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+# the words of a text after planting, joined with themselves on equal words at distances of up to a quarter of the text
 OP13_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC32.format("CAST(doc_id AS VARCHAR)")} AS h,
                   coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -179,6 +246,14 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_repeats": op10_repeats,
     "op11_metric_join": op11_metric_join,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op8_inner_products": OP8_SQL, "op11_metric_join": OP11_SQL, "op13_periodic_runs": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op2_warc": OP2_SQL,
+    "op8_inner_products": OP8_SQL,
+    "op11_metric_join": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
+    "op13_periodic_runs": OP13_SQL,
+}
