@@ -4,8 +4,8 @@ On unit vectors the cosine is a distance: pairs link within r = sqrt(2 - 2 * lea
 weight. Every label begins as one cell. A cell of more than ``target`` vectors gets ``fan`` pivots, its members with the smallest
 hashes; each member's home is its nearest pivot's cell, and it is a guest in every other cell that may hold a home vector within r: by the triangle inequality
 its distance d to that pivot is at most (distance to its nearest pivot) + 2r, and at most (radius of the cell's home vectors) + r; and it lies at most r behind the plane
-between the pivots. So all neighbours of a vector are members of its home cell. Cells that are still large are cut again. A cell whose cut would leave
-more than ``gain`` of its comparisons stays whole: in many dimensions guests can outnumber what a cut saves, and then the cut is not made.
+between the pivots. So all neighbours of a vector are members of its home cell. Cells that are still large are cut again. A cell is cut only if that saves more than a share of
+``1 - gain`` of its comparisons and more than ``worth`` comparisons for each guest row that has to move: in many dimensions guests cost more than they save, and the cell stays whole.
 
 Cells are joined independently. Members are packed into blocks by a hash, and each pair of blocks, of which one at least is of home vectors, is one row: a matrix product in double
 precision, from which come each home vector's number of links and, instead of all links, one edge from each linked vector to the smallest of its part of the
@@ -29,7 +29,7 @@ from .vectors import sound, stack
 _SLACK = 1e-7  # of distances, which are roots of differences; what passes is compared as a cosine
 
 
-def link(table: DataFrame, least: float = 0.98, target: int = 2048, fan: int = 16, gain: float = 0.8, block: int = 1024) -> DataFrame:
+def link(table: DataFrame, least: float = 0.98, target: int = 8192, fan: int = 16, gain: float = 0.8, worth: int = 1000, block: int = 2048) -> DataFrame:
     """vec_id, n_links (vectors with this label and a cosine of ``least`` or more), component_id (smallest id reachable), kept."""
     element = table.schema["embedding"].dataType.elementType
     kind = "f4" if isinstance(element, T.FloatType) else "f8"
@@ -42,7 +42,7 @@ def link(table: DataFrame, least: float = 0.98, target: int = 2048, fan: int = 1
     rows = store(arrow_map(one.select("vec_id", F.col("got.label").cast("string").alias("label"), F.col("got.v").alias("v")), "vec_id long, label string, x binary", raw, rows=4096), "vectors")
     known = rows.where(F.col("x").isNotNull())
     texts = store(known.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "distinct")
-    links = store(_joined(cells(texts, kind, least, target, fan, gain), kind, least, block), "links")
+    links = store(_joined(cells(texts, kind, least, target, fan, gain, worth), kind, least, block), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected_components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")).distinct())
     found = texts.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -52,7 +52,7 @@ def link(table: DataFrame, least: float = 0.98, target: int = 2048, fan: int = 1
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def cells(texts: DataFrame, kind: str, least: float, target: int, fan: int, gain: float) -> DataFrame:
+def cells(texts: DataFrame, kind: str, least: float, target: int, fan: int, gain: float, worth: int) -> DataFrame:
     """Of (label, x, rep, weight): (cell, rep, x, weight, home), where every vector within reach of a home vector is a member of its cell."""
     now, done = texts.select(F.col("label").alias("cell"), "rep", "x", "weight", F.lit(True).alias("home")), []
     while True:
@@ -66,8 +66,10 @@ def cells(texts: DataFrame, kind: str, least: float, target: int, fan: int, gain
         guests = near.select("cell", "rep", "x", "weight", F.inline("others")).join(radius, ["cell", "q"]).where(F.col("d") <= F.col("r") + _reach(least))
         guests = store(guests.select("cell", "q", "rep", "x", "weight"), "guests")
         work = radius.join(guests.groupBy("cell", "q").agg(F.count(F.lit(1)).alias("guests")), ["cell", "q"], "left")
-        work = work.groupBy("cell").agg(F.sum(F.col("homes") * (F.col("homes") + F.coalesce("guests", F.lit(0)))).alias("work"))
-        cut = store(work.join(large, "cell").where(F.col("work") <= gain * F.col("homes") * F.col("members")).select("cell"), "cut")
+        guest = F.coalesce("guests", F.lit(0))
+        work = work.groupBy("cell").agg(F.sum(F.col("homes") * (F.col("homes") + guest)).alias("work"), F.sum(guest).alias("moved"))
+        saved = F.col("homes") * F.col("members") - F.col("work")
+        cut = store(work.join(large, "cell").where((saved > (1 - gain) * F.col("homes") * F.col("members")) & (saved > worth * F.col("moved"))).select("cell"), "cut")
         done.append(now.join(cut, "cell", "left_anti"))
         parts = [near.where("home").select("cell", "q", "rep", "x", "weight", F.lit(True).alias("home")), guests.select("*", F.lit(False).alias("home"))]
         now = parts[0].unionByName(parts[1]).join(cut, "cell")

@@ -50,7 +50,7 @@ def all_pairs(rows, least):
 @pytest.mark.parametrize(("dim", "target", "fan", "gain", "block", "kind"), [(8, 40, 4, 0.95, 16, "float"), (3, 25, 6, 0.9, 8, "double"), (16, 2048, 16, 0.8, 1024, "float")])
 def test_links_of_all_pairs(spark, dim, target, fan, gain, block, kind):
     df, rows = table(spark, np.random.default_rng(dim), 500, dim, kind)
-    got = sorted(tuple(r) for r in metric.link(df, target=target, fan=fan, gain=gain, block=block).collect())
+    got = sorted(tuple(r) for r in metric.link(df, target=target, fan=fan, gain=gain, worth=0, block=block).collect())
     want = all_pairs(rows, 0.98)
     assert got == want
     assert sum(n for _, n, _, _ in want) > 500
@@ -61,13 +61,20 @@ def test_cells_are_cut_where_it_helps(spark):
     x = rng.normal(size=(600, 2)).astype(np.float32)  # directions on a circle
     rows = [("one", v.tobytes(), i, 1) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "label string, x binary, rep long, weight long")
-    placed = store(metric.cells(df, "f4", 0.98, 30, 8, 0.8), "cells")
+    placed = store(metric.cells(df, "f4", 0.98, 30, 8, 0.8, 0), "cells")
     assert placed.where("home").count() == 600 == placed.where("home").select("rep").distinct().count()
     assert placed.select("cell").distinct().count() > 10
     work = placed.groupBy("cell").agg((F.sum(F.col("home").cast("int")) * F.count(F.lit(1))).alias("w")).agg({"w": "sum"}).first()[0]
     assert work < 0.35 * 600**2
 
 
+def test_cells_stay_whole_where_guests_cost_more(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 64)).astype(np.float32)
+    df = spark.createDataFrame([("one", v.tobytes(), i, 1) for i, v in enumerate(x)], "label string, x binary, rep long, weight long")
+    assert metric.cells(df, "f4", 0.98, 50, 8, 0.8, 1000).select("cell").distinct().count() == 1
+
+
 def test_no_rows(spark):
     df, _ = table(spark, np.random.default_rng(1), 80, 4)
     assert metric.link(df.limit(0)).count() == 0
