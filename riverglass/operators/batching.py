@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranks import numbered
+
 
 def fixed_batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """Adds batch (from 0) and is_full: every ``size`` items in order; the tail stays open."""
@@ -67,6 +69,12 @@ def warm_up_batches(configured: int, size: int) -> int:
     return configured if configured * size >= 120 else 120 // size + 1
 
 
+def after_warm_up(df: DataFrame, keys: list[str], order: list[str], size: int, configured: int = 100) -> DataFrame:
+    """Without the rows of each key's first ``warm_up_batches`` batches of ``size``."""
+    skip = warm_up_batches(configured, size) * size
+    return numbered(df, keys, order, "rn_").where(F.col("rn_") > skip).drop("rn_")
+
+
 def trim_to_shortest(df: DataFrame, key: str, frame: str) -> DataFrame:
     """Rows whose frame number is below the number of rows of the shortest stream."""
     shortest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_")).agg(F.min("n_").alias("least_"))
@@ -88,4 +96,4 @@ def score_batches(df: DataFrame, column: str, model, classes: str = "label") ->
 def mini_batches(df: DataFrame, keys: list[str], tie: str, epoch: int, size: int = 64, seed: int = 0) -> DataFrame:
     """Adds block: a permutation of every key's rows for this epoch (by hash), cut into blocks of ``size``."""
     order = [F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(tie))), F.col(tie)]
-    return df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size))
+    return numbered(df, keys, order, "rn_").withColumn("block", F.floor((F.col("rn_") - 1) / size)).drop("rn_")

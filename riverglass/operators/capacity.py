@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +25,27 @@ def queueing_us(rate: Column, service: Column, variant: str = "guarded") -> Colu
     return F.when((rate == 0) | (rho == 1), F.lit(None)).otherwise(wait)
 
 
-def stage_latency(df: DataFrame) -> DataFrame:
-    """Adds avg_latency, max_latency and cost of a stage from prep, infer, post, batch_size and transfer."""
+def stage_latency(df: DataFrame, is_end: Column | None = None) -> DataFrame:
+    """Adds avg_latency, max_latency and cost of a stage from prep, infer, post, batch_size and transfer; sources and sinks (``is_end``) take no time."""
     p, i, o, b = (F.col(c) for c in ("prep", "infer", "post", "batch_size"))
-    return df.withColumns({"avg_latency": p + i * b + o, "max_latency": (p + i + o) * b, "cost": p + i + o + F.col("transfer")})
+    stage = lambda x: x if is_end is None else F.when(is_end, F.lit(0)).otherwise(x)
+    return df.withColumns({"avg_latency": stage(p + i * b + o), "max_latency": stage((p + i + o) * b), "cost": stage(p + i + o + F.col("transfer"))})
 
 
-def by_level(nodes: DataFrame, edges: DataFrame, start: str, step: Column, total: str) -> DataFrame:
-    """``total`` of every node of a DAG of any depth: ``start`` at sources, else the largest ``step`` over its upstreams.
+def by_level(nodes: DataFrame, edges: DataFrame, start: str, step: Column, total: str, combine: Callable[[Column], Column] = F.max, own: Column | None = None) -> DataFrame:
+    """``total`` of every node of a DAG of any depth: ``start`` at sources, else ``own`` (default 0) plus ``step`` over its upstreams, combined (largest or sum).
 
-    ``step`` may use the upstream's columns as u_*, ``total`` among them. One join per level, written down; it ends when
+    ``step`` may use the edge's columns and the upstream's as u_*, ``total`` among them. One join per level, written down; it ends when
     no total changes. A pipeline with a cycle is refused.
     """
     names = [*nodes.columns, total]
     state = stored(nodes.withColumn(total, F.col(start)), "levels")
     most = state.groupBy("pipeline").count().agg(F.max("count")).first()[0] or 0
+    reached = F.col("next_") if own is None else F.col("next_") + own
     for _ in range(most + 1):
         up = state.select(*[F.col(c).alias(f"u_{c}") for c in names])
-        into = edges.join(up, (F.col("u_pipeline") == F.col("pipeline")) & (F.col("u_node") == F.col("src"))).groupBy("pipeline", F.col("dst").alias("node")).agg(F.max(step).alias("next_"))
-        both = state.withColumnRenamed(total, "before_").join(into, ["pipeline", "node"], "left").withColumn(total, F.coalesce("next_", F.col(start)))
+        into = edges.join(up, (F.col("u_pipeline") == F.col("pipeline")) & (F.col("u_node") == F.col("src"))).groupBy("pipeline", F.col("dst").alias("node")).agg(combine(step).alias("next_"))
+        both = state.withColumnRenamed(total, "before_").join(into, ["pipeline", "node"], "left").withColumn(total, F.coalesce(reached, F.col(start)))
         after = stored(both.select(*names, (~F.col(total).eqNullSafe(F.col("before_"))).alias("moved_")), "levels")
         state = after.drop("moved_")
         if after.where("moved_").isEmpty():
@@ -50,9 +54,39 @@ def by_level(nodes: DataFrame, edges: DataFrame, start: str, step: Column, total
 
 
 def start_to_here(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds start2here: the longest time from the source to a node's start."""
-    step = F.col("u_start2here") + F.col("u_max_proc") + F.col("u_transfer") + F.col("u_queue")
-    return by_level(nodes.withColumn("zero_", F.lit(0.0)), edges, "zero_", step, "start2here").drop("zero_")
+    """Adds start2here, the longest way from the source through a node (0 at sources): its own processing, transfer and queueing after the slowest upstream's."""
+    own = F.col("max_proc") + F.col("transfer") + F.col("queue")
+    return by_level(nodes.withColumn("zero_", F.lit(0.0)), edges, "zero_", F.col("u_start2here"), "start2here", own=own).drop("zero_")
+
+
+def start_to_here_cost(nodes: DataFrame, edges: DataFrame, cost: str) -> DataFrame:
+    """Adds start2here_cost: a node's own ``cost`` plus that of all its upstreams, each with its own (0 at sources)."""
+    return by_level(nodes.withColumn("zero_", F.lit(0.0)), edges, "zero_", F.col("u_start2here_cost"), "start2here_cost", F.sum, F.col(cost)).drop("zero_")
+
+
+def stage_timing(nodes: DataFrame, edges: DataFrame, source: str = "datasource", sink: str = "sink") -> DataFrame:
+    """Adds start_time, end_time and duty_cycle of every stage, which depend on the device that each runs on.
+
+    ``reach`` is the processing time on the way here since the way last changed devices (a sink is always reached). A stage starts at its ``reach`` or at the end of an upstream
+    on its own device, whichever is later, and ends ``max_proc`` later; source and sink take no time. Backwards: a sink's duty cycle is the last end of its upstreams;
+    a stage's is the largest of those of its downstreams on its device, and of its own ``reach`` plus ``max_proc`` where one is on another device.
+    """
+    away = nodes.select("pipeline", F.col("node").alias("dst"), F.col("device").alias("to_device"))
+    edges = stored(edges.join(away, ["pipeline", "dst"]), "edges")
+    zero, last = F.lit(0.0), F.col("dst") == sink
+    far = (F.col("u_device") != F.col("to_device")) & ~last
+    rows = by_level(nodes.withColumn("zero_", zero), edges, "zero_", F.when(far, zero).otherwise(F.col("u_reach") + F.col("u_max_proc")), "reach")
+    until = F.when(F.col("u_node") == source, zero).otherwise(F.greatest("u_reach", "u_begun") + F.col("u_max_proc"))
+    rows = by_level(rows, edges, "zero_", F.when(F.col("u_device") == F.col("to_device"), until).otherwise(zero), "begun")
+    ends = F.col("node").isin(source, sink)
+    rows = rows.withColumn("start_time", F.when(ends, zero).otherwise(F.greatest("reach", "begun")))
+    rows = stored(rows.withColumn("end_time", F.when(ends, zero).otherwise(F.col("start_time") + F.col("max_proc"))), "timing")
+    into_sink = edges.where(last).join(rows.select("pipeline", F.col("node").alias("src"), "end_time"), ["pipeline", "src"]).groupBy("pipeline", F.col("dst").alias("node")).agg(F.max("end_time").alias("last_"))
+    rows = rows.join(into_sink, ["pipeline", "node"], "left").withColumn("last_", F.coalesce("last_", zero))
+    own = rows.select("pipeline", F.col("node").alias("src"), F.col("device").alias("from_device"), (F.col("reach") + F.col("max_proc")).alias("passed"))
+    back = edges.join(own, ["pipeline", "src"]).select("pipeline", F.col("dst").alias("src"), F.col("src").alias("dst"), "passed", ((F.col("from_device") != F.col("to_device")) & ~last).alias("far"))
+    out = by_level(rows, stored(back, "edges"), "last_", F.when(F.col("far"), F.col("passed")).otherwise(F.col("u_duty_cycle")), "duty_cycle")
+    return out.drop("zero_", "reach", "begun", "last_")
 
 
 def time_left(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,21 +110,45 @@ def replicas_down(current: Column, rate: Column, process_rate: Column, prep_rate
     return F.least(current, need).cast("long")
 
 
-def queue_size(rate: Column, service: Column, least: int = 30) -> Column:
-    """rho^2 / (2 (1 - rho)), at least ``least``; overload counts as the least."""
-    rho = rate / service
-    return F.greatest(F.lit(float(least)), F.when(rho < 1, rho * rho / (2 * (1 - rho))).otherwise(F.lit(float(least))))
+def queue_sizes(rate: Column, prep: Column, infer: Column, post: Column, batch: Column, least: int = 30) -> dict[str, Column]:
+    """Queue sizes before preprocessing, inference (in batches), postprocessing and sending, and the stages' throughput, from latencies in microseconds.
+
+    Each queue holds ceil(rho^2 / (2 (1 - rho))), ``least`` at least, where every stage is fed by what the one before lets through; overload counts as the least.
+    """
+
+    def size(rho: Column) -> Column:
+        waiting = F.ceil(F.try_divide(rho * rho, 2 * (1 - rho)))
+        return F.greatest(F.lit(least).cast("long"), F.when(rho < 1, waiting).otherwise(F.lit(least)).cast("long"))
+
+    prep_rate, infer_rate, post_rate = 1e6 / prep, 1e6 / (infer * batch), 1e6 / post
+    prepared = F.least(prep_rate, rate)
+    inferred = F.least(infer_rate, prepared / batch)
+    last = size(inferred * batch / post_rate)
+    return {
+        "prep_queue": size(rate / prep_rate), "infer_queue": size(prepared / batch / infer_rate), "post_queue": last,
+        "send_queue": last * batch.cast("long"), "throughput": F.least(post_rate, inferred * batch),
+    }
 
 
-def merged_profile(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rate-weighted mean stage times, largest resources and summed rates over the streams of a group."""
+def merged_profile(df: DataFrame, keys: list[str], largest: tuple[str, ...] = ("cpu", "mem")) -> DataFrame:
+    """Rate-weighted mean stage times, largest resources and package sizes (``largest``) and summed rates over the streams of a group."""
     mean = lambda c: (F.sum(F.col(c) * F.col("rate")) / F.sum("rate")).alias(c)
-    return df.groupBy(*keys).agg(mean("prep"), mean("infer"), mean("post"), F.max("cpu").alias("cpu"), F.max("mem").alias("mem"), F.sum("rate").alias("rate"))
+    return df.groupBy(*keys).agg(mean("prep"), mean("infer"), mean("post"), *[F.max(c).alias(c) for c in largest], F.sum("rate").alias("rate"))
 
 
-def shift_candidates(df: DataFrame) -> DataFrame:
-    """Stages worth moving to the edge: they shrink their input enough, are allowed there, and the path stays in the SLO."""
-    return df.where((F.col("input_size") * 0.6 > F.col("output_size")) & F.col("allowed") & (F.col("path_latency") <= F.col("slo")))
+def shift_candidates(nodes: DataFrame, edges: DataFrame, slo: Column, source: str = "datasource", sink: str = "sink") -> DataFrame:
+    """Stages worth moving to the edge, one at a time: they shrink their input enough, are allowed there, and the pipeline's way to its sink,
+    with the stage's figures on the edge (edge_proc, edge_transfer), stays within ``slo``. Every candidate is tried in a copy of its pipeline.
+    """
+    worth = (F.col("input_size") * 0.6 > F.col("output_size")) & F.col("allowed") & ~F.col("node").isin(source, sink)
+    fit = nodes.where(worth).select("pipeline", F.col("node").alias("moved"))
+    here = F.col("node") == F.col("moved")
+    tried = nodes.join(fit, "pipeline").withColumns({"max_proc": F.when(here, F.col("edge_proc")).otherwise(F.col("max_proc")), "transfer": F.when(here, F.col("edge_transfer")).otherwise(F.col("transfer"))})
+    copy = F.concat_ws("\u0001", F.col("pipeline"), "moved")
+    copies = tried.select(copy.alias("pipeline"), F.col("pipeline").alias("of"), "moved", "node", "max_proc", "transfer", "queue")
+    ways = edges.join(fit, "pipeline").select(copy.alias("pipeline"), "src", "dst")
+    done = start_to_here(copies, stored(ways, "ways")).where(F.col("node") == sink)
+    return done.select(F.col("of").alias("pipeline"), F.col("moved").alias("node"), F.col("start2here").alias("latency")).where(F.col("latency") <= slo)
 
 
 def cheapest_batch(candidates: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -129,9 +187,11 @@ def rounded_throughput(batch: Column, latency_us: Column) -> Column:
     return (F.floor(F.floor(batch / (latency_us * 1e-6)) / 10) * 10).cast("long")
 
 
-def pick_batch(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First batch size above 1, in order, whose throughput exceeds the demand; else 1."""
-    good = (F.col("throughput") > F.col("demand")) & (F.col("batch_size") > 1)
+def pick_batch(profiles: DataFrame, selected: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """First batch size above 1, in order, whose throughput exceeds the summed ``req_rate`` of the clients selected for the model; else 1."""
+    demand = selected.groupBy(*keys).agg(F.sum("req_rate").alias("demand"))
+    df = profiles.join(demand, keys, "left")
+    good = (F.col("throughput") > F.coalesce("demand", F.lit(0))) & (F.col("batch_size") > 1)
     best = F.min_by(F.when(good, F.col("batch_size")), F.when(good, F.struct(*order)))
     return df.groupBy(*keys).agg(F.coalesce(best, F.lit(1).cast("long")).alias("batch_size"))
 

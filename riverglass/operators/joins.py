@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def with_fallback(recent: DataFrame, profiled: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Every key of either side; values of ``recent`` where it has them, else of ``profiled``."""
@@ -65,14 +67,13 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value:
 
 def positional_difference(series: DataFrame, base: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Difference of two series by position per key, up to the end of the shorter."""
-    number = lambda df, name: df.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("i"), F.col(value).alias(name))
+    number = lambda df, name: numbered(df.select(*dict.fromkeys([*keys, *order, value])), keys, order, "i").select(*keys, "i", F.col(value).alias(name))
     return number(series, "a_").join(number(base, "b_"), [*keys, "i"]).select(*keys, "i", (F.col("a_") - F.col("b_")).alias("difference"))
 
 
 def mean_by_position(series: DataFrame, key: str, order: list[str], value: str, of_all: bool) -> DataFrame:
     """Mean over series at every position; divided by all series, or by those long enough."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = series.withColumn("i", F.row_number().over(w))
+    rows = numbered(series.select(*dict.fromkeys([key, *order, value])), [key], order, "i")
     n = rows.select(key).distinct().count() if of_all else None
     mean = F.sum(value) / F.lit(n) if of_all else F.round(F.avg(value), 2)
     return rows.groupBy("i").agg(mean.alias("mean"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..adapters import PERIODS
 from ..functions.quantiles import nearest_rank
+from ..functions.scalars import default_package_size
 from .joins import as_of, with_fallback
 
 
@@ -24,17 +27,58 @@ def arrival_rate_cv(recent: DataFrame, profiled: DataFrame, keys: list[str]) ->
 NETWORK = ("p95_out_queueing_duration_us", "p95_transfer_duration_us", "p95_queueing_duration_us", "p95_total_package_size_b")
 
 
-def network_profile(arrivals: DataFrame, keys: list[str], newest: int = 100) -> DataFrame:
-    """Largest of the four metrics over the newest ``newest`` rows per key."""
+def newest(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The newest ``rows`` rows per key; each task passes on no more than these."""
     w = Window.partitionBy(*keys).orderBy(F.desc("timestamps"), F.desc("event_id"))
-    rows = arrivals.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= newest)
-    return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in NETWORK])
+    return df.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= rows).drop("rn_")
+
+
+SHORT = dict(zip(("out_queue", "transfer", "queue", "size"), NETWORK, strict=True))
+
+
+def _largest(df: DataFrame, keys: list[str], rows: int, agg: Callable[[str], Column], prefix: str, names: tuple[str, ...] = tuple(SHORT)) -> DataFrame:
+    return newest(df, keys, rows).groupBy(*keys).agg(*[agg(SHORT[n]).alias(f"{prefix}_{n}") for n in names], F.lit(True).alias(f"has_{prefix}"))
 
 
-def arrival_profile(arrivals: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest rate of the newest row, and exact 95th percentiles of the network metrics, per key."""
-    rate = F.max_by(greatest_of("arrival_rate", F.col), F.struct("timestamps", "event_id")).alias("rate")
-    return arrivals.groupBy(*keys).agg(rate, *[nearest_rank(c).cast("long").alias(c) for c in NETWORK])
+def _transfers(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds latency, that of size ``p_size`` by the entries of each link; null where a link or size has none."""
+    return estimate_latency(links, entries, "p_size", keys=["sender", "receiver"])
+
+
+def network_profile(links: DataFrame, recent: DataFrame, profiled: DataFrame, entries: DataFrame, rows: int = 100) -> DataFrame:
+    """Adds out_queue, transfer, queue and size to ``links`` (stream, sender, receiver, receiver_type, task, model).
+
+    The largest of a link's newest ``rows`` recent rows; without any, those profiled for the receiver's type and the model, where a detector's package has its model's default size
+    and the transfer is what the link's entries say of that size, or 0 for a detector that gets its frames on the same device other than the server.
+    """
+    now = _largest(recent, ["stream", "sender", "receiver"], rows, F.max, "r")
+    then = _largest(profiled, ["receiver_type", "model"], rows, F.max, "p", ("out_queue", "queue", "size"))
+    out = links.join(now, ["stream", "sender", "receiver"], "left").join(then, ["receiver_type", "model"], "left")
+    detector = F.col("task").contains("yolo")
+    out = out.withColumn("p_size", F.when(detector & F.col("has_p"), default_package_size(F.col("model"))).otherwise(F.col("p_size")))
+    out = _transfers(out, entries)
+    local = detector & (F.col("sender") != "server") & (F.col("sender") == F.col("receiver"))
+    profile = {"out_queue": F.col("p_out_queue"), "transfer": F.when(local & F.col("has_p"), F.lit(0)).otherwise(F.col("latency")), "queue": F.col("p_queue"), "size": F.col("p_size")}
+    return out.select(*links.columns, *[F.when(F.col("has_r"), F.col(f"r_{n}")).otherwise(profile[n]).alias(n) for n in SHORT])
+
+
+def arrival_profile(links: DataFrame, recent: DataFrame, profiled: DataFrame, entries: DataFrame, rows: int = 100, rate_rows: int = 10) -> DataFrame:
+    """Adds rate, out_queue, transfer, queue and size to ``links`` (stream, sender, receiver, model).
+
+    ``rate``: the largest rate of the stream's newest recent row, else the largest of the model's newest ``rate_rows`` profiled ones. The others: exact 95th percentiles over a link's newest
+    recent rows, else over those profiled for the receiver and the model, with the transfer of that size by the link's entries.
+    """
+    p95 = lambda c: nearest_rank(c).cast("long")
+    rate = greatest_of("arrival_rate", F.col)
+    now_rate = recent.groupBy("stream").agg(F.max_by(rate, F.struct("timestamps", "event_id")).alias("r_rate"))
+    then_rate = newest(profiled, ["model"], rate_rows).groupBy("model").agg(F.max(rate).alias("p_rate"))
+    now = _largest(recent, ["stream", "sender", "receiver"], rows, p95, "r")
+    then = _largest(profiled, ["receiver", "model"], rows, p95, "p", ("out_queue", "queue", "size"))
+    out = links.join(now_rate, "stream", "left").join(then_rate, "model", "left").join(now, ["stream", "sender", "receiver"], "left").join(then, ["receiver", "model"], "left")
+    out = _transfers(out, entries)
+    profile = {n: F.col("latency" if n == "transfer" else f"p_{n}") for n in SHORT}
+    chosen = [F.when(F.col("has_r"), F.col(f"r_{n}")).otherwise(profile[n]).alias(n) for n in SHORT]
+    return out.select(*links.columns, F.coalesce("r_rate", "p_rate").alias("rate"), *chosen)
 
 
 def pre_post_latency(recent: DataFrame, profiled: DataFrame, keys: list[str], least: int = 3, factor: float = 1.005) -> DataFrame:
@@ -56,25 +100,27 @@ def resource_requirements(hw: DataFrame, keys: list[str]) -> DataFrame:
     return hw.groupBy(*keys, "batch_size").agg(*[F.max(c).alias(c) for c in ("cpu_usage", "mem_usage", "rss_mem_usage", "gpu_usage", "gpu_mem_usage")])
 
 
-def estimate_latency(sizes: DataFrame, entries: DataFrame, size: str, mode: str = "max", width: int = 1024) -> DataFrame:
-    """Adds latency of a package size from (pkg_size, latency) entries: clamped at the ends; between two, the larger (or linear).
+def estimate_latency(sizes: DataFrame, entries: DataFrame, size: str, mode: str = "max", width: int = 1024, keys: list[str] | None = None) -> DataFrame:
+    """Adds latency of a package size from the (pkg_size, latency) entries of its ``keys`` (a link): clamped at the ends; between two, the larger (or linear).
 
-    Every size takes the last entry at or below it by an as-of join in buckets of ``width`` bytes.
+    Every size takes the last entry at or below it by an as-of join in buckets of ``width`` bytes. Without entries or size it is null.
     """
-    w = Window.orderBy("pkg_size")  # entries: one row per distinct size of a link
+    keys = keys or []
+    w = Window.partitionBy(*keys).orderBy("pkg_size")  # one row per distinct size of a link
     step = F.struct("pkg_size", "latency", F.lead("pkg_size").over(w).alias("next_size"), F.lead("latency").over(w).alias("next_latency"))
-    steps = entries.select(F.col("pkg_size").alias(size), step.alias("step_"))
-    first = entries.agg(F.min_by("latency", "pkg_size").alias("first_"))  # one row
+    steps = entries.select(*keys, F.col("pkg_size").alias(size), step.alias("step_"))
+    first = entries.groupBy(*keys).agg(F.min_by("latency", "pkg_size").alias("first_"))
     s, at = F.col(size), lambda name: F.col(f"step_.{name}")
     share = (s - at("pkg_size")) / (at("next_size") - at("pkg_size"))
     inside = F.greatest(at("latency"), at("next_latency")) if mode == "max" else at("latency") + share * (at("next_latency") - at("latency"))
-    value = F.when(F.col("step_").isNull(), F.col("first_")).when(at("next_size").isNull() | (s <= at("pkg_size")), at("latency")).otherwise(inside)
-    found = as_of(sizes, steps, [], size, "step_", width)
-    return found.crossJoin(F.broadcast(first)).select(*sizes.columns, value.alias("latency"))
+    value = F.when(s.isNull(), None).when(F.col("step_").isNull(), F.col("first_")).when(at("next_size").isNull() | (s <= at("pkg_size")), at("latency")).otherwise(inside)
+    found = as_of(sizes, steps, keys, size, "step_", width)
+    found = found.join(first, keys, "left") if keys else found.crossJoin(F.broadcast(first))  # one row
+    return found.select(*sizes.columns, value.alias("latency"))
 
 
-def network_entries(samples: DataFrame, size: str, latency: str, longest: int = 10_000_000) -> DataFrame:
-    return samples.where(F.col(latency) <= longest).groupBy(F.col(size).alias("pkg_size")).agg(nearest_rank(latency).cast("long").alias("latency"))
+def network_entries(samples: DataFrame, size: str, latency: str, longest: int = 10_000_000, keys: list[str] | None = None) -> DataFrame:
+    return samples.where(F.col(latency) <= longest).groupBy(*(keys or []), F.col(size).alias("pkg_size")).agg(nearest_rank(latency).cast("long").alias("latency"))
 
 
 def full_profile(prep: DataFrame, batch: DataFrame, hw: DataFrame) -> DataFrame:

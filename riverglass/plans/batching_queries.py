@@ -61,8 +61,7 @@ def g6(d):
 
 @query("g7_warm_up", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY stream ORDER BY t0, event_id) - 1 AS rn FROM request) WHERE rn // 8 >= CASE WHEN 2 * 8 >= 120 THEN 2 ELSE 120 // 8 + 1 END")
 def g7(d):
-    rows = d.request.select("event_id", "stream", "t0")
-    return G.fixed_batches(rows, ["stream"], O, 8).where(F.col("batch") >= G.warm_up_batches(2, 8)).select("event_id")
+    return G.after_warm_up(d.request.select("event_id", "stream", "t0"), ["stream"], O, 8, configured=2).select("event_id")
 
 
 @query("g8_trim_streams", f"SELECT event_id FROM (SELECT event_id, {RN} AS rn FROM request) WHERE rn < (SELECT min(n) FROM (SELECT count(*) AS n FROM request GROUP BY user_id))")
@@ -83,4 +82,4 @@ def g9(d):
 
 @query("g10_mini_batches", "SELECT event_id, CAST((row_number() OVER (PARTITION BY agent ORDER BY md5('0:1:' || event_id), event_id) - 1) // 64 AS BIGINT) AS block FROM (SELECT agent, step AS event_id FROM trajectory)")
 def g10(d):
-    return G.mini_batches(d.trajectory, ["agent"], "step", epoch=1).select(F.col("step").alias("event_id"), "block")
+    return G.mini_batches(d.trajectory.select("agent", "step"), ["agent"], "step", epoch=1).select(F.col("step").alias("event_id"), "block")

@@ -36,14 +36,66 @@ def e2(d):
     return _e1(d).select("stream", "model_name", "rate")
 
 
-@query("e3_network_profile", "SELECT stream, sender_host, receiver_host, " + ", ".join(f"max({c}) AS {c}" for c in E.NETWORK) + " FROM (SELECT *, row_number() OVER (PARTITION BY stream, sender_host, receiver_host ORDER BY timestamps DESC, event_id DESC) AS rn FROM arrival) WHERE rn <= 100 GROUP BY ALL")
+_HOST = "CASE {0} WHEN 'edge1' THEN 'server' ELSE {0} END".format
+#: Arrivals of links: one host is the server, views are the detector's, whose model depends on the stream. Rows of the last five days are recent
+#: where neither the sender is edge2 nor the receiver the server; all older ones are profiled.
+ARR = {
+    "stream": "stream", "sender": _HOST("sender_host"), "receiver": _HOST("receiver_host"), "timestamps": "timestamps", "event_id": "event_id",
+    "receiver_type": "CASE receiver_host WHEN 'edge0' THEN 'nx' WHEN 'edge1' THEN 'serv' ELSE 'agx' END", "task": "CASE model_name WHEN 'view' THEN 'yolov5n' ELSE model_name END",
+    "model": "CASE WHEN model_name <> 'view' THEN model_name WHEN stream = 'stream0' THEN 'yolov5n_320' WHEN stream = 'stream1' THEN 'yolov5n_512' ELSE 'yolov5n_640' END",
+    "max_rate": G_ROW, "took": "p95_transfer_duration_us", "of_size": "1000 + p95_queueing_duration_us % 40 * 100", **{c: c for c in E.NETWORK},
+}
+ARR_SQL = f"""arr AS (SELECT {', '.join(f'{e} AS {n}' for n, e in ARR.items())} FROM arrival), newer AS (SELECT *, timestamps >= (SELECT max(timestamps) FROM arr) - {FIVE_DAYS} AS late FROM arr),
+recent AS (SELECT * FROM newer WHERE late AND sender <> 'edge2' AND receiver <> 'server'), profiled AS (SELECT * FROM newer WHERE NOT late),
+ent AS (SELECT sender, receiver, of_size AS pkg_size, quantile_disc(took, 0.95) AS latency FROM arr WHERE took <= 10000000 GROUP BY ALL),
+steps AS (SELECT *, lead(pkg_size) OVER w AS ns, lead(latency) OVER w AS nl, first_value(latency) OVER w AS fl FROM ent WINDOW w AS (PARTITION BY sender, receiver ORDER BY pkg_size)),
+firsts AS (SELECT sender, receiver, arg_min(latency, pkg_size) AS fl FROM ent GROUP BY ALL)"""
+LATENCY = "CASE WHEN p_size IS NULL THEN NULL WHEN s.pkg_size IS NULL THEN f.fl WHEN ns IS NULL OR p_size <= s.pkg_size THEN s.latency ELSE greatest(s.latency, nl) END"
+ESTIMATED = "FROM sized z ASOF LEFT JOIN steps s ON z.sender = s.sender AND z.receiver = s.receiver AND z.p_size >= s.pkg_size LEFT JOIN firsts f ON z.sender = f.sender AND z.receiver = f.receiver"
+
+
+def _newest(table: str, keys: str, rows: int, agg: str, names: tuple[str, ...]) -> str:
+    columns = ", ".join(agg.format(E.SHORT[n]) + f" AS {n}" for n in names)
+    return f"(SELECT {keys}, {columns}, true AS has FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY timestamps DESC, event_id DESC) AS rn FROM {table}) WHERE rn <= {rows} GROUP BY {keys})"
+
+
+def _links(d):
+    rates = [f"arrival_rate_{p}s" for p in PERIODS]
+    arr = d.arrival.selectExpr(*[f"{e} AS {n}" for n, e in ARR.items() if n != "max_rate"], *rates)
+    last = recent(arr, "timestamps", FIVE_DAYS)
+    before = arr.agg(F.max("timestamps")).first()[0] or 0
+    return arr, last.where("sender <> 'edge2' AND receiver <> 'server'"), arr.where(F.col("timestamps") < before - FIVE_DAYS), E.network_entries(arr, "of_size", "took", keys=["sender", "receiver"])
+
+
+@query(
+    "e3_network_profile",
+    f"""WITH {ARR_SQL}, links AS (SELECT DISTINCT stream, sender, receiver, receiver_type, task, model FROM arr),
+    sized AS (SELECT l.*, r.has AS r_has, r.out_queue AS r_out_queue, r.transfer AS r_transfer, r.queue AS r_queue, r.size AS r_size, p.has AS p_has, p.out_queue AS p_out_queue, p.queue AS p_queue,
+      CASE WHEN task LIKE '%yolo%' AND p.has THEN CASE WHEN model LIKE '%320%' THEN 307200 WHEN model LIKE '%512%' THEN 786432 ELSE 1228800 END ELSE p.size END AS p_size
+      FROM links l LEFT JOIN {_newest('recent', 'stream, sender, receiver', 100, 'max({0})', tuple(E.SHORT))} r USING (stream, sender, receiver) LEFT JOIN {_newest('profiled', 'receiver_type, model', 100, 'max({0})', ('out_queue', 'queue', 'size'))} p USING (receiver_type, model))
+    SELECT z.stream, z.sender, z.receiver, z.receiver_type, z.task, z.model, CASE WHEN r_has THEN r_out_queue ELSE p_out_queue END AS out_queue, CASE WHEN r_has THEN r_queue ELSE p_queue END AS queue, CASE WHEN r_has THEN r_size ELSE p_size END AS size,
+      CASE WHEN r_has THEN r_transfer WHEN p_has AND task LIKE '%yolo%' AND z.sender <> 'server' AND z.sender = z.receiver THEN 0 ELSE {LATENCY} END AS transfer {ESTIMATED}""",
+)
 def e3(d):
-    return E.network_profile(d.arrival, ["stream", "sender_host", "receiver_host"])
-
-
-@query("e4_model_arrival_profile", f"SELECT sender_host, receiver_host, arg_max({G_ROW}, (timestamps, event_id)) AS rate, " + ", ".join(f"quantile_disc({c}, 0.95) AS {c}" for c in E.NETWORK) + " FROM arrival GROUP BY ALL")
+    arr, now, then, entries = _links(d)
+    links = arr.select("stream", "sender", "receiver", "receiver_type", "task", "model").distinct()
+    return E.network_profile(links, now, then, entries)
+
+
+@query(
+    "e4_model_arrival_profile",
+    f"""WITH {ARR_SQL}, links AS (SELECT DISTINCT stream, sender, receiver, model FROM arr),
+    sized AS (SELECT l.*, rr.rate AS r_rate, pr.rate AS p_rate, r.has AS r_has, r.out_queue AS r_out_queue, r.transfer AS r_transfer, r.queue AS r_queue, r.size AS r_size, p.out_queue AS p_out_queue, p.queue AS p_queue, p.size AS p_size
+      FROM links l LEFT JOIN (SELECT stream, arg_max(max_rate, (timestamps, event_id)) AS rate FROM recent WHERE stream <> 'stream3' GROUP BY stream) rr USING (stream)
+      LEFT JOIN (SELECT model, max(max_rate) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY timestamps DESC, event_id DESC) AS rn FROM profiled) WHERE rn <= 10 GROUP BY model) pr USING (model)
+      LEFT JOIN {_newest("(SELECT * FROM recent WHERE stream <> 'stream3')", 'stream, sender, receiver', 100, 'quantile_disc({0}, 0.95)', tuple(E.SHORT))} r USING (stream, sender, receiver) LEFT JOIN {_newest('profiled', 'receiver, model', 100, 'quantile_disc({0}, 0.95)', ('out_queue', 'queue', 'size'))} p USING (receiver, model))
+    SELECT z.stream, z.sender, z.receiver, z.model, coalesce(r_rate, p_rate) AS rate, CASE WHEN r_has THEN r_out_queue ELSE p_out_queue END AS out_queue, CASE WHEN r_has THEN r_queue ELSE p_queue END AS queue, CASE WHEN r_has THEN r_size ELSE p_size END AS size,
+      CASE WHEN r_has THEN r_transfer ELSE {LATENCY} END AS transfer {ESTIMATED}""",
+)
 def e4(d):
-    return E.arrival_profile(d.arrival, ["sender_host", "receiver_host"])
+    arr, now, then, entries = _links(d)
+    now = now.where("stream <> 'stream3'")  # one stream has no recent rate
+    return E.arrival_profile(arr.select("stream", "sender", "receiver", "model").distinct(), now, then, entries)
 
 
 Q = "CAST(quantile_disc(p95_{0}_duration_us, 0.95) AS DOUBLE)".format
@@ -71,18 +123,18 @@ def e7(d):
     return E.resource_requirements(d.hw, ["system"])
 
 
-ENT = "ent AS (SELECT 1000 + v % 40 * 100 AS pkg_size, quantile_disc(t2 - t1, 0.95) AS latency FROM request WHERE t2 - t1 <= 10000000 GROUP BY 1)"
+ENT = "ent AS (SELECT sender_host, 1000 + v % 40 * 100 AS pkg_size, quantile_disc(t2 - t1, 0.95) AS latency FROM request WHERE t2 - t1 <= 10000000 GROUP BY ALL)"
 
 
 def _entries(d):
-    rows = d.request.select((1000 + F.col("v") % 40 * 100).alias("size"), (F.col("t2") - F.col("t1")).alias("took"))
-    return E.network_entries(rows, "size", "took")
+    rows = d.request.select("sender_host", (1000 + F.col("v") % 40 * 100).alias("size"), (F.col("t2") - F.col("t1")).alias("took"))
+    return E.network_entries(rows, "size", "took", keys=["sender_host"])
 
 
-@query("e8_estimate_latency", f"WITH {ENT}, s AS (SELECT *, lead(pkg_size) OVER (ORDER BY pkg_size) AS ns, lead(latency) OVER (ORDER BY pkg_size) AS nl FROM ent), q AS (SELECT event_id, 500 + v % 6000 AS size FROM request), a AS (SELECT event_id, size, s.* FROM q ASOF LEFT JOIN s ON q.size >= s.pkg_size) SELECT event_id, size, CASE WHEN pkg_size IS NULL THEN (SELECT arg_min(latency, pkg_size) FROM ent) WHEN ns IS NULL OR size <= pkg_size THEN latency ELSE greatest(latency, nl) END AS latency FROM a")
+@query("e8_estimate_latency", f"WITH {ENT}, s AS (SELECT *, lead(pkg_size) OVER w AS ns, lead(latency) OVER w AS nl FROM ent WINDOW w AS (PARTITION BY sender_host ORDER BY pkg_size)), f AS (SELECT sender_host, arg_min(latency, pkg_size) AS fl FROM ent GROUP BY 1), q AS (SELECT event_id, sender_host, 500 + v % 6000 AS size FROM request), a AS (SELECT event_id, size, q.sender_host, s.* EXCLUDE (sender_host) FROM q ASOF LEFT JOIN s ON q.sender_host = s.sender_host AND q.size >= s.pkg_size) SELECT event_id, size, CASE WHEN pkg_size IS NULL THEN fl WHEN ns IS NULL OR size <= pkg_size THEN latency ELSE greatest(latency, nl) END AS latency FROM a JOIN f USING (sender_host)")
 def e8(d):
-    sizes = d.request.select("event_id", (500 + F.col("v") % 6000).alias("size"))
-    return E.estimate_latency(sizes, _entries(d), "size")
+    sizes = d.request.select("event_id", "sender_host", (500 + F.col("v") % 6000).alias("size"))
+    return E.estimate_latency(sizes, _entries(d), "size", keys=["sender_host"]).drop("sender_host")
 
 
 @query("e9_network_entries", f"WITH {ENT} SELECT * FROM ent")
