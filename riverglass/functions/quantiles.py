@@ -35,3 +35,17 @@ def floor_index_small(value: str, percent: int = 95) -> Column:
     """The same as one aggregate over an array, for groups known to be small."""
     xs = F.sort_array(F.collect_list(value))
     return F.element_at(xs, (F.least(F.floor(F.size(xs) * percent / 100), F.size(xs) - 1) + 1).cast("int"))
+
+
+def sketches(df: DataFrame, keys: list[str], value: str, k: int = 200) -> DataFrame:
+    """Per group a mergeable KLL sketch of a whole-number column, a few kilobytes each: store it by the hour, merge it by any period."""
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_bigint(F.col(value).cast("long"), k).alias("sketch"))
+
+
+def merged(parts: DataFrame, keys: list[str], ranks: dict[str, float], k: int = 200) -> DataFrame:
+    """n, and the quantile at each named rank, of the groups' sketches together; for k = 200 the rank is within 1.65 % (``RANK_ERROR``) of the asked one 99 times in 100."""
+    both = parts.groupBy(*keys).agg(F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    return both.select(*keys, F.kll_sketch_get_n_bigint("sketch").alias("n"), *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(r)).alias(n) for n, r in ranks.items()])
+
+
+RANK_ERROR = 0.0165

@@ -40,6 +40,22 @@ def iof(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
     return F.coalesce(F.try_divide(overlap(a, b).cast("double"), area(a).cast("double")), F.lit(0.0))
 
 
+def overlapping(a: DataFrame, b: DataFrame, key: str, a_box: tuple[str, ...], b_box: tuple[str, ...], cell: int = 64) -> DataFrame:
+    """Pairs of boxes of one ``key`` that share an area (column shared), met only in the cells of a grid that both cover.
+
+    A pair that meets in several cells counts in the one that holds the left upper corner of what they share. In a crowded image a box meets its neighbourhood, not the image.
+    """
+
+    def gridded(df: DataFrame, box: tuple[str, ...]) -> DataFrame:
+        steps = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+        real = (F.col(box[2]) > F.col(box[0])) & (F.col(box[3]) > F.col(box[1]))
+        return df.where(real).withColumn("cx_", steps(box[0], box[2])).withColumn("cy_", steps(box[1], box[3]))
+
+    pairs = gridded(a, a_box).join(gridded(b, b_box), [key, "cx_", "cy_"])
+    corner = lambda i: F.floor(F.greatest(F.col(a_box[i]), F.col(b_box[i])) / cell)
+    return pairs.withColumn("shared", overlap(a_box, b_box)).where((F.col("shared") > 0) & (F.col("cx_") == corner(0)) & (F.col("cy_") == corner(1))).drop("cx_", "cy_")
+
+
 def assign_tile(detections: DataFrame, layout: Column) -> DataFrame:
     """Every detection in the tile it overlaps most (the first of equals), in the tile's coordinates; without overlap it is dropped.
 

@@ -137,16 +137,21 @@ def initial_rates(counts: DataFrame, fps: int = 15, boundary: int = 30) -> DataF
     return peaks.select("stream", F.ceil(F.greatest(F.col("peak") * 1.2 * fps / 30 + 1, F.lit(float(fps)))).cast("long").alias("rate"))
 
 
-def mahalanobis(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds distance from the table's mean under its covariance; K by K numbers reach the driver, for the inverse."""
+def mean_mahalanobis(df: DataFrame, held: DataFrame, columns: list[str], ridge: float = 1e-6) -> DataFrame:
+    """Adds distance: the mean Mahalanobis distance of a row from the rows of ``held`` under their covariance (plus ``ridge`` on its diagonal).
+
+    ``held`` is a buffer of bounded capacity: its rows reach the driver, which whitens them by the Cholesky factor of the inverse covariance. Whitened, the
+    distance is Euclidean, and every row meets the buffer as one array: a join with one row.
+    """
     import numpy as np
 
-    pairs = [(a, b) for a in columns for b in columns]
-    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs]).first()
-    k = len(columns)
-    if row[0] is None:
+    buffer = np.array([[float(v) for v in r] for r in held.select(*columns).dropna().collect()]).reshape(-1, len(columns))
+    if len(buffer) < 2:
         return df.withColumn("distance", F.lit(None).cast("double"))
-    inverse = np.linalg.pinv(np.array([row[f"c_{a}_{b}"] or 0.0 for a, b in pairs]).reshape(k, k))
-    off = [F.col(c) - F.lit(row[f"m_{c}"]) for c in columns]
-    square = reduce(lambda s, t: s + t, [off[i] * off[j] * F.lit(float(inverse[i, j])) for i in range(k) for j in range(k)])
-    return df.withColumn("distance", F.sqrt(F.greatest(square, F.lit(0.0))))
+    turn = np.linalg.cholesky(np.linalg.inv(np.cov(buffer, rowvar=False).reshape(len(columns), -1) + ridge * np.eye(len(columns))))
+    packed = df.sparkSession.createDataFrame([((buffer @ turn).tolist(),)], "held_ array<array<double>>")
+    own = F.array(*[reduce(lambda s, t: s + t, [F.col(c).cast("double") * float(turn[i, j]) for i, c in enumerate(columns)]) for j in range(len(columns))])
+    apart = lambda r: F.sqrt(F.aggregate(F.zip_with("own_", r, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    met = df.withColumn("own_", own).crossJoin(F.broadcast(packed))  # one row
+    total = F.aggregate("held_", F.lit(0.0), lambda s, r: s + apart(r))
+    return met.withColumn("distance", total / len(buffer)).drop("own_", "held_")

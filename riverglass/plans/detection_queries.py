@@ -194,6 +194,5 @@ def f22(d):
 def d11(d):
     names = ("x1", "y1", "x2", "y2")
     a, b = (d.detections.select("image_id", F.col("det_id").alias(s), F.col("sort_key").alias(f"s{s}"), *[F.col(c).alias(f"{s}_{c}") for c in names]) for s in ("a", "b"))
-    shared = D.overlap(tuple(f"a_{c}" for c in names), tuple(f"b_{c}" for c in names))
-    pairs = a.join(b, "image_id").where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("sa") < F.col("sb"))))
-    return pairs.withColumn("shared", shared).where("shared > 0").select("a", "sa", "b", "sb", "shared")
+    pairs = D.overlapping(a, b, "image_id", tuple(f"a_{c}" for c in names), tuple(f"b_{c}" for c in names))
+    return pairs.where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("sa") < F.col("sb")))).select("a", "sa", "b", "sb", "shared")

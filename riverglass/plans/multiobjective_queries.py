@@ -42,7 +42,7 @@ SELECT agent, round(sum(strip * thick), 6) AS hypervolume FROM st GROUP BY agent
 
 @query("i19_hypervolume_3d", VOLUME)
 def i19_3d(d):
-    return M.hypervolume(_front(d), "agent", O, [-1.0, -1.0, -1.0]).select("agent", F.round("hypervolume", 6).alias("hypervolume"))
+    return M.hypervolume_3d(_front(d), "agent", O, [-1.0, -1.0, -1.0]).select("agent", F.round("hypervolume", 6).alias("hypervolume"))
 
 
 SAMPLE = "sm AS (SELECT id, " + ", ".join(f"-1 + ((id + 1) * {step} % 4294967296) / 4294967296.0::DOUBLE * 2 AS r{i}" for i, step in enumerate(M.spread(3))) + " FROM (SELECT unnest(range(20000)) AS id))"

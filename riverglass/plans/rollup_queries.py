@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import PERIODS
 from ..functions import quantiles as Q
 from ..operators import rollup as R
+from ..session import stored
 from .registry import query
 
 SECOND = 1_000_000_000
@@ -60,6 +61,18 @@ def c6(d):
     return d.process.groupBy("stream", "infer_batch_size").agg(Q.nearest_rank("p95_infer_duration_us").cast("long").alias("p95"))
 
 
+@query("c6_sketched_percentiles", "SELECT stream, model_name, count(*) AS n, true AS p50_close, true AS p95_close FROM process GROUP BY ALL")
+def c6_sketched(d):
+    """Hourly sketches, stored and merged per stream and model; whether the exact rank of each result is within twice the sketch's error of the asked one."""
+    hour = F.floor(F.col("timestamps") / 3_600_000_000).alias("hour")
+    rows = d.process.select("stream", "model_name", hour, F.col("p95_infer_duration_us").alias("x"))
+    parts = stored(Q.sketches(rows, ["stream", "model_name", "hour"], "x"), "sketches")
+    found = Q.merged(parts, ["stream", "model_name"], {"p50": 0.5, "p95": 0.95})
+    met = rows.join(found, ["stream", "model_name"]).groupBy("stream", "model_name").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("x") < F.col(p)).alias(f"{p}_below") for p in ("p50", "p95")], *[F.count_if(F.col("x") <= F.col(p)).alias(f"{p}_upto") for p in ("p50", "p95")])
+    close = lambda p, r: ((F.col(f"{p}_below") / F.col("n") <= r + 2 * Q.RANK_ERROR) & (F.col(f"{p}_upto") / F.col("n") >= r - 2 * Q.RANK_ERROR)).alias(f"{p}_close")
+    return met.select("stream", "model_name", "n", close("p50", 0.5), close("p95", 0.95))
+
+
 @query("c7_arrival_summary", f"SELECT stream, sender_host, count(*) AS n, {P95('out_queue')} AS out_queue, {P95('transfer')} AS transfer, {P95('in_queue')} AS in_queue, {P95('v')} AS v FROM ({DUR}) GROUP BY ALL")
 def c7(d):
     return R.summary(R.arrival_durations(d.request), ["stream", "sender_host"], ["out_queue", "transfer", "in_queue", "v"])
@@ -174,8 +187,11 @@ def c26(d):
 
 @query(
     "c27_mahalanobis",
-    """WITH m AS (SELECT avg(obj1) AS a, avg(obj2) AS b, covar_samp(obj1, obj1) AS s11, covar_samp(obj1, obj2) AS s12, covar_samp(obj2, obj2) AS s22 FROM rollouts)
-       SELECT rollout_id, round(sqrt(greatest((s22 * (obj1 - a) * (obj1 - a) - 2 * s12 * (obj1 - a) * (obj2 - b) + s11 * (obj2 - b) * (obj2 - b)) / (s11 * s22 - s12 * s12), 0)), 6) AS distance FROM rollouts, m""",
+    """WITH r AS (SELECT obj1, obj2 FROM rollouts ORDER BY rollout_id LIMIT 200), m AS (SELECT covar_samp(obj1, obj1) + 1e-6 AS s11, covar_samp(obj1, obj2) AS s12, covar_samp(obj2, obj2) + 1e-6 AS s22 FROM r),
+       e AS (SELECT x.rollout_id, avg(sqrt(greatest((s22 * (x.obj1 - r.obj1) ** 2 - 2 * s12 * (x.obj1 - r.obj1) * (x.obj2 - r.obj2) + s11 * (x.obj2 - r.obj2) ** 2) / (s11 * s22 - s12 * s12), 0))) AS d FROM rollouts x, r, m GROUP BY 1)
+       SELECT rollout_id, round(d, 6) AS distance, 0.5 * d > 0.5 AS admitted FROM e""",
 )
 def c27(d):
-    return R.mahalanobis(d.rollouts, ["obj1", "obj2"]).select("rollout_id", F.round("distance", 6).alias("distance"))
+    held = d.rollouts.orderBy("rollout_id").limit(200)  # the buffer's capacity
+    out = R.mean_mahalanobis(d.rollouts, held, ["obj1", "obj2"])
+    return out.select("rollout_id", F.round("distance", 6).alias("distance"), (0.5 * F.col("distance") > 0.5).alias("admitted"))

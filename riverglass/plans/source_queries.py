@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import scratch, stored
 from ..sources import readers as R
 from ..sources import sinks as S
 from .registry import query
@@ -18,17 +18,20 @@ def _text(df, value, name):
     return path
 
 
-@query("a1_load_fact", "SELECT stream, count(*) AS n FROM arrival WHERE stream LIKE '%stream1%' AND model_name LIKE '%i%' GROUP BY stream")
+@query("a1_load_fact", "SELECT stream, count(*) AS n, CAST(sum(late_requests) AS BIGINT) AS late, count(queue_drops) AS told FROM (SELECT stream, model_name, late_requests, CASE WHEN event_id % 2 = 0 THEN queue_drops END AS queue_drops FROM arrival) WHERE stream LIKE '%1%' AND model_name LIKE '%i%' GROUP BY stream")
 def a1(d):
-    tables = {"arrival": f"facts{uuid.uuid4().hex}_arrival", "process": f"facts{uuid.uuid4().hex}_process"}
-    for name, view in tables.items():
-        getattr(d, name).createOrReplaceTempView(view)
-    found = R.find_tables(d.spark, tables["arrival"].split("_")[0])
+    """Two experiments' arrival tables, of which one has a column more, and a table of another kind that must not match."""
+    mark, columns = f"run{uuid.uuid4().hex}", ["event_id", "model_name", "late_requests", "stream"]
+    even = F.col("event_id") % 2 == 0
+    S.save_fact(d.arrival.where(even).select(*columns, "queue_drops"), f"{mark}_a_arr", scratch(d.spark, "fact"), ["stream"])
+    S.save_fact(d.arrival.where(~even).select(*columns), f"{mark}_b_arr", scratch(d.spark, "fact"), ["stream"])
+    S.save_fact(d.process.select("event_id", "stream"), f"{mark}_a_proc", scratch(d.spark, "fact"), ["stream"])
     try:
-        return R.load_fact(d.spark.table(found[0]), stream="stream1", model_name="i").groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
+        rows = R.load_facts(d.spark, f"{mark}_*_arr", stream="1", model_name="i")
+        return stored(rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.sum("late_requests").alias("late"), F.count("queue_drops").alias("told")), "facts")
     finally:
-        for view in tables.values():
-            d.spark.catalog.dropTempView(view)
+        for name in ("a_arr", "b_arr", "a_proc"):
+            d.spark.sql(f"DROP TABLE IF EXISTS {mark}_{name}")
 
 
 @query("a2_scan_fact", "SELECT event_id, late_requests FROM arrival")

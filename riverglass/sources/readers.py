@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import object_class, origin_stream
 
 
-def find_tables(spark: SparkSession, keyword: str) -> list[str]:
-    """Names of the catalog's tables that hold ``keyword``."""
-    return sorted(t.name for t in spark.catalog.listTables(pattern=f"*{keyword}*"))
+def find_tables(spark: SparkSession, keyword: str, schema: str | None = None) -> list[str]:
+    """Names of the catalog's tables (of ``schema``, or the current one) that hold ``keyword``, in which ``*`` stands for any text."""
+    return sorted(t.name for t in spark.catalog.listTables(schema, pattern=f"*{keyword}*"))
 
 
 def load_fact(fact: DataFrame, **like: str) -> DataFrame:
@@ -20,6 +22,20 @@ def load_fact(fact: DataFrame, **like: str) -> DataFrame:
     return fact
 
 
+def load_facts(spark: SparkSession, keyword: str, schema: str | None = None, **like: str) -> DataFrame | None:
+    """All catalog tables whose name holds ``keyword``, read as one: each filtered by itself, so that its partitions are pruned, then united by
+    column names (what a table lacks is null). None where no table matches.
+    """
+    found = [load_fact(spark.table(f"{schema}.{t}" if schema else t), **like) for t in find_tables(spark, keyword, schema)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
+
+
+def scan_table(spark: SparkSession, name: str, schema: str, columns: list[str]) -> DataFrame:
+    """Columns of a catalog table; an empty table of ``schema`` where there is none."""
+    df = spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
+    return df.select(*columns)
+
+
 def scan(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
     """Columns of a Parquet fact table; an empty table of ``schema`` where there is none."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,6 +10,11 @@ def append_fact(df: DataFrame, path: str, partitions: list[str]) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
+def save_fact(df: DataFrame, name: str, path: str, partitions: list[str]) -> None:
+    """A catalog table over the files at ``path``, appended to if it is there."""
+    df.write.mode("append").partitionBy(*partitions).format("parquet").option("path", path).saveAsTable(name)
+
+
 def append_new(df: DataFrame, path: str, keys: list[str], partitions: list[str]) -> None:
     """Append the rows whose keys the table does not hold yet, one per key. Partition columns in ``keys`` limit what is read."""
     rows = df.dropDuplicates(keys)
