@@ -1,22 +1,21 @@
 """Operator 9: remove repeated passages of whole lines.
 
 A passage is two or more neighbouring lines that are not all blank, or one line of 50 or more words, whose bytes also
-occur earlier in the table (smallest doc_id, then position). Every two neighbouring lines and every long line are
-hashed, so a shared passage is found wherever it stands. Finds that continue each other in the same earlier document
+occur earlier in the table (smallest doc_id, then position). A rolling hash over ``window`` neighbouring line hashes sets a chunk boundary where it is 0 modulo ``mean``,
+and so does the end of a run of blank lines; a chunk of two or more lines whose hash occurs earlier is found whole, wherever it stands. A chunk's bounds
+depend on the lines around it, so passages of two or three lines, and what hangs over at both ends of longer ones, often hold no whole chunk. For
+these every two neighbouring lines and every long line are hashed as well, but for those inside chunks that were found; their finds extend the chunks and stand for what chunks can't see.
+Finds that continue each other in the same earlier document
 are joined to one run, and a run is removed once its bytes were compared with that document's. The table's first
 occurrence of a line is never removed.
 
-``dedup_lines`` without ``spans`` works by content-defined chunks instead: a rolling hash over ``window`` neighbouring
-line hashes sets a boundary where it is 0 modulo ``mean``, and chunks of two or more lines that repeat are removed. It
-needs fewer keys, but finds only passages that hold a whole chunk.
-
 Only hashes and positions are shuffled to find repeats. Texts are shuffled twice, by document, to meet the places of
 repeats and then the spans to cut; both are asked for as sort-merge joins, so the plan is the same at every size.
 
 Defined cases: null texts stay null, empty texts stay empty; a null ``doc_id`` comes after all others; rows that agree
 in doc_id and text count as one occurrence and get the same result; a text of which all lines go becomes empty;
 other columns pass through, whatever their names (``dedup_lines`` replaces columns called n_lines_ and n_removed_); very long texts
-are taken whole, in one task each.
+are taken whole, in one task each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LONG = 50  # words that make one line a passage
 
 
-def chunk_starts(lines: list[str], window: int = 2, mean: int = 4, most: int = 64) -> list[int]:
-    """First lines of the chunks: content decides, and a chunk of ``most`` lines is cut in any case."""
+def chunk_starts(lines: list[str], window: int = 2, mean: int = 2) -> list[int]:
+    """First lines of the chunks; content alone decides."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in lines), np.uint64, len(lines))
     with np.errstate(over="ignore"):
         roll = h.copy()
@@ -43,20 +42,25 @@ def chunk_starts(lines: list[str], window: int = 2, mean: int = 4, most: int = 6
             roll[back:] += h[:-back] * power
             power *= _MIX
         roll = (roll * _MIX) >> np.uint64(33)
-    ends = np.flatnonzero(roll % np.uint64(mean) == 0)
-    starts = [0]
-    for s in (*(ends[ends >= window - 1] + 1).tolist(), len(lines)):
-        while s - starts[-1] > most:
-            starts.append(starts[-1] + most)
-        if starts[-1] < s < len(lines):
-            starts.append(s)
-    return starts
-
-
-def _chunks(text: str, **shape) -> list[tuple[int, list[str]]]:
-    lines = text.split("\n")
-    starts = chunk_starts(lines, **shape)
-    return [(a, lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+    blank = np.fromiter((not x.strip() for x in lines), bool, len(lines))
+    ends = roll % np.uint64(mean) == 0
+    ends[: window - 1] = False
+    ends[:-1] |= blank[:-1] & ~blank[1:]
+    ends[-1:] = False
+    return [0, *(np.flatnonzero(ends) + 1).tolist()]
+
+
+def chunks(lines: list[str], **shape) -> list[tuple[int, int]]:
+    """(start, n_lines) of the chunks without blank lines at their ends, where two or more lines are left."""
+    out, starts = [], chunk_starts(lines, **shape)
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+        while a < b and not lines[a].strip():
+            a += 1
+        while b > a and not lines[b - 1].strip():
+            b -= 1
+        if b - a > 1:
+            out.append((a, b - a))
+    return out
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -68,35 +72,14 @@ def _same(left: str, right: str) -> F.Column:
     return F.col(f"{left}.doc").eqNullSafe(F.col(f"{right}.doc")) & (F.col(f"{left}.uid") == F.col(f"{right}.uid"))
 
 
-def chunk_keys(docs: DataFrame, **shape) -> DataFrame:
-    """(doc, uid, start, n_lines, hash): the chunks of two or more lines that are not all blank."""
-
-    def run(batch):
-        out = {"doc": [], "uid": [], "chunks": []}
-        for doc, uid, text in zip(batch["doc"], batch["uid"], batch["text"], strict=True):
-            found = [
-                {"start": a, "n_lines": len(x), "hash": xxhash.xxh3_64_intdigest("\n".join(x).encode("utf-8", "replace")) - 2**63}
-                for a, x in _chunks(text, **shape)
-                if len(x) > 1 and any(map(str.strip, x))
-            ]
-            if found:
-                out["doc"].append(doc)
-                out["uid"].append(uid)
-                out["chunks"].append(found)
-        return out
-
-    rows = arrow_map(_identified(docs).where("text LIKE '%\\n%'"), "doc long, uid long, chunks array<struct<start:int,n_lines:int,hash:long>>", run)
-    return rows.select("doc", "uid", F.inline("chunks"))
-
-
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc, uid, start, n_lines) of the lines to remove, spans of a document apart from each other: their bytes also occur earlier in the table."""
-    return _verified(docs, _pair_keys(docs), _runs)
-
-
-def _content_chunks(docs: DataFrame, **shape) -> DataFrame:
-    """The same of content-defined chunks only."""
-    return _verified(docs, chunk_keys(docs, **shape), _single)
+    keys = store(_keys(docs), "keys")
+    whole = store(_later(keys.where("inside = -1")), "chunks")
+    found = whole.select(F.col("doc").alias("c_doc"), F.col("uid").alias("c_uid"), F.col("start").alias("c_start"))
+    within = F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("uid") == F.col("c_uid")) & (F.col("inside") == F.col("c_start"))
+    rest = _later(keys.where("inside <> -1").join(found, within, "left_anti"))
+    return _verified(docs, whole.unionByName(rest))
 
 
 def pairs(lines: list[str]) -> list[tuple[int, int]]:
@@ -115,22 +98,31 @@ def pairs(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _pair_keys(docs: DataFrame) -> DataFrame:
-    """(doc, uid, start, n_lines, hash) of all ``pairs``."""
+def _keys(docs: DataFrame) -> DataFrame:
+    """(doc, uid, start, n_lines, hash, inside) of all ``chunks`` (inside is -1) and all ``pairs`` (the start of the chunk that holds them, else -2)."""
 
     def run(batch):
-        out = {"doc": batch["doc"], "uid": batch["uid"], "pairs": []}
+        out = {"doc": batch["doc"], "uid": batch["uid"], "keys": []}
         for text in batch["text"]:
             lines = text.split("\n")
-            out["pairs"].append([{"start": a, "n_lines": n, "hash": xxhash.xxh3_64_intdigest("\n".join(lines[a : a + n]).encode("utf-8", "replace")) - 2**63} for a, n in pairs(lines)])
+            of = np.full(len(lines) + 1, -2)
+            units = []
+            for a, n in chunks(lines) if len(lines) > 1 else []:
+                of[a : a + n] = a
+                units.append((a, n, -1))
+            units += [(a, n, int(of[a]) if of[a] == of[a + n - 1] else -2) for a, n in pairs(lines)]
+            out["keys"].append([{"start": a, "n_lines": n, "hash": xxhash.xxh3_64_intdigest("\n".join(lines[a : a + n]).encode("utf-8", "replace")) - 2**63, "inside": c} for a, n, c in units])
         return out
 
-    rows = arrow_map(_identified(docs).where("text <> ''"), "doc long, uid long, pairs array<struct<start:int,n_lines:int,hash:long>>", run)
-    return rows.select("doc", "uid", F.inline("pairs"))
+    rows = arrow_map(_identified(docs).where("text <> ''"), "doc long, uid long, keys array<struct<start:int,n_lines:int,hash:long,inside:int>>", run)
+    return rows.select("doc", "uid", F.inline("keys"))
 
 
-def _single(found: list[dict]) -> list[tuple]:
-    return sorted({(f["start"], f["n_lines"], f["doc"], f["uid"], f["at"]) for f in found}, key=lambda r: r[0])
+def _later(keys: DataFrame) -> DataFrame:
+    """Keys whose hash occurs earlier: (doc, uid, start, n_lines, first_), where it occurs first."""
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "uid", "start")
+    first = keys.groupBy("hash").agg(F.min(place).alias("first_"), F.max(place).alias("last_")).where("first_ <> last_").drop("last_")
+    return keys.join(store(first, "first"), "hash").where(place != F.col("first_")).select("doc", "uid", "start", "n_lines", "first_")
 
 
 def _runs(found: list[dict]) -> list[tuple]:
@@ -160,17 +152,13 @@ def _apart(spans: list[dict]) -> list[dict]:
     return out
 
 
-def _verified(docs: DataFrame, found: DataFrame, join) -> DataFrame:
-    keys = store(found, "chunks")
-    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "uid", "start")
-    first = keys.groupBy("hash").agg(F.min(place).alias("first_"), F.max(place).alias("last_")).where("first_ <> last_").drop("last_")
-    later = keys.join(store(first, "first"), "hash").where(place != F.col("first_"))
+def _verified(docs: DataFrame, later: DataFrame) -> DataFrame:
     per = later.groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines", F.col("first_.doc").alias("doc"), F.col("first_.uid").alias("uid"), F.col("first_.start").alias("at"))).alias("found"))
 
     def joined(batch):
         out = {"doc": batch["doc"], "uid": batch["uid"], "runs": []}
         for found in batch["found"]:
-            out["runs"].append([dict(zip(("start", "n_lines", "of_doc", "of_uid", "of_start"), r, strict=True)) for r in join(found)])
+            out["runs"].append([dict(zip(("start", "n_lines", "of_doc", "of_uid", "of_start"), r, strict=True)) for r in _runs(found)])
         return out
 
     runs = arrow_map(per, "doc long, uid long, runs array<struct<start:int,n_lines:int,of_doc:long,of_uid:long,of_start:int>>", joined)
@@ -214,9 +202,9 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup_lines(docs: DataFrame, spans: DataFrame | None = None, **shape) -> DataFrame:
-    """``docs`` with ``spans``, or else repeated content-defined chunks, cut out of ``text``, plus n_lines_ and n_removed_ (lines)."""
-    spans = (_content_chunks(docs, **shape) if spans is None else spans).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines")).alias("gone"))
+def dedup_lines(docs: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``spans``, or else ``repeated_chunks``, cut out of ``text``, plus n_lines_ and n_removed_ (lines)."""
+    spans = (repeated_chunks(docs) if spans is None else spans).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "n_lines")).alias("gone"))
     doc, uid, gone = fresh(docs, "gone_doc", "gone_uid", "gone_spans")
     spans = store(spans, "gone").toDF(doc, uid, gone)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("doc_id", "text") == F.col(uid))
