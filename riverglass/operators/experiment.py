@@ -43,18 +43,36 @@ def combined(log: DataFrame, expected: DataFrame, seconds: Column, target_us: in
     return per.join(expected, "system", "left").select("system", F.col("n").alias("n_objects"), (F.col("n") / seconds).alias("throughput"), (F.col("good") / seconds).alias("goodput"), F.coalesce("latency_ms", F.lit(1.0)).alias("latency_ms"), (F.least(F.col("n") / F.col("expected") * 100, F.lit(100.0)) / seconds).alias("max_throughput"))
 
 
-def split(log: DataFrame, expected: DataFrame, target_us: int = 200_000) -> DataFrame:
-    """Per system, pipeline and class: arrived and in-time percent of the expected objects, capped at 100, and mean latency.
+def split(log: DataFrame, expected: DataFrame, seconds: float = 1800, results: int = 1, target_us: int = 200_000, people_extra_us: int = 100_000) -> DataFrame:
+    """Per system, pipeline and class (cars, people, total): arrived and in-time percent of the expected objects, capped at 100, throughput and goodput per second, and mean latency in ms.
 
-    The surveillance pipeline has no cars, and its people get 100 ms more.
+    The surveillance pipeline has no cars (they count in its total percentages only), and its target is ``people_extra_us`` later. All counts are per repeated run (``results``).
     """
-    people = F.col("pipeline") == "people"
-    target = F.lit(target_us) + F.when(people & (F.col("class") == "people"), 100_000).otherwise(0)
-    per = log.groupBy("system", "pipeline", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("latency_us") < target).alias("good"), F.avg("latency_us").alias("latency_us"))
-    rows = per.join(expected, ["pipeline", "class"], "left")
-    none = people & (F.col("class") == "cars")
-    percent = lambda c: F.when(none, 0.0).otherwise(F.least(F.lit(100.0), F.col(c) / F.col("expected") * 100))
-    return rows.select("system", "pipeline", "class", percent("n").alias("arrived"), percent("good").alias("in_time"), "latency_us")
+    car, surveillance = F.col("class") == "cars", F.col("pipeline") == "people"
+    target = F.lit(target_us) + F.when(surveillance, people_extra_us).otherwise(0)
+    good, late = F.col("latency_us") < target, F.col("latency_us") / 1000
+    count = lambda c: F.count_if(c) / results
+    per = log.groupBy("system", "pipeline").agg(
+        count(car).alias("n_c"), count(~car).alias("n_p"), count(car & good).alias("g_c"), count(~car & good).alias("g_p"),
+        F.count_if(car).alias("all_c"), F.count_if(~car).alias("all_p"), F.sum(F.when(car & ~surveillance, late).otherwise(F.when(car, 0.0))).alias("l_c"), F.sum(F.when(~car, late)).alias("l_p"),
+    )
+    want = expected.groupBy("pipeline").agg(F.max(F.when(car, F.col("expected"))).alias("e_c"), F.max(F.when(~car, F.col("expected"))).alias("e_p"))
+    c, zero = F.col, F.lit(0.0)
+    percent = lambda n, e: F.coalesce(F.least(F.lit(100.0), F.try_divide(100.0 * n, e)), zero)
+    alone = lambda x: F.when(surveillance, zero).otherwise(x)
+    both_e = F.when(surveillance, c("e_p")).otherwise(c("e_c") + c("e_p"))
+    mean = lambda total, n: F.try_divide(total, n)
+
+    def row(name: str, *figures: Column) -> Column:
+        return F.struct(F.lit(name).alias("class"), *[x.cast("double").alias(n) for n, x in zip(("arrived", "in_time", "throughput", "goodput", "latency_ms"), figures, strict=True)])
+
+    cars = row("cars", alone(percent(c("n_c"), c("e_c"))), alone(percent(c("g_c"), c("e_c"))), alone(c("n_c") / seconds), alone(c("g_c") / seconds), mean(c("l_c"), c("all_c")))
+    people = row("people", percent(c("n_p"), c("e_p")), percent(c("g_p"), c("e_p")), c("n_p") / seconds, c("g_p") / seconds, mean(c("l_p"), c("all_p")))
+    total = row(
+        "total", percent(c("n_c") + c("n_p"), both_e), percent(c("g_c") + c("g_p"), both_e), (alone(c("n_c")) + c("n_p")) / seconds, (alone(c("g_c")) + c("g_p")) / seconds,
+        mean(F.coalesce("l_c", zero) + F.coalesce("l_p", zero), c("all_c") + c("all_p")),
+    )
+    return per.join(want, "pipeline", "left").select("system", "pipeline", F.inline(F.array(cars, people, total)))
 
 
 def expected_totals(counts: DataFrame, thirty_fps: Column) -> DataFrame:
@@ -84,12 +102,30 @@ def blended(series: DataFrame) -> DataFrame:
     return series.withColumn("throughput", (F.col("n") + F.lit(1e6) / F.greatest(F.col("latency_us"), F.lit(1.0)) * F.col("n")) / 2)
 
 
-def left_padded(series: DataFrame, minutes: str, values: list[str], upto: int) -> DataFrame:
-    """Zero rows in whole minutes before the series, so that it ends at ``upto``."""
-    last = series.agg(F.max(minutes).alias("last_"))
+def overall_series(log: DataFrame, keys: list[str], width: int = 1_000_000, bound: int = 250_000, buckets: int = 780, window: int = 3) -> DataFrame:
+    """Requests per bin in smoothed buckets, with mean latency, and per key their mean (avg_throughput) and that times the share of requests below ``bound`` (avg_goodput)."""
+    series = bucket_smooth(second_series(log, keys, width=width, bound=bound), keys, "bin", ["n", "latency_us"], buckets, window)
+    ratio = log.groupBy(*keys).agg((F.count_if(F.col("latency_us") < bound) / F.count(F.lit(1))).alias("ratio_"))
+    means = series.groupBy(*keys).agg(F.avg("n_smooth").alias("avg_throughput")).join(ratio, keys)
+    means = means.select(*keys, "avg_throughput", (F.col("avg_throughput") * F.col("ratio_")).alias("avg_goodput"))
+    return series.join(means, keys).select(*keys, "bucket", "first", F.col("n_smooth").alias("throughput"), F.col("latency_us_smooth").alias("latency_us"), "avg_throughput", "avg_goodput")
+
+
+def prepared_series(log: DataFrame, keys: list[str], width: int = 1_000_000, bound: int = 200_000, buckets: int = 180, window: int = 3, upto: int = 30) -> DataFrame:
+    """Minutes and blended throughput of the requests below ``bound``, in smoothed buckets, each key's series padded with zeros at its start so that it ends at ``upto`` minutes."""
+    series = bucket_smooth(blended(second_series(log.where(F.col("latency_us") < bound), keys, width=width)), keys, "bin", ["throughput"], buckets, window)
+    first = series.groupBy(*keys).agg(F.min("first").alias("start_"))
+    series = series.join(first, keys).select(*keys, ((F.col("first") - F.col("start_")) / 60e6).alias("minutes"), F.col("throughput_smooth").alias("throughput"))
+    return left_padded(series, "minutes", ["throughput"], upto, keys)
+
+
+def left_padded(series: DataFrame, minutes: str, values: list[str], upto: int, keys: list[str] | None = None) -> DataFrame:
+    """Zero rows in whole minutes before the series of each key, so that it ends at ``upto``."""
+    keys = keys or []
+    last = series.groupBy(*keys).agg(F.max(minutes).alias("last_"))
     missing = F.greatest(F.lit(0), F.ceil(F.lit(upto) - F.col("last_")))
-    pad = last.where(missing > 0).select(F.explode(F.sequence(F.lit(1), missing.cast("int"))).alias("i")).select((-F.col("i")).cast("double").alias(minutes), *[F.lit(0.0).alias(v) for v in values])
-    return series.select(minutes, *values).unionByName(pad)
+    pad = last.where(missing > 0).select(*keys, F.explode(F.sequence(F.lit(1), missing.cast("int"))).alias("i")).select(*keys, (-F.col("i")).cast("double").alias(minutes), *[F.lit(0.0).alias(v) for v in values])
+    return series.select(*keys, minutes, *values).unionByName(pad)
 
 
 def missed(joined: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,3 +188,13 @@ def success_rate(df: DataFrame) -> DataFrame:
 def run_seconds(experiment: Column, default: int = 1800) -> Column:
     """Seconds of a run by its name: fixed values of the two long experiments."""
     return F.when(experiment.contains("fcty"), 2160).when(experiment.contains("camp"), 7200).otherwise(default).cast("long")
+
+
+def learning_curve(steps: DataFrame, agent: str, instance: str, order: list[str], values: list[str]) -> DataFrame:
+    """Per position: the values' means over an agent's instances, then over agents; those too short for a position count as nothing, as in the sums of all."""
+    pos = F.row_number().over(Window.partitionBy(agent, instance).orderBy(*order)).cast("long")
+    runs = steps.groupBy(agent).agg(F.count_distinct(instance).alias("runs_"))
+    per = steps.withColumn("pos", pos).groupBy(agent, "pos").agg(*[F.sum(v).alias(v) for v in values]).join(runs, agent)
+    agents = runs.agg(F.count(F.lit(1)).alias("agents_"))
+    curve = per.groupBy("pos").agg(*[F.sum(F.col(v) / F.col("runs_")).alias(v) for v in values]).crossJoin(F.broadcast(agents))  # one row
+    return curve.select("pos", *[(F.col(v) / F.col("agents_")).alias(v) for v in values])

@@ -11,6 +11,7 @@ from ..adapters import PERIODS
 from ..functions.quantiles import nearest_rank
 from ..functions.scalars import default_package_size
 from .joins import as_of, with_fallback
+from .ranks import numbered
 
 
 def greatest_of(prefix: str, agg, periods: tuple[int, ...] = PERIODS) -> Column:
@@ -148,3 +149,9 @@ def supervised(df: DataFrame, keys: list[str], order: list[str], value: str, len
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = df.select(*keys, *order, F.collect_list(value).over(w.rowsBetween(1 - length, 0)).alias("x"), F.lead(value).over(w).alias("y"))
     return rows.where((F.size("x") == length) & F.col("y").isNotNull())
+
+
+def training_batches(windows: DataFrame, tie: str, size: int = 64, seed: int = 0) -> DataFrame:
+    """Windows in a random order (by hash), with the number of their batch of ``size``; numbered without a window over all of them."""
+    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col(tie))), F.col(tie)]
+    return numbered(windows, [], order, "rn_").withColumn("batch", F.floor((F.col("rn_") - 1) / size)).drop("rn_")

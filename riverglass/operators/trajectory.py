@@ -102,6 +102,12 @@ def surrogate(ratio: Column, advantage: Column, eps: float = 0.2) -> Column:
     return -F.least(ratio * advantage, cut * advantage)
 
 
+def rewarded_surrogate(ratio: Column, advantage: Column, reward: Column, eps: float = 0.2) -> Column:
+    """Ten times the clipped loss plus exp(-reward), weighed by the smaller of 10 / ratio and 10 / clipped ratio."""
+    cut = F.least(F.lit(1 + eps), F.greatest(F.lit(1 - eps), ratio))
+    return 10 * (surrogate(ratio, advantage, eps) + F.least(10 / ratio, 10 / cut) * F.exp(-reward))
+
+
 def episodes(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Sum and mean of every episode's reward, and whether its mean is a new best of its agent (from 0 on)."""
     per = df.groupBy(*keys, order).agg(F.sum("reward").alias("total"), F.avg("reward").alias("mean"))

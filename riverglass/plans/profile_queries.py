@@ -163,6 +163,12 @@ def e12(d):
     return E.history(d.request, ["user_id"], ["t0", "event_id"], "v", 5).select("event_id", F.col("window").alias("recent"))
 
 
+@query("e13_training_batches", "WITH w AS (SELECT event_id, row_number() OVER u AS rn, lead(v) OVER u AS y FROM request WINDOW u AS (PARTITION BY user_id ORDER BY t0, event_id)) SELECT event_id, y, CAST((row_number() OVER (ORDER BY md5('7:' || event_id), event_id) - 1) // 64 AS BIGINT) AS batch FROM w WHERE rn >= 10 AND y IS NOT NULL")
+def e13_batches(d):
+    windows = E.supervised(d.request, ["user_id"], ["t0", "event_id"], "v", 10)
+    return E.training_batches(windows.select("event_id", "x", "y"), "event_id", seed=7).select("event_id", "y", "batch")
+
+
 @query("e13_supervised_windows", "SELECT user_id, event_id, list_sum(x)::BIGINT AS x_sum, y FROM (SELECT user_id, event_id, list(v) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS x, lead(v) OVER (PARTITION BY user_id ORDER BY t0, event_id) AS y FROM request) WHERE len(x) = 10 AND y IS NOT NULL")
 def e13(d):
     out = E.supervised(d.request, ["user_id"], ["t0", "event_id"], "v", 10)

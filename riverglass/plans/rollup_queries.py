@@ -78,9 +78,14 @@ def c7(d):
     return R.summary(R.arrival_durations(d.request), ["stream", "sender_host"], ["out_queue", "transfer", "in_queue", "v"])
 
 
-@query("c8_process_summary", f"SELECT day, stream, infer_batch_size, count(*) AS n, {P95('prep')} AS prep, {P95('infer')} AS infer, {P95('post')} AS post FROM ({PROC}) GROUP BY ALL HAVING count(*) >= 20")
+SEVEN = ("prep", "batch", "infer", "post", "input_size", "output_size", "encoded_size")
+SIZES = {"input_size": "1000 + v % 900", "output_size": "300 + v % 700", "encoded_size": "100 + v % 80"}
+
+
+@query("c8_process_summary", f"SELECT day, stream, infer_batch_size, count(*) AS n, {', '.join(f'{P95(c)} AS {c}' for c in SEVEN)} FROM (SELECT *, {', '.join(f'{e} AS {n}' for n, e in SIZES.items())} FROM ({PROC})) GROUP BY day, stream, infer_batch_size HAVING count(*) >= 20")
 def c8(d):
-    return R.summary(R.process_durations(d.request), ["day", "stream", "infer_batch_size"], ["prep", "infer", "post"], least=20)
+    rows = R.process_durations(d.request).withColumns({n: F.expr(e) for n, e in SIZES.items()})
+    return R.summary(rows, ["day", "stream", "infer_batch_size"], list(SEVEN), least=20)
 
 
 @query("c9_batch_infer_summary", f"SELECT stream, infer_batch_size, count(*) AS n, {P95('infer')} AS infer FROM ({PROC}) GROUP BY ALL")
@@ -174,9 +179,11 @@ def c24(d):
     return R.cpu_percent(d.request, ["user_id"], ["t0", "event_id"], "v", "t0").select("event_id", "cpu")
 
 
-@query("c25_class_counts", "SELECT image_id, count(*) FILTER (class_id = 0 AND score >= 0.25) AS person, count(*) FILTER (class_id = 2 AND score >= 0.25) AS car, count(*) FILTER (class_id = 1 AND score >= 0.25) AS others FROM detections GROUP BY image_id")
+@query("c25_class_counts", "SELECT o_orderkey AS image_id, count(*) FILTER (class_id = 0 AND score >= 0.25) AS person, count(*) FILTER (class_id = 2 AND score >= 0.25) AS car, count(*) FILTER (class_id = 1 AND score >= 0.25) AS others FROM orders LEFT JOIN (SELECT * FROM detections WHERE class_id <> 1 OR image_id % 2 = 0) dt ON dt.image_id = o_orderkey GROUP BY 1")
 def c25(d):
-    return R.class_counts(d.detections, d.detections)
+    """Every order is a frame, and those that hold no detection have zeros; odd frames report no others."""
+    shown = d.detections.where("class_id <> 1 OR image_id % 2 = 0")
+    return R.class_counts(shown, d.orders.select(F.col("o_orderkey").alias("image_id")))
 
 
 @query("c26_initial_rates", "WITH f AS (SELECT class_id AS stream, x1 AS frame, count(*) AS objects FROM detections GROUP BY ALL), r AS (SELECT stream, frame, sum(objects) OVER (PARTITION BY stream ORDER BY frame) / ((frame + 1) / 30.0::DOUBLE) AS a FROM f) SELECT stream, CAST(ceil(greatest(max(a) * 1.2 * 15 / 30 + 1, 15)) AS BIGINT) AS rate FROM r WHERE (frame + 1) % 30 = 0 GROUP BY stream")

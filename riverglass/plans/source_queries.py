@@ -107,7 +107,7 @@ def a9(d):
 def a10(d):
     kind = F.when(F.col("event_id") % 2 == 0, "episodeEnd").otherwise("step")
     line = F.concat_ws(",", kind, "t0", F.lit("0"), F.lit("0"), F.lit("0"), F.col("v") / 100, F.col("event_id") / 1000)
-    return R.rl_log(d.spark, _text(d.request, line, "rl")).drop("file")
+    return R.rl_log(d.spark, _text(d.request, line, "rl")).select("us", "reward", "loss")
 
 
 @query("a11_rollouts", "SELECT CAST(agent AS VARCHAR) AS agent, rollout_id, obj1, obj2, obj3 FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY rollout_id) AS rn FROM rollouts) WHERE rn <= 20")

@@ -74,6 +74,12 @@ def i10(d):
     return m.groupBy((F.col("event_id") % 5).alias("agent")).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
+@query("i10_rewarded_surrogate", f"WITH {M_SQL}, c AS (SELECT *, thr + 0.1 AS ratio, least(1.2, greatest(0.8, thr + 0.1)) AS cut FROM m), l AS (SELECT event_id % 5 AS agent, -least(ratio * (lat - 2), cut * (lat - 2)) + least(10 / ratio, 10 / cut) * exp(-mem) AS loss FROM c) SELECT agent, round(10 * avg(loss), 6) AS loss FROM l GROUP BY agent")
+def i10_rewarded(d):
+    m = _measures(d).withColumn("loss", T.rewarded_surrogate(F.col("thr") + 0.1, F.col("lat") - 2, F.col("mem")))
+    return m.groupBy((F.col("event_id") % 5).alias("agent")).agg(F.round(F.avg("loss"), 6).alias("loss"))
+
+
 @query("i11_value_loss", "SELECT agent, round(avg((value - reward) * (value - reward)), 6) AS loss FROM trajectory GROUP BY agent")
 def i11(d):
     return d.trajectory.groupBy("agent").agg(F.round(F.avg(F.pow(F.col("value") - F.col("reward"), 2)), 6).alias("loss"))

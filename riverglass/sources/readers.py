@@ -106,10 +106,10 @@ def frame_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rl_log(spark: SparkSession, path: str, kind: str = "episodeEnd") -> DataFrame:
-    """Lines of one kind of a ragged log: file, number of the line's time, average reward (field 5) and loss (field 6)."""
+    """Lines of one kind of a ragged log: file, its first two numbers (us: a time or the first latency; round_us: the second), average reward (field 5) and loss (field 6)."""
     p = F.split("value", ",")
     rows = _lines(spark, path).where(F.get(p, F.lit(0)) == kind)
-    return rows.select("file", F.get(p, F.lit(1)).try_cast("long").alias("us"), F.get(p, F.lit(5)).try_cast("double").alias("reward"), F.get(p, F.lit(6)).try_cast("double").alias("loss"))
+    return rows.select("file", F.get(p, F.lit(1)).try_cast("long").alias("us"), F.get(p, F.lit(2)).try_cast("long").alias("round_us"), F.get(p, F.lit(5)).try_cast("double").alias("reward"), F.get(p, F.lit(6)).try_cast("double").alias("loss"))
 
 
 def rollouts(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
