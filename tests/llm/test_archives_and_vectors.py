@@ -138,7 +138,26 @@ def test_second_read_with_other_splits(spark, monkeypatch):
     assert kinds.count("truncated") >= 1 and len(kinds) == 60
 
 
-def test_vectors_too_long_for_whole_products(spark):
-    df = spark.createDataFrame([(1, [1e9, 0.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="length passes"):
-        mips.search(df).collect()
+@pytest.mark.parametrize("size", [1e3, 1e7, 1e8])
+def test_large_components_score_exactly(spark, size):
+    """Lengths beyond 2**31 whole units among ordinary ones; near ties that doubles cannot tell apart."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    x[20:40] = x[21]
+    x[40:60] = x[42] + rng.integers(0, 3, (20, 4)) / 64 / size
+    large = [i for i in range(300) if (i % 7 == 0 or 40 <= i < 60) and (i % 20 or size < 1e8)]  # products of two of 1e8 would leave a long
+    x[large] *= size
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = mips.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=32, query_block=8).collect()
+    whole = [[int(c) for c in np.floor(64 * v)] for v in x]
+    for q in range(0, 300, 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q)[:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in scores]
+
+
+def test_scores_beyond_a_long(spark):
+    schema = "vec_id long, embedding array<double>"
+    with pytest.raises(Exception, match="(?i)overflow|too large|long"):
+        mips.search(spark.createDataFrame([(0, [1e9, 0.0]), (1, [1e9, 0.0])], schema)).collect()
+    got = mips.search(spark.createDataFrame([(0, [1e9, 0.0]), (1, [-1e9, 0.0]), (2, [1.0, 0.0])], schema)).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 64 * 64 * 10**9), (1, -(2**63))]
