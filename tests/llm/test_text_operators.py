@@ -188,6 +188,47 @@ def test_boosting_learns_and_is_calibrated():
     assert y[cut:][raw >= at].mean() >= 0.97 and (raw >= at)[y[cut:] == 1].mean() > 0.8
 
 
+@pytest.fixture(scope="module")
+def trained(spark, small):
+    """A model fitted in the words of the test tables, which hold letters of many scripts."""
+    return pii.fit(read(spark, small, "documents"))
+
+
+def test_generated_forms_are_found_in_the_tables_words(spark, small, trained):
+    model, thresholds = trained
+    words = sorted({w for r in read(spark, small, "documents").collect() for w in (r.text or "").split()[:100]})
+    x, y = pii.examples(words, seed=99)
+    raw = model.raw(x)
+    for k, kind in enumerate(pii.KINDS):
+        own, passed = x[:, 0] == k, raw >= thresholds[kind]
+        assert passed[own & (y == 1)].mean() >= 0.9, kind
+        assert y[own & passed].mean() >= 0.96, kind
+
+
+def test_obfuscated_addresses(trained):
+    for text, span in (("write to anna [at] example [dot] org today", (9, 36)), ("mail bob (at) site (dot) com now", (5, 28)), ("write to john at example.com now", (9, 28))):
+        assert pii.find(text, *trained) == ([], [("email", *span)])
+    for text in ("we met at noon.Then left", "look at house dot tree", "on 2024-01-02 at 10:11:12:13"):
+        assert pii.find(text, *trained)[1] == []
+
+
+def test_planted_data_in_the_tables_texts(spark, small, trained):
+    rng = random.Random(5)
+    forms = (lambda: ("email", f"{rng.choice(WORDS)[:1]}zoe at mailhost{rng.randrange(9)}.{rng.choice(['com', 'org', 'de'])}"), lambda: ("email", f"zoe{rng.randrange(99)} [at] mailhost [dot] net"), lambda: ("ip", "(.)".join(str(rng.randrange(1, 255)) for _ in range(4))), lambda: ("phone", f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"))
+    hits = wrong = n = 0
+    for r in read(spark, small, "documents").collect():
+        words = (r.text or "").split(" ")
+        at = rng.randrange(len(words))
+        kind, data = rng.choice(forms)()
+        head = "".join(w + " " for w in words[:at])
+        base, every = pii.find(head + data + " " + " ".join(words[at:]), *trained)
+        added = [s for s in every if s not in base]
+        hits += (kind, len(head), len(head) + len(data)) in added
+        wrong += sum(s != (kind, len(head), len(head) + len(data)) for s in added)
+        n += 1
+    assert hits >= 0.9 * n and wrong <= 0.02 * n
+
+
 # ---- 4 segmentations
 
 
