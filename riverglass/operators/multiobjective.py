@@ -68,16 +68,13 @@ def hypervolume(front: DataFrame, key: str, objectives: list[str], ref: list[flo
     return front.select(key, *objectives).groupBy(key).applyInPandas(run, f"{key} {front.schema[key].dataType.simpleString()}, hypervolume double")
 
 
-def hypervolume_3d(front: DataFrame, key: str, objectives: list[str], ref: list[float], slices: int = 32) -> DataFrame:
-    """Exact volume that each key's points dominate above ``ref``: a sweep down the third objective, in slices that are swept apart.
+def _sliced(points: DataFrame, key: str, floor: float, slices: int) -> tuple[DataFrame, list[float]]:
+    """(key, s, own, z, x, y) of distinct points in slices of z, and each slice's floor; points of a slice (own = 1) come with the staircase of all above it (own = 0).
 
-    Slices are cut at quantiles of the third objective. What a slice inherits from those above is the staircase of their first two objectives: each slice's own staircase goes
-    to all slices below, where they merge. A sweep then holds one staircase, sorted, and reads its slice's points in order, in Arrow batches.
+    Slices are cut at quantiles of z. What a slice inherits is the staircase of x and y: each slice's own goes to all slices below, where they merge.
     """
-    x, y, z = objectives
-    points = front.where((F.col(x) > ref[0]) & (F.col(y) > ref[1]) & (F.col(z) > ref[2])).select(key, *[F.col(o).cast("double").alias(n) for o, n in zip(objectives, "xyz", strict=True)]).distinct()
     cuts = points.agg(F.percentile_approx("z", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
-    bounds = sorted({float(ref[2]), *(c for c in cuts if c > ref[2])})  # a slice's floor; at most ``slices`` numbers
+    bounds = sorted({float(floor), *(c for c in cuts if c > floor)})  # at most ``slices`` numbers
     floors = F.array(*[F.lit(b) for b in bounds])
     points = points.withColumn("s", F.size(F.filter(floors, lambda b: b < F.col("z"))) - 1)
 
@@ -87,8 +84,62 @@ def hypervolume_3d(front: DataFrame, key: str, objectives: list[str], ref: list[
 
     steps = staircase(points.select(key, "s", "x", "y")).where("s > 0")
     above = staircase(steps.select(key, F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("s"), "x", "y"))
-    rows = points.select(key, "s", F.lit(1).alias("own"), "z", "x", "y").unionByName(above.select(key, "s", F.lit(0).alias("own"), F.element_at(floors, F.col("s") + 2).alias("z"), "x", "y"))
+    inherited = above.select(key, "s", F.lit(0).alias("own"), F.element_at(floors, F.col("s") + 2).alias("z"), "x", "y")
+    rows = points.select(key, "s", F.lit(1).alias("own"), "z", "x", "y").unionByName(inherited)
+    return rows.repartition(key, "s").sortWithinPartitions(key, "s", "own", F.desc("z"), F.desc("x"), F.desc("y")), bounds
+
+
+def _rows(parts: Iterator[pd.DataFrame], key: str) -> Iterator[tuple]:
+    """((key, s), own, z, x, y), null keys as None."""
+    for pdf in parts:
+        keys = pdf[key].astype(object).where(pdf[key].notna(), None)
+        for k, s, own, z, x, y in zip(keys, pdf.s, pdf.own, pdf.z, pdf.x, pdf.y, strict=True):
+            yield (k, s), own, z, x, y
+
+
+def _named(points: DataFrame, key: str, objectives: list[str]) -> DataFrame:
+    return points.select(key, *[F.col(o).cast("double").alias(n) for o, n in zip(objectives, "xyz", strict=True)])
+
+
+def swept_pareto(points: DataFrame, key: str, objectives: list[str], slices: int = 32) -> DataFrame:
+    """Points that no other of their key dominates, in three objectives: a sweep down the third, in slices that are swept apart.
+
+    A point is dominated if the staircase of what came before it holds a step at or beyond it; of equal points all stay.
+    """
+    kind = points.schema[key].dataType.simpleString()
+    real = F.greatest(*[F.col(o).isNull().cast("int") for o in objectives]) == 0
+    ordered, _ = _sliced(_named(points.where(real), key, objectives).distinct(), key, float("-inf"), slices)
+
+    def sweep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, stairs, kept = None, None, []
+        for now, own, z, x, y in _rows(parts, key):
+            if now != name:
+                name, stairs = now, _Stairs(float("-inf"), float("-inf"), z)
+            if own and not stairs.holds(x, y):
+                kept.append((now[0], x, y, z))
+            stairs.step(x, y)
+            if len(kept) >= 10_000:
+                yield frame(kept)
+                kept = []
+        yield frame(kept)
+
+    def frame(kept: list[tuple]) -> pd.DataFrame:
+        columns = list(zip(*kept, strict=True)) or [[]] * 4
+        return pd.DataFrame({key: pd.Series(list(columns[0]), dtype=object), **{f"k{n}_": np.array(c, float) for n, c in zip("xyz", columns[1:], strict=True)}})
+
+    front = ordered.mapInPandas(sweep, f"{key} {kind}, kx_ double, ky_ double, kz_ double").withColumnRenamed(key, "kkey_")
+    same = reduce(and_, [F.col(o).cast("double") == F.col(f"k{n}_") for o, n in zip(objectives, "xyz", strict=True)], F.col(key).eqNullSafe(F.col("kkey_")))
+    return points.join(front, same, "left_semi")
+
+
+def hypervolume_3d(front: DataFrame, key: str, objectives: list[str], ref: list[float], slices: int = 32) -> DataFrame:
+    """Exact volume that each key's points dominate above ``ref``: a sweep down the third objective, in slices that are swept apart.
+
+    A sweep holds one staircase, sorted, and reads its slice's points in order, in Arrow batches.
+    """
     kind = front.schema[key].dataType.simpleString()
+    inside = reduce(and_, [F.col(o) > r for o, r in zip(objectives, ref, strict=True)])
+    ordered, bounds = _sliced(_named(front.where(inside), key, objectives).distinct(), key, ref[2], slices)
 
     def sweep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, stairs, done = None, None, []
@@ -97,19 +148,16 @@ def hypervolume_3d(front: DataFrame, key: str, objectives: list[str], ref: list[
             if stairs is not None:
                 done.append((name[0], stairs.volume + stairs.area * (stairs.z - bounds[name[1]])))
 
-        for pdf in parts:
-            keys = pdf[key].astype(object).where(pdf[key].notna(), None)
-            for k, s, z_, x_, y_ in zip(keys, pdf.s, pdf.z, pdf.x, pdf.y, strict=True):
-                if (k, s) != name:
-                    close()
-                    name, stairs = (k, s), _Stairs(ref[0], ref[1], z_)
-                stairs.volume += stairs.area * (stairs.z - z_)
-                stairs.z = z_
-                stairs.add(x_, y_)
+        for now, _, z, x, y in _rows(parts, key):
+            if now != name:
+                close()
+                name, stairs = now, _Stairs(ref[0], ref[1], z)
+            stairs.volume += stairs.area * (stairs.z - z)
+            stairs.z = z
+            stairs.add(x, y)
         close()
         yield pd.DataFrame({key: pd.Series([k for k, _ in done], dtype=object), "volume": [float(v) for _, v in done]})
 
-    ordered = rows.repartition(key, "s").sortWithinPartitions(key, "s", "own", F.desc("z"))
     return ordered.mapInPandas(sweep, f"{key} {kind}, volume double").groupBy(key).agg(F.sum("volume").alias("hypervolume"))
 
 
@@ -120,24 +168,36 @@ class _Stairs:
         self.xs, self.ys, self.x0, self.y0 = [], [], x0, y0
         self.area, self.volume, self.z = 0.0, 0.0, z
 
-    def add(self, x: float, y: float) -> None:
-        xs, ys = self.xs, self.ys
-        end = bisect_left(xs, x)
-        if end < len(xs) and ys[end] >= y:
-            return
-        if end < len(xs) and xs[end] == x:
-            end += 1  # the lower of two with one x
-        right = ys[end] if end < len(ys) else self.y0
+    def holds(self, x: float, y: float) -> bool:
+        """Whether a step lies at or beyond (x, y) in both."""
+        end = bisect_left(self.xs, x)
+        return end < len(self.xs) and self.ys[end] >= y
+
+    def step(self, x: float, y: float) -> tuple[int, list] | None:
+        """Put (x, y) in, for the steps that it dominates; where it went and what they were, or None if it is dominated."""
+        if self.holds(x, y):
+            return None
+        end = bisect_left(self.xs, x)
+        end += end < len(self.xs) and self.xs[end] == x  # the lower of two with one x
         start = end
-        while start and ys[start - 1] <= y:
+        while start and self.ys[start - 1] <= y:
             start -= 1
-        left = xs[start - 1] if start else self.x0
-        before, old = left, 0.0
-        for i in range(start, end):
-            old += (xs[i] - before) * (ys[i] - right)
-            before = xs[i]
-        self.area += (x - left) * (y - right) - old
-        xs[start:end], ys[start:end] = [x], [y]
+        gone = list(zip(self.xs[start:end], self.ys[start:end], strict=True))
+        self.xs[start:end], self.ys[start:end] = [x], [y]
+        return start, gone
+
+    def add(self, x: float, y: float) -> None:
+        """``step``, and the area that it adds."""
+        placed = self.step(x, y)
+        if placed is None:
+            return
+        start, gone = placed
+        right = self.ys[start + 1] if start + 1 < len(self.ys) else self.y0
+        left = before = self.xs[start - 1] if start else self.x0
+        self.area += (x - left) * (y - right)
+        for gx, gy in gone:
+            self.area -= (gx - before) * (gy - right)
+            before = gx
 
 
 def spread(dimensions: int) -> list[int]:
@@ -165,30 +225,62 @@ def _distance(objectives: list[str], a: str = "a_", b: str = "b_") -> Column:
     return F.sqrt(reduce(lambda s, t: s + t, [F.pow(F.col(f"{a}{o}") - F.col(f"{b}{o}"), 2) for o in objectives]))
 
 
-def sparsity(front: DataFrame, key: str, point: str, objectives: list[str]) -> DataFrame:
-    """Mean distance over the pairs of each front; 0 for fewer than two points."""
-    a, b = (front.select(key, F.col(point).alias(f"{s}i"), *[F.col(o).alias(f"{s}{o}") for o in objectives]) for s in ("a_", "b_"))
-    mean = a.join(b, key).where("a_i < b_i").groupBy(key).agg(F.avg(_distance(objectives)).alias("sparsity"))
-    return front.select(key).distinct().join(mean, key, "left").fillna(0.0, ["sparsity"])
+def _packed(fronts: DataFrame, key: str, objectives: list[str], block: int) -> DataFrame:
+    """(k, block, points): each key's points dealt by a hash to blocks of about ``block``, as arrays of coordinates."""
+    sizes = fronts.groupBy(F.col(key).alias("k")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    rows = fronts.select(F.col(key).alias("k"), F.array(*[F.col(o).cast("double") for o in objectives]).alias("x")).join(sizes, "k")
+    return rows.groupBy("k", F.pmod(F.xxhash64("x"), F.col("blocks")).alias("block")).agg(F.array_sort(F.collect_list("x")).alias("points"))
+
+
+def _between(p: list, q: list) -> np.ndarray:
+    a, b = np.array(p, float), np.array(q, float)
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+
 
+def sparsity(front: DataFrame, key: str, objectives: list[str], block: int = 512) -> DataFrame:
+    """Mean distance over the pairs of each front; 0 for fewer than two points. Blocks of a front meet, and a pair of blocks tells a sum and a number."""
+    packed = _packed(front, key, objectives, block)
+    both = packed.join(packed.select("k", F.col("block").alias("other"), F.col("points").alias("q")), "k").where("block <= other")
 
-def front_distances(fronts: DataFrame, key: str, point: str, objectives: list[str], block: int = 512) -> DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            sums, pairs = [], []
+            for same, p, q in zip(pdf.block == pdf.other, pdf.points, pdf.q, strict=True):
+                d = _between(list(p), list(q))
+                sums.append(float(np.triu(d, 1).sum() if same else d.sum()))
+                pairs.append(len(p) * (len(p) - 1) // 2 if same else d.size)
+            yield pd.DataFrame({"k": pdf.k, "total": np.array(sums, float), "pairs": np.array(pairs, np.int64)})
+
+    kind = front.schema[key].dataType.simpleString()
+    per = both.mapInPandas(run, f"k {kind}, total double, pairs long").groupBy(F.col("k").alias(key)).agg(F.coalesce(F.try_divide(F.sum("total"), F.sum("pairs")), F.lit(0.0)).alias("sparsity"))
+    return per
+
+
+def front_distances(fronts: DataFrame, key: str, objectives: list[str], block: int = 512) -> DataFrame:
     """(a, b, hausdorff, avg_min, centroid) for every ordered pair of keys.
 
-    A point meets blocks of other fronts, packed as arrays of up to ``block`` points, and keeps its least distance to
-    each: no row per pair of points.
+    The pairs of keys are listed first (they are the result); a block of one front then meets a block of another by equi-joins on them. Of a pair of blocks
+    come each point's least distance to the other block, so there is no row per pair of points.
     """
-    place = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(point)) - 1) / block)
-    packed = fronts.select(F.col(key).alias("b"), place.alias("block_"), F.array(*objectives).alias("x_")).groupBy("b", "block_").agg(F.collect_list("x_").alias("others_"))
-    own = F.array(*[F.col(f"a_{o}") for o in objectives])
-    apart = lambda x: F.sqrt(F.aggregate(F.zip_with(own, x, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    a = fronts.select(F.col(key).alias("a"), F.col(point).alias("a_i"), *[F.col(o).cast("double").alias(f"a_{o}") for o in objectives])
-    met = a.crossJoin(packed).select("a", "a_i", "b", F.array_min(F.transform("others_", apart)).alias("d"))
-    least = met.groupBy("a", "b", "a_i").agg(F.min("d").alias("d"))
+    packed = _packed(fronts, key, objectives, block)
+    keys = fronts.select(F.col(key).alias("k")).distinct()
+    pairs = keys.withColumnRenamed("k", "a").crossJoin(keys.withColumnRenamed("k", "b"))
+    own = packed.select(F.col("k").alias("a"), F.col("block").alias("own"), F.col("points").alias("p"))
+    both = pairs.join(own, "a").join(packed.select(F.col("k").alias("b"), F.col("points").alias("q")), "b")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for a, b, own_, p, q in zip(pdf.a, pdf.b, pdf.own, pdf.p, pdf.q, strict=True):
+                d = _between(list(p), list(q)).min(axis=1)
+                yield pd.DataFrame({"a": [a] * len(d), "b": [b] * len(d), "own": [own_] * len(d), "at": np.arange(len(d)), "d": d})
+
+    kind = fronts.schema[key].dataType.simpleString()
+    met = both.mapInPandas(run, f"a {kind}, b {kind}, own long, at long, d double")
+    least = met.groupBy("a", "b", "own", "at").agg(F.min("d").alias("d"))
     one_way = least.groupBy("a", "b").agg(F.max("d").alias("far"), F.avg("d").alias("avg_min"))
     back = one_way.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("far").alias("far_back"))
     ca, cb = (fronts.groupBy(F.col(key).alias(n)).agg(*[F.avg(o).alias(f"{s}{o}") for o in objectives]) for n, s in (("a", "a_"), ("b", "b_")))
-    centres = ca.crossJoin(cb).select("a", "b", _distance(objectives).alias("centroid"))
+    centres = pairs.join(ca, "a").join(cb, "b").select("a", "b", _distance(objectives).alias("centroid"))
     return one_way.join(back, ["a", "b"]).join(centres, ["a", "b"]).select("a", "b", F.greatest("far", "far_back").alias("hausdorff"), "avg_min", "centroid")
 
 

@@ -15,7 +15,7 @@ PAIRS = f"{FRONT}, near AS (SELECT a.agent AS a, b.agent AS b, a.rollout_id AS i
 
 
 def _front(d):
-    return M.pareto(d.rollouts, "agent", O)
+    return M.swept_pareto(d.rollouts, "agent", O)
 
 
 @query("i17_pareto_front", f"WITH {FRONT} SELECT agent, rollout_id FROM fr")
@@ -55,11 +55,11 @@ def i20(d):
 
 @query("i21_sparsity", f"WITH {FRONT}, m AS (SELECT a.agent AS agent, avg({DIST}) AS s FROM fr a JOIN fr b ON a.agent = b.agent AND a.rollout_id < b.rollout_id GROUP BY 1) SELECT DISTINCT fr.agent, round(coalesce(s, 0), 6) AS sparsity FROM fr LEFT JOIN m ON fr.agent = m.agent")
 def i21(d):
-    return M.sparsity(_front(d), "agent", "rollout_id", O).select("agent", F.round("sparsity", 6).alias("sparsity"))
+    return M.sparsity(_front(d), "agent", O).select("agent", F.round("sparsity", 6).alias("sparsity"))
 
 
 def _distances(d):
-    return M.front_distances(_front(d), "agent", "rollout_id", O)
+    return M.front_distances(_front(d), "agent", O)
 
 
 @query("i22_hausdorff", f"WITH {PAIRS} SELECT x.a, x.b, round(greatest(x.far, y.far), 6) AS hausdorff FROM one x JOIN one y ON x.a = y.b AND x.b = y.a")
@@ -90,7 +90,7 @@ def i26(d):
     one = _distances(d)
     back = one.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("avg_min").alias("back"))
     apart = one.join(back, ["a", "b"]).where("a < b").agg(F.avg((F.col("avg_min") + F.col("back")) / 2).alias("c"))
-    spread = M.sparsity(_front(d), "agent", "rollout_id", O).agg(F.avg("sparsity").alias("s"))
+    spread = M.sparsity(_front(d), "agent", O).agg(F.avg("sparsity").alias("s"))
     return apart.crossJoin(spread).select(F.round(F.col("c") / (F.col("s") + 1e-12), 6).alias("specialization"))
 
 

@@ -110,7 +110,7 @@ def test_fronts(spark):
     assert M.hypervolume(cube, "agent", ["x", "y", "z"], [0.0] * 3).first().hypervolume == 5.0
     sampled = M.hypervolume_sampled(cube, "agent", ["x", "y", "z"], [0.0] * 3, [2.0] * 3).first().hypervolume
     assert sampled == pytest.approx(5.0, abs=0.2)
-    assert M.sparsity(pts.where("i = 0"), "agent", "i", ["x", "y"]).first().sparsity == 0.0
+    assert M.sparsity(pts.where("i = 0"), "agent", ["x", "y"]).first().sparsity == 0.0
 
 
 def test_wasserstein_is_symmetric_and_zero_on_itself(spark):

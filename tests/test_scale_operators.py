@@ -29,6 +29,33 @@ def test_swept_volume_matches_recursion(spark, slices):
     assert M.hypervolume_3d(df.limit(0), "k", ["x", "y", "z"], [0.0] * 3).count() == 0
 
 
+@pytest.mark.parametrize("slices", [1, 5, 32])
+def test_swept_front_matches_all_pairs(spark, slices):
+    rng = np.random.default_rng(slices)
+    rows = [(k, i, *map(float, p)) for k, digits, n in (("a", 9, 300), ("ties", 1, 300), (None, 1, 40)) for i, p in enumerate(np.round(rng.uniform(-1, 1, (n, 3)), digits))]
+    rows += [("a", 900, None, 1.0, 1.0), ("one", 1, -5.0, -5.0, -5.0)]
+    df = spark.createDataFrame(rows, "k string, i long, x double, y double, z double").withColumn("s", F.lit("kept"))
+    got = sorted((r.k or "", r.i) for r in M.swept_pareto(df, "k", ["x", "y", "z"], slices).collect())
+    real = [r for r in rows if r[2] is not None]
+    better = lambda p, q: p[0] == q[0] and all(a >= b for a, b in zip(p[2:], q[2:], strict=True)) and p[2:] != q[2:]
+    assert got == sorted((q[0] or "", q[1]) for q in real if not any(better(p, q) for p in real))
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_distances_between_fronts_by_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    fronts = {k: np.round(rng.uniform(0, 9, (n, 3)), 1) for k, n in (("a", 60), ("b", 41), ("c", 1))}
+    fronts["a"][3] = fronts["a"][4]
+    df = spark.createDataFrame([(k, *map(float, p)) for k, x in fronts.items() for p in x], "k string, x double, y double, z double")
+    got = {(r.a, r.b): (r.hausdorff, r.avg_min, r.centroid) for r in M.front_distances(df, "k", ["x", "y", "z"], block).collect()}
+    apart = {(a, b): np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2)) for a, p in fronts.items() for b, q in fronts.items()}
+    for (a, b), d in apart.items():
+        centre = np.sqrt(((fronts[a].mean(axis=0) - fronts[b].mean(axis=0)) ** 2).sum())
+        assert got[a, b] == pytest.approx((max(d.min(axis=1).max(), d.min(axis=0).max()), d.min(axis=1).mean(), centre))
+    spread = {r.k: r.sparsity for r in M.sparsity(df, "k", ["x", "y", "z"], block).collect()}
+    assert spread == pytest.approx({k: apart[k, k][np.triu_indices(len(p), 1)].mean() if len(p) > 1 else 0.0 for k, p in fronts.items()})
+
+
 def test_staircase_area():
     rng = np.random.default_rng(1)
     stairs, points = M._Stairs(0.0, 0.0, 0.0), []
