@@ -77,6 +77,19 @@ def hash_sample(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(steps)) < int(0.9 * rows / n * steps)).limit(rows)
 
 
+def join_counted(rows: DataFrame, named: DataFrame, keys: list[str], copies: str, share: int = 4096) -> DataFrame:
+    """Inner join of ``rows`` with ``named``, which has one row per key and in ``copies`` the number of ``rows`` that have it (and is stored, as it is read three times).
+
+    Keys with more than one in ``share`` of all rows, which are fewer than ``share`` whatever the table's size, are broadcast, so no task gathers
+    a hot key; all others are joined by a shuffle.
+    """
+    total = named.agg(F.sum(copies)).first()[0] or 0
+    hot = F.col(copies) * share > total
+    few = F.broadcast(named.where(hot).drop(copies))
+    rest = rows.join(F.broadcast(named.where(hot).select(*keys)), keys, "left_anti").join(named.where(~hot).drop(copies), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 def arrow_map(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = 256, after: Callable[[], None] | None = None) -> DataFrame:
     """Run ``fn`` over small slices of ``df`` in Arrow batches: columns as lists in, columns as lists out; ``after`` ends a task."""
     out = T._parse_datatype_string(schema)

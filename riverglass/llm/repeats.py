@@ -15,9 +15,10 @@ places. Neighbouring windows with one anchor form a run, and
 These suffixes are range-partitioned by their leading bytes with Spark's sampled splitters, each bucket is sorted by
 multikey quicksort on 64-bit words (the first eight bytes, then a 128-bit digest that stands for the compared ``length``
 bytes), and equal neighbours repeat, inside a bucket or across the boundary of two. The place of a suffix is the last part of the
-partitioning key, so a string with millions of copies is dealt over many buckets.
+partitioning key, so a string with millions of copies is dealt over many buckets. Anchors, contexts and parts with very many copies
+are joined by broadcast (``join_counted``), all others by a shuffle.
 
-Defined cases: null and empty texts have no bytes; texts shorter than ``length`` keep all; rows that repeat as a whole
+Defined cases: an empty table gives an empty one; null and empty texts have no bytes; texts shorter than ``length`` keep all; rows that repeat as a whole
 are texts of their own and so repeat each other; very long texts are cut into segments that overlap, and other columns are ignored,
 whatever their names; a null doc_id stays null; bytes that stay are joined even where that splits a character.
 """
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, store
+from .common import arrow_map, join_counted, store
 
 CORE = 40
 PART = 16
@@ -129,13 +130,13 @@ def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
     found = arrow_map(long_, "doc long, uid long, runs array<struct<lo:int,n:int,back:int,core:long,context:long>>", emit, rows=64)
     found = store(found.select("doc", "uid", F.inline("runs")), "runs")
     cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("n_"), F.min("context").alias("a_"), F.max("context").alias("b_")).where("n_ > 1")
-    cores = store(cores.select("core", (F.col("a_") != F.col("b_")).alias("mixed")), "cores")
-    found = store(found.join(cores, "core"), "candidates")  # an anchor that occurs once has no window that repeats
+    cores = store(cores.select("core", "n_", (F.col("a_") != F.col("b_")).alias("mixed")), "cores")
+    found = store(join_counted(found, cores, ["core"], "n_"), "candidates")  # an anchor that occurs once has no window that repeats
     place = F.struct("doc", "uid", "lo", "n", "back")
     contexts = store(found.groupBy("core", "context", "mixed").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contexts")
     open_ = contexts.where("mixed").select("at.*", "core")
-    whole = contexts.where("copies > 1").select("core", "context")
-    sure = found.join(whole, ["core", "context"]).select("doc", "uid", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last"))
+    whole = contexts.where("copies > 1").select("core", "context", "copies")
+    sure = join_counted(found, whole, ["core", "context"], "copies").select("doc", "uid", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last"))
     parts, some = _repeated_parts(_with_bytes(texts, open_, length), length)
     return sure.unionByName(parts).unionByName(_repeated_suffixes(some, length))
 
@@ -187,8 +188,8 @@ def _repeated_parts(runs_: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     found = store(arrow_map(runs_, schema, emit, rows=1024).select("doc", "uid", "lo", "core", F.inline("parts")), "parts")
     place = F.struct("doc", "uid", "lo", "first", "last")
     kinds = store(found.groupBy("core", "block", "shared", "every").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "kinds")
-    again = kinds.where("copies > 1").select("core", "block", "shared", "every")
-    sure = found.join(again, ["core", "block", "shared", "every"]).select("doc", "uid", "first", "last")
+    again = kinds.where("copies > 1").select("core", "block", "shared", "every", "copies")
+    sure = join_counted(found, again, ["core", "block", "shared", "every"], "copies").select("doc", "uid", "first", "last")
     mixed = kinds.groupBy("core", "block", "shared").agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
     some = kinds.join(mixed, ["core", "block", "shared"]).select("at.*")
     some = some.groupBy("doc", "uid", "lo").agg(F.collect_list(F.struct("first", "last")).alias("spans"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from riverglass.llm import lines, mixing, pii, repeats, sentencepiece, simhash, toxicity
-from riverglass.llm.common import clear, connected_components, hash_sample, read, running_totals, shared_dir, store
+from riverglass.llm.common import clear, connected_components, hash_sample, join_counted, read, running_totals, shared_dir, store
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -57,6 +57,21 @@ def test_samples_are_bounded(spark):
     assert 700 < n <= 1000 and hash_sample(df, "id", 20_000, "a").count() == 20_000
 
 
+@pytest.mark.parametrize("share", [2, 10, 4096])
+def test_hot_keys_are_joined_apart(spark, share):
+    rng = random.Random(share)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(300)}", rng.randrange(3), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b long, i long")
+    named = store(df.where("a <> 'k7'").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("i").alias("least")), "named")
+    out = join_counted(df, named, ["a", "b"], "n", share)
+    assert out.columns == ["a", "b", "i", "least"]
+    least = {}
+    for a, b, i in rows:
+        least.setdefault((a, b), i)
+    assert sorted(map(tuple, out.collect())) == sorted((a, b, i, least[a, b]) for a, b, i in rows if a != "k7")
+    assert join_counted(df.limit(0), named.limit(0), ["a", "b"], "n").count() == 0
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)] + [(-5, 3), (7, 7)]
