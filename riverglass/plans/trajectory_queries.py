@@ -113,7 +113,7 @@ def i15(d):
     return out.select("client", F.col("idx").cast("long").alias("idx"), F.round("w", 9).alias("w"))
 
 
-@query("i16_participation", "SELECT layer AS round, count(DISTINCT client) AS n FROM fl_updates WHERE client % 7 <> 0 OR layer > 1 GROUP BY 1 HAVING count(DISTINCT client) >= 55")
+@query("i16_participation", "SELECT cluster AS round, count(DISTINCT client) AS n FROM fl_updates GROUP BY 1 HAVING count(DISTINCT client) >= 50")
 def i16(d):
-    rows = d.fl_updates.where("client % 7 <> 0 OR layer > 1").withColumnRenamed("layer", "round")
-    return T.participation(rows, "round", "client", 110)
+    """A cluster stands for a round; those with too few clients are not told."""
+    return T.participation(d.fl_updates.withColumnRenamed("cluster", "round"), "round", "client", 100)
