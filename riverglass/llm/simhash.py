@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, fresh, running_totals, store
+from .common import arrow_map, connected_components, discard, fresh, running_totals, store
 
 
 def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -242,8 +242,8 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
         return out
 
     found = arrow_map(sets.select("id", "size", "hashes"), "id long, size int, hash array<long>", run)
-    found = store(found.select("id", "size", F.posexplode("hash").alias("place", "hash")), "prefixes")
-    shared = found.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("hash")
+    found = found.select("id", "size", F.posexplode("hash").alias("place", "hash"))  # made twice: a table of all prefixes would be larger than the texts' parquet
+    shared = store(found.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("hash"), "shared")
     return store(found.join(shared, "hash", "left_semi").distinct(), "groups")
 
 
@@ -252,8 +252,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     pairs = store(pairs, "candidates")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     named = store(sets.select("id", "row").join(ids, "id", "left_semi").groupBy("id").agg(F.min("row").alias("row")), "named")
-    named = F.broadcast(named.select("row")) if named.count() <= _FEW else named.select("row").hint("merge")
-    wanted = store(sets.select("row", "id", "hashes").join(named, "row").select("id", "hashes"), "sets")
+    rows = F.broadcast(named.select("row")) if named.count() <= _FEW else named.select("row").hint("merge")
+    wanted = store(sets.select("row", "id", "hashes").join(rows, "row").select("id", "hashes"), "sets")
     both = pairs.join(wanted.toDF("a", "a_set"), "a").join(wanted.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
 
     def run(batch):
@@ -266,7 +266,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 out["v"].append(b)
         return out
 
-    return store(arrow_map(both, "u long, v long", run), "links")
+    links = store(arrow_map(both, "u long, v long", run), "links")
+    discard(pairs, named, wanted)
+    return links
 
 
 def _index_links(sets: DataFrame, most: int) -> DataFrame:
@@ -358,6 +360,7 @@ def keep_one_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> Dat
     named = sets.select("doc", "u1", "u2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "u1", "u2")).alias("best")
     kept = store(named.groupBy(F.coalesce("root", "id").alias("root")).agg(best).select("best.u1", "best.u2"), "kept")
+    discard(sets)
     u1, u2, k1, k2 = fresh(docs, "u1", "u2", "kept_u1", "kept_u2")
     rows = docs.withColumns(dict(zip((u1, u2), _row_key(), strict=True)))
     same = (F.col(u1) == F.col(k1)) & (F.col(u2) == F.col(k2))
