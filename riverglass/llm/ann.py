@@ -7,7 +7,8 @@ of all orderings merge and are ranked by exact distance. Exact copies of a vecto
 so no window fills up with copies. The grid's bounds come from a sample of at most ``sample_rows`` vectors; every vector is indexed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows without an id; of rows
-that share an id the smallest vector counts; vectors shorter than the longest are padded with zeros; ties go to the smaller id.
+that share an id the smallest vector counts; vectors shorter than the longest are padded with zeros; ties go to the smaller id; an empty table gives an
+empty one; other columns are not read.
 """
 
 from __future__ import annotations

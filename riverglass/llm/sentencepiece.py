@@ -16,7 +16,8 @@ one than half a million characters is a batch of its own.
 
 Defined cases: a null text is treated as empty; an empty text has one segmentation, without pieces, of probability 1; a text with fewer than ``k``
 segmentations yields all of them, with inclusion score 1; U+2581 in a text is read as a space, as the tokenizer does;
-a null row key hashes as the empty string; repeated rows get the same samples.
+a null row key hashes as the empty string; repeated rows get the same samples; very long texts are
+sampled whole; an empty table gives an empty one; of other columns none is read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ leaf groups that remain are compared with whole fingerprints. Groups count finge
 one text cost nothing, and they are cut by position in the order, so a crowded region just has more groups.
 
 Defined cases: null and empty texts have no words and fingerprint zero; a null ``doc_id`` never names a component unless all of its
-ids are null; repeated rows get the same row each; only ``doc_id`` and ``text`` are read.
+ids are null; repeated rows get the same row each; very long texts are shingled whole; an empty table gives an empty one; only ``doc_id`` and ``text`` are read.
 
 The pipeline's stage, ``keep_one_similar``, links documents whose sets of word shingles have a Jaccard similarity of
 ``least`` or more. The index gives its first links: fingerprints at three or fewer differing bits, verified on the sets.

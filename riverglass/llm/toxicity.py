@@ -11,7 +11,8 @@ words. Only coordinates that L1 leaves above zero remain. They are broadcast to
 Defined cases: a null or empty text has no features and scores by the bias alone; labels that are null, or whose doc_id is null,
 are not used; several labels of one document count as one, toxic if any is; with labels of one kind only, every score is
 that kind's smoothed share, (toxic + 1) / (n + 2), and without any it is 0; repeated documents score alike; very long texts are
-scored whole; only ``doc_id`` and ``text`` are inputs of training and of scores, so other columns may have any name.
+scored whole; only ``doc_id`` and ``text`` are inputs of training and of scores, so other columns may have any name; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
