@@ -12,6 +12,7 @@ from riverglass.operators import batching as G
 from riverglass.operators import capacity as C
 from riverglass.operators import profiles as E
 from riverglass.operators.ranks import numbered
+from riverglass.session import clear, stored
 
 
 def test_row_numbers_match_a_window(spark):
@@ -31,6 +32,16 @@ def test_row_numbers_match_a_window(spark):
     assert numbered(df.limit(0), ["k"], ["o"], "n").count() == 0
 
 
+def test_stored_tables_can_be_cleared(spark):
+    df = stored(spark.range(3), "gone")
+    files = df.inputFiles()
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(path)
+    clear(spark)
+    assert not fs.exists(path)
+
+
 def test_warm_up_drops_whole_batches(spark):
     df = spark.range(500).withColumn("k", F.col("id") % 2)
     assert G.after_warm_up(df, ["k"], ["id"], 8, configured=2).count() == 500 - 2 * 16 * 8
