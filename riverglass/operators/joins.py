@@ -21,10 +21,12 @@ def fill_missing(recent: DataFrame, profiled: DataFrame, key: str, least: int =
 
 
 def route(detections: DataFrame, edges: DataFrame) -> DataFrame:
-    """Detections to every downstream edge of their class, and to edges of class -1: two equi-joins, no nested loop."""
-    on_class = detections.join(edges.where("coi >= 0"), F.col("class_id") == F.col("coi"))
-    catch_all = detections.withColumn("any_", F.col("class_id") * 0 - 1).join(edges.where("coi = -1"), F.col("any_") == F.col("coi")).drop("any_")
-    return on_class.unionByName(catch_all)
+    """Detections to every downstream edge of their class, and to edges of class -1, which take null classes too.
+
+    The edges are a graph's few rows: they are broadcast, so that a class with most of the detections stays spread over all tasks.
+    """
+    on_class = detections.join(F.broadcast(edges.where("coi <> -1")), F.col("class_id") == F.col("coi"))
+    return on_class.unionByName(detections.crossJoin(F.broadcast(edges.where("coi = -1"))))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, width: int, backward: bool = True) -> DataFrame:

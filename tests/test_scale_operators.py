@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riverglass import catalog
 from riverglass.functions import quantiles as Q
 from riverglass.operators import detection as D
+from riverglass.operators import joins as J
 from riverglass.operators import multiobjective as M
 from riverglass.operators import rollup as R
 from riverglass.session import scratch
@@ -117,3 +119,20 @@ def test_tables_of_a_keyword_are_united_and_pruned(spark):
     finally:
         for name in ("a_arr", "b_arr", "a_hw"):
             spark.sql(f"DROP TABLE IF EXISTS {mark}_{name}")
+
+
+@pytest.mark.parametrize("name", ["d3_class_routing"])
+def test_routing_moves_no_detections(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with detections and edges of unknown size
+    try:
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # of the counts
+
+
+def test_routing_takes_null_and_other_classes(spark):
+    edges = spark.createDataFrame([("face", 0), ("odd", -2), ("sink", -1)], "dst string, coi long")
+    df = spark.createDataFrame([(1, 0), (2, None), (3, -2), (4, -1), (5, 7)], "det_id long, class_id long")
+    got = sorted((r.det_id, r.dst) for r in J.route(df, edges).collect())
+    assert got == [(1, "face"), (1, "sink"), (2, "sink"), (3, "odd"), (3, "sink"), (4, "sink"), (5, "sink")]
