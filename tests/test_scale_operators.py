@@ -121,7 +121,7 @@ def test_tables_of_a_keyword_are_united_and_pruned(spark):
             spark.sql(f"DROP TABLE IF EXISTS {mark}_{name}")
 
 
-@pytest.mark.parametrize("name", ["d3_class_routing"])
+@pytest.mark.parametrize("name", ["d3_class_routing", "b26_class_of_interest"])
 def test_routing_moves_no_detections(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with detections and edges of unknown size
     try:
