@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,54 +88,82 @@ def portioned(df: DataFrame, keys: list[str], order: list[str], portions: list[f
     return df.withColumn("target", sum((F.when(share >= b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("long"))
 
 
-def suppress(boxes: DataFrame, keys: list[str], threshold: float, plus: int = 0, top: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+def suppress(boxes: DataFrame, keys: list[str], threshold: float, plus: int = 0, top: int | None = None, order: tuple[str, ...] = (), keep: int | None = None) -> DataFrame:
     """Greedy non-maximum suppression per ``keys`` (score descending, then ``order``); groups are the boxes of an image.
 
-    ``top`` limits the boxes that enter, as the detector's setting does. ``keys`` must not be null.
+    ``top`` limits the boxes that enter, ``keep`` those that stay, as the detector's settings do. One shuffle and one sort; the images of a batch are
+    suppressed side by side, a round for each box kept of the fullest. Of an image that goes on in the next batch only the kept boxes are held.
     """
-    df = boxes
-    if top:
-        w = Window.partitionBy(*keys).orderBy(F.desc("score"), *order)
-        df = df.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= top).drop("rn_")
-
-    def kept(b: np.ndarray) -> list[int]:
-        if len(b) == 1:
-            return [0]
-        areas = (b[:, 2] - b[:, 0] + plus) * (b[:, 3] - b[:, 1] + plus)
-        rest, out = np.arange(len(b)), []
-        while len(rest):
-            i, rest = rest[0], rest[1:]
-            out.append(i)
-            w = np.maximum(0, np.minimum(b[i, 2], b[rest, 2]) - np.maximum(b[i, 0], b[rest, 0]) + plus)
-            h = np.maximum(0, np.minimum(b[i, 3], b[rest, 3]) - np.maximum(b[i, 1], b[rest, 1]) + plus)
-            either = areas[i] + areas[rest] - w * h
-            rest = rest[w * h <= threshold * either]
-        return out
+    schema = boxes.schema
+    names = [*keys, *BOX]
+
+    def changes(column: pa.Array) -> np.ndarray:  # whether each value but the first differs from the one before it; null equals null
+        a, b = column[1:], column[:-1]
+        differ = pc.or_(pc.xor(a.is_null(), b.is_null()), pc.fill_null(pc.not_equal(a, b), False))
+        return differ.to_numpy(zero_copy_only=False)
+
+    def stays(a: np.ndarray, b: np.ndarray) -> np.ndarray:  # whether boxes a leave each of b standing
+        w = np.maximum(0, np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]) + plus)
+        h = np.maximum(0, np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]) + plus)
+        area = lambda x: (x[:, 2] - x[:, 0] + plus) * (x[:, 3] - x[:, 1] + plus)
+        return w * h <= threshold * (area(a) + area(b) - w * h)
 
     def run(batches):
-        held = None
-        for pdf in batches:  # sorted, so an image's boxes are neighbours; the last image may go on in the next batch
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            images = pdf[keys]
-            starts = np.flatnonzero(np.concatenate(([True], (images.values[1:] != images.values[:-1]).any(axis=1))))
-            held = pdf.iloc[starts[-1] :]
-            yield pdf.iloc[_take(pdf, starts)]
-        if held is not None and len(held):
-            yield held.iloc[kept(held[list(BOX)].to_numpy(np.float64))]
-
-    def _take(pdf, starts):
-        boxes = pdf[list(BOX)].to_numpy(np.float64)
-        return [a + i for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for i in kept(boxes[a:b])]
+        last, seen, stay = None, 0, np.zeros((0, 4))  # the image that the batch before ended in: its key, boxes seen and boxes kept
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {n: batch.column(n) for n in names}
+            starts = np.zeros(batch.num_rows, bool)
+            for n in keys:
+                starts[1:] |= changes(columns[n])
+            now = [columns[n][0].as_py() for n in keys]
+            same = last is not None and now == last
+            starts[0] = True
+            image = np.cumsum(starts) - 1
+            first = np.flatnonzero(starts)
+            place = np.arange(batch.num_rows) - first[image]
+            if same:
+                place[image == 0] += seen
+            else:
+                stay = np.zeros((0, 4))
+            b = np.stack([np.asarray(columns[n].to_numpy(zero_copy_only=False), np.float64) for n in BOX], axis=1)
+            on = place < top if top else np.ones(batch.num_rows, bool)
+            at = np.flatnonzero(on)
+            if keep is not None and len(stay) >= keep:
+                at = at[image[at] > 0]
+            old = np.searchsorted(image[at], 1)
+            old, at = at[:old], at[old:]
+            for a in stay:  # boxes kept of an earlier batch come first
+                if not len(old):
+                    break
+                old = old[stays(a[None], b[old])]
+            at = np.concatenate((old, at))
+            kept, counts = [], np.zeros(len(first), np.int64)
+            counts[0] = len(stay)
+            while len(at):
+                head = np.concatenate(([True], image[at[1:]] != image[at[:-1]]))
+                leads = at[head]
+                kept.append(leads)
+                counts[image[leads]] += 1
+                rest = ~head
+                lead, at = np.repeat(leads, np.diff(np.append(np.flatnonzero(head), len(at))))[rest], at[rest]
+                at = at[stays(b[lead], b[at])]
+                if keep is not None:
+                    at = at[counts[image[at]] < keep]
+            kept = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+            tail = len(first) - 1
+            stay = np.concatenate((stay if tail == 0 else np.zeros((0, 4)), b[kept[image[kept] == tail]]))
+            last, seen = [columns[n][batch.num_rows - 1].as_py() for n in keys], int(place[-1]) + 1
+            yield batch.take(pa.array(kept))
 
     by = [*keys, F.desc("score"), *order]
-    return df.repartition(*keys).sortWithinPartitions(*by).mapInPandas(run, df.schema)
+    return boxes.repartition(*keys).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def filter_chain(boxes: DataFrame, key: str, order: tuple[str, ...], least: float, top: int, threshold: float, keep: int) -> DataFrame:
-    """Score filter, best ``top``, suppression, best ``keep``."""
-    out = suppress(boxes.where(F.col("score") > least), [key], threshold, plus=1, top=top, order=order)
-    w = Window.partitionBy(key).orderBy(F.desc("score"), *order)
-    return out.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= keep).drop("rn_")
+    """Score filter, best ``top``, suppression, best ``keep``: boxes are kept in order of score, so suppression ends at ``keep``."""
+    return suppress(boxes.where(F.col("score") > least), [key], threshold, plus=1, top=top, order=order, keep=keep)
 
 
 def priors(images: DataFrame, height: Column, width: Column, sizes: list[list[int]], steps: list[int], clip: bool = False) -> DataFrame:

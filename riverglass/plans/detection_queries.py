@@ -92,19 +92,24 @@ def nms_sql(threshold: float, plus: int, where: str = "TRUE", top: int | None =
     return f"WITH RECURSIVE s(image_id, n, rest) AS ({first} UNION ALL SELECT image_id, n + 1, {goes_on} FROM s WHERE len(rest) > 1) SELECT rest[1].d AS det_id, rest[1].k AS sort_key, rest[1].s AS score FROM s WHERE len(rest) > 0{limit}"
 
 
+def _scored(d):
+    """What suppression reads: no other column is shuffled or sorted with the boxes."""
+    return d.detections.select("image_id", "det_id", "sort_key", "score", *D.BOX)
+
+
 @query("f11_nms", nms_sql(0.4, 1))
 def f11(d):
-    return D.suppress(d.detections, ["image_id"], 0.4, plus=1, order=("det_id", "sort_key")).select("det_id", "sort_key", "score")
+    return D.suppress(_scored(d), ["image_id"], 0.4, plus=1, order=("det_id", "sort_key")).select("det_id", "sort_key", "score")
 
 
 @query("f12_nms_top_k", nms_sql(0.5, 0, top=200))
 def f12(d):
-    return D.suppress(d.detections, ["image_id"], 0.5, top=200, order=("det_id", "sort_key")).select("det_id", "sort_key", "score")
+    return D.suppress(_scored(d), ["image_id"], 0.5, top=200, order=("det_id", "sort_key")).select("det_id", "sort_key", "score")
 
 
 @query("f13_filter_chain", nms_sql(0.4, 1, "score > 0.02", 5000, 750))
 def f13(d):
-    return D.filter_chain(d.detections, "image_id", ("det_id", "sort_key"), 0.02, 5000, 0.4, 750).select("det_id", "sort_key", "score")
+    return D.filter_chain(_scored(d), "image_id", ("det_id", "sort_key"), 0.02, 5000, 0.4, 750).select("det_id", "sort_key", "score")
 
 
 @query("f14_prior_boxes", "WITH m AS (SELECT DISTINCT image_id, 32 * (1 + image_id % 2) AS hh, 32 * (1 + image_id % 3) AS ww FROM detections), l(k, step, size, s) AS (VALUES (0, 32, 16, 0), (0, 32, 32, 1), (1, 64, 64, 0)), c AS (SELECT *, unnest(range(0, CAST(ceil(hh / step::DOUBLE) AS BIGINT))) AS i FROM m, l), g AS (SELECT *, unnest(range(0, CAST(ceil(ww / step::DOUBLE) AS BIGINT))) AS j FROM c) SELECT image_id, k, i::INT AS i, j::INT AS j, s, round((j + 0.5::DOUBLE) * step / ww, 9) AS cx, round((i + 0.5::DOUBLE) * step / hh, 9) AS cy, round(size / ww::DOUBLE, 9) AS w, round(size / hh::DOUBLE, 9) AS h FROM g")

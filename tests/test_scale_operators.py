@@ -136,3 +136,35 @@ def test_routing_takes_null_and_other_classes(spark):
     df = spark.createDataFrame([(1, 0), (2, None), (3, -2), (4, -1), (5, 7)], "det_id long, class_id long")
     got = sorted((r.det_id, r.dst) for r in J.route(df, edges).collect())
     assert got == [(1, "face"), (1, "sink"), (2, "sink"), (3, "odd"), (3, "sink"), (4, "sink"), (5, "sink")]
+
+
+@pytest.mark.parametrize("top, keep, rows_a_batch", [(None, None, 7), (40, None, 16), (60, 9, 7), (None, 5, 1000)])
+def test_suppression_of_images_across_batches(spark, top, keep, rows_a_batch):
+    rng = np.random.default_rng(3)
+    images = [None] * 50 + ["a"] * 150 + ["b"] * 3 + ["c"] + ["d"] * 90
+    rows = [(k, i, *map(int, (x := rng.integers(0, 40, 2))), *map(int, x + rng.integers(1, 25, 2)), float(rng.integers(0, 8)) / 8) for i, k in enumerate(images)]
+    df = spark.createDataFrame(rows, "image_id string, det_id long, x1 long, y1 long, x2 long, y2 long, score double")
+
+    def covers(a, b):
+        w, h = (max(0, min(a[i + 2], b[i + 2]) - max(a[i], b[i]) + 1) for i in (2, 3))
+        return w * h > 0.4 * (sum((z[4] - z[2] + 1) * (z[5] - z[3] + 1) for z in (a, b)) - w * h)
+
+    want = set()
+    for k in set(images):
+        out = []
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[6], r[1]))[:top]:
+            if not any(covers(o, r) for o in out):
+                out.append(r)
+        want |= set(out[:keep])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = D.suppress(df, ["image_id"], 0.4, plus=1, top=top, order=("det_id",), keep=keep).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["f11_nms"])
+def test_suppression_shuffles_once(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "MapInPandas" not in plan
