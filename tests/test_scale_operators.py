@@ -164,7 +164,7 @@ def test_suppression_of_images_across_batches(spark, top, keep, rows_a_batch):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", ["f11_nms", "f12_nms_top_k"])
+@pytest.mark.parametrize("name", ["f11_nms", "f12_nms_top_k", "f13_filter_chain"])
 def test_suppression_shuffles_once(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "MapInPandas" not in plan
