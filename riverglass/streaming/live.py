@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -171,69 +173,98 @@ def smoothed(df: DataFrame, key: str, order: str, value: str, up: float = 0.2, d
     return df.select(key, order, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, smoothed double", "s double", "update", GroupStateTimeout.NoTimeout)
 
 
-def timed_batches(df: DataFrame, key: str, at: str, tie: str, size: int, wait: int) -> DataFrame:
+def timed_batches(df: DataFrame, key: str, at: str, tie: str, size: int, wait: int, buckets: int = 512) -> DataFrame:
     """Batches closed at ``size`` items, or when the first has waited ``wait`` microseconds: start, n, closed_us and whether time ran out.
 
-    Needs ``with_event_time``. Rows wait in list state until the watermark has passed them and are then taken in order of (``at``, ``tie``). A batch is closed
-    by its last item, or by a timer: a key that goes quiet loses its batch as soon as the watermark shows that nothing can still join it. Nothing is kept of a closed batch.
+    Needs ``with_event_time``. Rows wait in list state until the watermark has passed them and are then taken in order of ``at`` (rows of one time, which ``tie``
+    would order, fill a batch alike). A batch is closed by its last item, or by a timer: a key that goes quiet loses its batch as soon as the watermark shows
+    that nothing can still join it. Nothing is kept of a closed batch.
+
+    Every access to state is a call to another process, so the keys of a bucket share theirs: rows and open batches of all of them are held as Arrow bytes.
+    Null keys have a bucket of their own.
     """
 
+    def packed(keys, times) -> bytes:
+        batch, sink = pa.record_batch({"k": keys, "t": times}), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
     class Batcher(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.waiting = handle.getListState("waiting", "at long, tie long")
-            self.open = handle.getValueState("open", "start long, fill long")
+            self.waiting = handle.getListState("waiting", "rows binary")
+            self.open = handle.getValueState("open", "starts binary, fills binary")
 
         def handleInputRows(self, key_, rows, timerValues):  # noqa: N802, N803
-            first = None
+            first, chunks = None, []
             for part in rows:
-                times = part[at].tolist()
-                self.waiting.appendList(list(zip(times, part[tie].tolist(), strict=True)))
-                first = min([first, *times] if first is not None else times)
+                times = part[at].to_numpy(np.int64)
+                names = np.zeros(len(part), np.int64) if key_[0] < 0 else part[name].to_numpy()
+                chunks.append((packed(pa.array(names), pa.array(times)),))
+                first = int(times.min()) if first is None else min(first, int(times.min()))
             if first is not None:
+                self.waiting.appendList(chunks)
                 self.handle.registerTimer(-(-first // 1000))
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
             passed = 1000 * timerValues.getCurrentWatermarkInMs()
-            rows = sorted(self.waiting.get())
-            ready = [r for r in rows if r[0] <= passed]
-            start, fill = self.open.get() if self.open.exists() else (None, 0)
-            closed = []
-            for now, _ in ready:
+            rows = [pa.ipc.open_stream(data).read_all() for (data,) in self.waiting.get()]
+            rows = pa.concat_tables(rows) if rows else pa.table({"k": pa.array([], pa.int64()), "t": pa.array([], pa.int64())})
+            ready = pc.less_equal(rows["t"], passed)
+            now_, later = rows.filter(ready).sort_by([("k", "ascending"), ("t", "ascending")]), rows.filter(pc.invert(ready))
+            held = {}
+            if self.open.exists():
+                starts, fills = self.open.get()
+                starts = pa.ipc.open_stream(starts).read_all()
+                held = dict(zip(starts["k"].to_pylist(), zip(starts["t"].to_pylist(), np.frombuffer(fills, np.int64).tolist(), strict=True), strict=True))
+            closed, last, start, fill = [], None, None, 0
+            for k, now in zip(now_["k"].to_pylist(), now_["t"].to_pylist(), strict=True):
+                if k != last:
+                    if start is not None:
+                        held[last] = start, fill
+                    last, (start, fill) = k, held.pop(k, (None, 0))
                 if start is not None and now - start > wait:
-                    closed.append((start, fill, start + wait, True))
+                    closed.append((k, start, fill, start + wait, True))
                     start = None
                 if start is None:
                     start, fill = now, 0
                 fill += 1
                 if fill == size:
-                    closed.append((start, fill, now, False))
+                    closed.append((k, start, fill, now, False))
                     start = None
-            if start is not None and start + wait <= passed:
-                closed.append((start, fill, start + wait, True))
-                start = None
-            if start is None:
-                self.open.clear()
+            if start is not None:
+                held[last] = start, fill
+            over = [k for k, (start, _) in held.items() if start + wait <= passed]
+            for k in over:
+                start, fill = held.pop(k)
+                closed.append((k, start, fill, start + wait, True))
+            if held:
+                starts = [start for start, _ in held.values()]
+                self.open.update((packed(pa.array(list(held)), pa.array(starts)), np.array([fill for _, fill in held.values()], np.int64).tobytes()))
             else:
-                self.open.update((start, fill))
-                self.handle.registerTimer(-(-(start + wait) // 1000))
-            if ready and len(ready) == len(rows):
+                self.open.clear()
+            if now_.num_rows and not later.num_rows:
                 self.waiting.clear()
-            elif ready:
-                self.waiting.put(rows[len(ready) :])
-            if len(ready) < len(rows):
-                self.handle.registerTimer(-(-rows[len(ready)][0] // 1000))
-            out = pd.DataFrame(closed, columns=["start", "n", "closed_us", "timed_out"])
-            out.insert(0, name, key[0])
-            yield out
+            elif now_.num_rows:
+                later = later.combine_chunks()
+                self.waiting.put([(packed(later["k"].chunk(0), later["t"].chunk(0)),)])
+            due = [start + wait for start, _ in held.values()] + ([pc.min(later["t"]).as_py()] if later.num_rows else [])
+            if due:
+                self.handle.registerTimer(-(-min(due) // 1000))
+            if closed:
+                out = pd.DataFrame(closed, columns=[name, "start", "n", "closed_us", "timed_out"])
+                yield out.assign(**{name: None}) if key[0] < 0 else out
 
         def close(self) -> None:
             pass
 
-    name = key
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, start long, n long, closed_us long, timed_out boolean"
-    return df.select(key, at, tie, "event_time").groupBy(key).transformWithStateInPandas(Batcher(), schema, "Append", "EventTime")
+    name, kind = key, df.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, start long, n long, closed_us long, timed_out boolean"
+    filled = F.coalesce(F.col(key), F.lit("0").try_cast(kind)).alias(key)  # pandas would turn whole numbers beside nulls into floats
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("long").alias("bucket_")
+    return df.select(bucket, filled, at, "event_time").groupBy("bucket_").transformWithStateInPandas(Batcher(), schema, "Append", "EventTime")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:

@@ -50,6 +50,19 @@ def test_timed_batches_match_batch_mode_out_of_order(spark):
     assert got == want and any(n < 4 for n in want.values()) and 4 in want.values()
 
 
+def test_keys_of_a_bucket_share_state(spark):
+    rows = [(None if i % 9 == 0 else 2**60 + i % 9, 1 + i * 1_000_000, i) for i in range(90)]
+    path = scratch(spark, "arrivals")
+    for part in (rows[:45], rows[45:], [(None, 10**10, 99)]):
+        spark.createDataFrame(part, "k long, t long, id long").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("k long, t long, id long").option("maxFilesPerTrigger", 1).parquet(path)
+    out = L.timed_batches(L.with_event_time(stream, "t", "60 seconds"), "k", "t", "id", 4, 10**9, buckets=2)
+    assert "bucket_" in out._jdf.queryExecution().analyzed().toString()
+    got = sorted(((r.k or 0), r.start, r.n, r.timed_out) for r in results(spark, out, "append").collect())
+    ends = [(k, (4 * b * 9 + k) * 1_000_000 + 1, 4 if b < 2 else 2, b == 2) for k in range(9) for b in range(3)]
+    assert got == sorted((2**60 + k if k else 0, start, n, late) for k, start, n, late in ends)
+
+
 def test_second_records_match_batch_mode(spark):
     rows = [(f"k{i % 2}", 1 + i * 130_000 + (i % 7) * 20_000, i, 0) for i in range(300)]
     order = sorted(rows, key=lambda r: (r[1] // 10_000_000, -r[1]))
