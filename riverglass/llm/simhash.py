@@ -25,8 +25,6 @@ Very long texts are taken whole. Column names of the table may be anything; othe
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +147,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
 _FEW = 1 << 20  # names of sets up to which they are broadcast (16 MB), so that no other set moves
 _LATE = 1 << 17  # frequent shingles that are broadcast (1 MB)
 _BLOCK = 256  # members of a group that meet its others at a time
+_BITS = 1 << 14  # parity bits of the largest sets (2 KB)
 
 
 def _prefix(size: int, least: float) -> int:
@@ -173,8 +172,21 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _parity(hashes: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits."""
-    return np.packbits((np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(bool), bitorder="little").view(np.int64)
+    """Bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits.
+
+    There are at least as many bits as shingles (a power of 2, from 256 to ``_BITS``), or sets that have little in common would fill them all.
+    """
+    width = min(max(256, 1 << (len(hashes) - 1).bit_length()), _BITS)
+    return np.packbits((np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which the parities of two sets differ; the longer one is folded, once, as sizes of similar sets differ by a quarter at most."""
+    half = lambda p: (F.size(p) / 2).cast("int")
+    xor = lambda p, q: F.zip_with(p, q, lambda x, y: x.bitwiseXOR(y))
+    fold = lambda p: xor(F.slice(p, F.lit(1), half(p)), F.slice(p, half(p) + 1, half(p)))
+    both = F.when(F.size(a) > F.size(b), xor(fold(a), b)).when(F.size(a) < F.size(b), xor(a, fold(b))).otherwise(xor(a, b))
+    return F.aggregate(both, F.lit(0), lambda n, x: n + F.bit_count(x))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -229,7 +241,11 @@ def _frequent(sets: DataFrame, most: int = _LATE, room: int = 1 << 20) -> np.nda
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(hash, id, size, place) of the shingles in each set's prefix that other sets' prefixes hold too."""
+    """(hash, copies, id, size, place) of the shingles in each set's prefix that other sets' prefixes hold too.
+
+    Shingles that the same sets hold are one group, named after the least of them; ``copies`` is their number. So two long texts
+    that have hundreds of them in common meet once, not once for each.
+    """
     late = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
     def run(batch):
@@ -244,7 +260,12 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
     found = arrow_map(sets.select("id", "size", "hashes"), "id long, size int, hash array<long>", run)
     found = found.select("id", "size", F.posexplode("hash").alias("place", "hash"))  # made twice: a table of all prefixes would be larger than the texts' parquet
     shared = store(found.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("hash"), "shared")
-    return store(found.join(shared, "hash", "left_semi").distinct(), "groups")
+    each = store(found.join(shared, "hash", "left_semi").distinct(), "groups")
+    held = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "id")).alias(seed) for seed in ("m1", "m2")])
+    names = store(held.groupBy("n", "m1", "m2").agg(F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")).select("hash", "copies"), "names")
+    merged = store(each.join(names, "hash").select("hash", "copies", "id", "size", "place"), "merged")
+    discard(each, names, shared)
+    return merged
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -313,7 +334,7 @@ def _apart(groups: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -
     A pair comes out only if sizes, places in the prefixes and parity bits leave it the similarity.
     """
     rows = groups.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = store(rows.select("hash", "id", "size", "place", "root"), "members")
+    rows = store(rows.select("hash", "copies", "id", "size", "place", "root"), "members")
     parts = rows.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hash")
     main = parts.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max("n").alias("most")).where("roots > 1")
     main = store(main.select("hash", "main", F.ceil((F.col("n") - F.col("most")) / _BLOCK).alias("blocks"), F.ceil(F.col("n") / (8 * _BLOCK)).alias("salts")), "mains")
@@ -321,7 +342,7 @@ def _apart(groups: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -
     bits = sets.select("id", "parity").join(some.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     rows = store(some.join(bits, "id"), "mixed")
     spread = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(c))
-    own = rows.select("hash", "id", "size", "place", "root", "parity", spread("salts", "salt").alias("salt"))
+    own = rows.select("hash", "copies", "id", "size", "place", "root", "parity", spread("salts", "salt").alias("salt"))
     block = rows.where("root <> main").groupBy("hash", "salts", spread("blocks", "block").alias("block")).agg(F.collect_list(F.struct("id", "size", "place", "root", "parity")).alias("others"))
     block = block.select("hash", "others", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     met = own.join(block, ["hash", "salt"])
@@ -329,15 +350,14 @@ def _apart(groups: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -
     def fits(x: Column) -> Column:
         small, large = F.least(x["size"], F.col("size")), F.greatest(x["size"], F.col("size"))
         reach = F.least(x["place"], F.col("place")) + F.least(x["size"] - x["place"], F.col("size") - F.col("place"))
-        apart = reduce(add, [F.bit_count(x["parity"][i].bitwiseXOR(F.col("parity")[i])) for i in range(4)])
-        near = apart <= (small + large) * ((1 - least) / (1 + least)) + 1e-6
-        return (x["root"] != F.col("root")) & (small >= large * least - 1e-9) & near & (reach >= (small + large) * (least / (1 + least)) - 1e-6)
+        near = _bits_apart(x["parity"], F.col("parity")) <= (small + large) * ((1 - least) / (1 + least)) + 1e-6
+        return (x["root"] != F.col("root")) & (small >= large * least - 1e-9) & (reach >= (small + large) * (least / (1 + least)) - 1e-6) & near
 
-    pairs = met.select("id", "size", F.explode(F.filter("others", fits)).alias("x"), F.col("hash"))
+    pairs = met.select("id", "size", F.explode(F.filter("others", fits)).alias("x"), "hash", "copies")
     a = F.struct("id", "size")
     b = F.struct("x.id", "x.size")
-    pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "hash").distinct()  # two others of a group meet twice
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "hash", "copies").distinct()  # two others of a group meet twice
+    counted = pairs.groupBy("a", "b").agg(F.sum("copies").alias("shared"))
     # what lies behind a prefix: with it, sets as similar as asked for must be able to reach this many common shingles
     behind = lambda size: F.ceil(F.col(size) * least - 1e-9) - 1
     enough = F.col("shared") + F.greatest(behind("a.size"), behind("b.size")) >= (F.col("a.size") + F.col("b.size")) * (least / (1 + least)) - 1e-6

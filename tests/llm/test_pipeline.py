@@ -6,6 +6,9 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
+
 from riverglass.llm import lines, simhash
 from riverglass.llm.common import read, store
 
@@ -100,3 +103,27 @@ def test_large_groups_of_near_copies(spark, make):
     docs = make(rows).selectExpr("*", "'x' AS u1", "'y' AS kept_u2")
     got = simhash.keep_one_similar(docs)
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(kept_of(rows)) and got.columns == docs.columns
+
+
+def test_long_texts_in_common_meet_once(spark, make):
+    """Two texts share hundreds of rare shingles: one group stands for all that the same sets hold."""
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:1000] + [f"y{i}" for i in range(500)])), (3, " ".join(words[:300] + [f"z{i}" for i in range(900)]))]
+    groups = simhash._prefixes(simhash.shingle_sets(make(rows), 5), 0.8).collect()
+    held = {}
+    for r in groups:
+        held.setdefault(r.hash, set()).add(r.id)
+    assert len(held) == len({frozenset(ids) for ids in held.values()}) <= 4
+    assert sum({r.hash: r.copies for r in groups}.values()) > 50
+
+
+def test_parity_bits_tell_large_sets_apart(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for n, m, common in ((3000, 3000, 2250), (1000, 1100, 1000), (60, 60, 50), (0, 0, 0), (20000, 18000, 17000)):
+        x = rng.integers(0, 2**63, n + m - common).astype(np.uint64)
+        rows.append((len(rows), simhash._parity(x[:n]).tolist(), simhash._parity(x[n - common :]).tolist()))
+        want.append(n + m - 2 * common)
+    got = [r.d for r in spark.createDataFrame(rows, "i int, a array<long>, b array<long>").select("i", simhash._bits_apart(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()]
+    assert all(g <= w and (w - g) % 2 == 0 for g, w in zip(got, want, strict=True))
+    assert got[0] > 6000 / 9  # Jaccard 0.6: a similarity of 0.8 is ruled out
