@@ -50,8 +50,11 @@ def _deduplicated(pages: DataFrame, least_bytes: int) -> DataFrame:
     return found.select("page_id", "url", "body", F.col("first_").alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write the records of ``pages`` to files in ``path``; payloads of fewer than ``least_bytes`` are never revisits."""
+def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "none") -> None:
+    """Write the records of ``pages`` to files in ``path``; payloads of fewer than ``least_bytes`` are never revisits.
+
+    With ``compression`` "gzip" a file, which is what one task wrote, is compressed as a whole and read back by one task; offsets are those of its content.
+    """
     rows = _deduplicated(pages, least_bytes)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     revisit = F.col("refers_to").isNotNull()
@@ -73,7 +76,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     )
     # the writer ends every value with \n, the last byte of the record's own end
     record = rows.withColumn("block_", block).select(F.concat(head, F.col("block_"), F.lit("\r\n\r")).alias("value"))
-    record.write.text(path)
+    record.write.text(path, compression=compression)
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -193,8 +196,8 @@ def _holders(records: DataFrame, stray: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Write ``pages`` to archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``pages`` to gzipped archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    write(pages, path, least_bytes)
+    write(pages, path, least_bytes, compression="gzip")
     return read_records(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

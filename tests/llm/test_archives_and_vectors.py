@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -49,6 +51,16 @@ def test_warc_payloads_and_empty_table(spark):
     assert warc.round_trip(none).count() == 0
 
 
+def test_round_trip_writes_gzipped_archives(spark):
+    rows = [(i, "u", f"<html>{i} {'<p>some text</p>' * 300}</html>") for i in range(50)] + [(90, "u", STRAY)]
+    path = new_path(spark, "test-warc")
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), path=path).count()
+    files = sorted(Path(path.removeprefix("file://")).glob("part-*"))
+    records = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert got == 51 and records.count(b"WARC-Record-ID: <urn:page:") == 52 and STRAY.encode() in records
+    assert 5 * sum(f.stat().st_size for f in files) < sum(len(html) for *_, html in rows)
+
+
 def test_hilbert_neighbours_are_adjacent():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     key = hilbert_key(cells, 3)
