@@ -89,7 +89,7 @@ def portioned(df: DataFrame, keys: list[str], order: list[str], portions: list[f
 
 
 def suppress(boxes: DataFrame, keys: list[str], threshold: float, plus: int = 0, top: int | None = None, order: tuple[str, ...] = (), keep: int | None = None) -> DataFrame:
-    """Greedy non-maximum suppression per ``keys`` (score descending, then ``order``); groups are the boxes of an image.
+    """Greedy non-maximum suppression per ``keys`` (score descending, then ``order``, nulls last); groups are the boxes of an image.
 
     ``top`` limits the boxes that enter, ``keep`` those that stay, as the detector's settings do. One shuffle and one sort; the images of a batch are
     suppressed side by side, a round for each box kept of the fullest. Of an image that goes on in the next batch only the kept boxes are held.
@@ -157,7 +157,7 @@ def suppress(boxes: DataFrame, keys: list[str], threshold: float, plus: int = 0,
             last, seen = [columns[n][batch.num_rows - 1].as_py() for n in keys], int(place[-1]) + 1
             yield batch.take(pa.array(kept))
 
-    by = [*keys, F.desc("score"), *order]
+    by = [*keys, F.desc("score"), *map(F.asc_nulls_last, order)]
     return boxes.repartition(*keys).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 

@@ -168,3 +168,11 @@ def test_suppression_of_images_across_batches(spark, top, keep, rows_a_batch):
 def test_suppression_shuffles_once(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "MapInPandas" not in plan
+
+
+@pytest.mark.parametrize("chain", [False, True])
+def test_suppression_takes_null_ids_last(spark, chain):
+    rows = [(1, None, 5, 0, 0, 9, 9, 0.5), (1, 7, None, 1, 1, 9, 9, 0.5), (1, 7, 3, 0, 1, 9, 9, 0.5), (2, None, 4, None, 0, None, 9, 0.5), (2, 8, 4, 0, 0, 9, 9, 0.5)]  # ties of score, as in SQL
+    df = spark.createDataFrame(rows, "image_id long, det_id long, sort_key long, x1 long, y1 long, x2 long, y2 long, score double")
+    out = D.filter_chain(df, "image_id", ("det_id", "sort_key"), 0.02, 5000, 0.4, 750) if chain else D.suppress(df, ["image_id"], 0.5, top=200, order=("det_id", "sort_key"))
+    assert sorted((r.image_id, r.det_id, r.sort_key) for r in out.collect()) == [(1, 7, 3), (2, 8, 4)]
